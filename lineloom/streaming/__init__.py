@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The feature set covered by this package has no stream, watermark or window.
+The row-local stages (``operators.parse.parse_scripts`` and everything in
+``functions``) are stateless projections, so they also accept a streaming
+DataFrame of scripts; ``tests/test_streaming.py`` checks that.
+"""
