@@ -42,11 +42,18 @@ def ancestor_pairs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
         tail = everything.select(F.col("node").alias("mid"), "anc", (F.col("dist") + reach).alias("dist"))
         if max_depth is not None:
             tail = tail.where(F.col("dist") <= max_depth)
-        longer = head.join(tail, "mid").groupBy("node", "anc").agg(F.min("dist").alias("dist"))
-        fresh = longer.join(everything.select("node", "anc"), ["node", "anc"], "left_anti")
+        longer = head.join(tail, "mid").select("node", "anc", "dist")
+        # One aggregate both removes repeats and finds what is new: a pair seen
+        # before keeps a distance within the old reach.
+        fresh = (
+            everything.unionByName(longer)
+            .groupBy("node", "anc")
+            .agg(F.min("dist").alias("dist"))
+            .where(F.col("dist") > reach)
+        )
         reach *= 2
         found, seen = materialize(
-            fresh.select("node", "anc", "dist"),
+            fresh,
             "pairs",
             rows=F.count(F.lit(1)),
             at_reach=F.count(F.when(F.col("dist") == reach, 1)),
@@ -101,8 +108,13 @@ def reachable(
                 .distinct()
             )
             moves.append(at.withColumn("hop", F.lit(depth + k)))
-        block = _union(moves).groupBy("seed", "id", "dir").agg(F.min("hop").alias("hop"))
-        fresh = block.join(_union(known).select("seed", "id", "dir"), ["seed", "id", "dir"], "left_anti")
+        # What was reached before keeps a hop within the old depth.
+        fresh = (
+            _union([*known, *moves])
+            .groupBy("seed", "id", "dir")
+            .agg(F.min("hop").alias("hop"))
+            .where(F.col("hop") > depth)
+        )
         depth += hops
         frontier, seen = materialize(
             fresh, "reach", pending=F.count(F.when(F.col("hop") == depth, 1))

@@ -21,6 +21,12 @@ RECORD = (
     "dependencies", "content", "ctes", "error",
 )
 
+# Everything but the script's text.
+TEXTLESS = tuple(c for c in RECORD if c != "content")
+
+# What a graph needs: neither the text nor parts of it.
+LIGHT = ("id", "label", "layer", "type", "project", "dataset", "path", "dependencies")
+
 _NO_NAMES = "array<string>"
 _NO_CTES = "map<string,string>"
 
@@ -89,29 +95,28 @@ def _target(path: Column, base: Column, head: Column, d: Dialect) -> Column:
     return let(inputs, choose)
 
 
-def _cte_spans(content: Column, toks: Column, spans: Column, d: Dialect) -> Column:
-    """(name, body) of each CTE; the body is the raw text between its parentheses."""
+def _cte_bodies(content: Column, names: Column, spans: Column, d: Dialect) -> Column:
+    """Map of CTE name -> raw text between its parentheses.
+
+    A name defined twice keeps the definition that closes first (the inner one).
+    """
 
     def cut(texts: Column) -> Column:
-        return F.transform(
-            spans,
-            lambda c: F.struct(
-                F.element_at(tokens.name_parts(F.get(toks, c["name"]), d), -1).alias("name"),
-                F.regexp_replace(
-                    F.array_join(F.slice(texts, c.open + 2, c.close - c.open - 1), ""),
-                    r"^\s+|\s+$",
-                    "",
-                ).alias("body"),
-            ),
-        )
+        def body(n: Column) -> Column:
+            c = F.get(spans, F.array_position(names, n).cast("int") - 1)
+            text = F.array_join(F.slice(texts, c.open + 2, c.close - c.open - 1), "")
+            return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+        unique = F.array_distinct(names)
+        return F.map_from_arrays(unique, F.transform(unique, body))
 
     # The second pass over the text runs only for scripts that have a CTE.
     return F.when(F.size(spans) > 0, let(tokens.covering_tokens(content, d), cut)).otherwise(
-        F.array().cast("array<struct<name:string,body:string>>")
+        F.create_map().cast(_NO_CTES)
     )
 
 
-def _dependencies(base: Column, target: Column, refs: Column, ctes: Column, d: Dialect, match: str) -> Column:
+def _dependencies(base: Column, target: Column, refs: Column, cte_names: Column, d: Dialect, match: str) -> Column:
     """Sorted distinct names a script reads; CTE names become ``cte:<file>:<name>``."""
     names = F.transform(
         refs,
@@ -124,7 +129,6 @@ def _dependencies(base: Column, target: Column, refs: Column, ctes: Column, d: D
             ),
         ),
     )
-    cte_names = F.transform(ctes, lambda c: c["name"])
 
     def rewrite(x: Column) -> Column:
         if match == "bare":
@@ -149,27 +153,29 @@ def parse_scripts(
     scripts: DataFrame,
     dialect: str = "bigquery",
     match: str = "bare",
-    keep_content: bool = True,
+    columns: tuple[str, ...] = RECORD,
 ) -> DataFrame:
     """One record per script: target, layer, type, dependencies, CTEs, error.
 
     Only the first statement is read.  ``match='bare'`` compares names with the
     target and with CTE names by their last part; ``'qualified'`` compares the
     names as written.  A script that cannot be read keeps a row of type
-    ``unknown`` with no dependencies and an ``error``.
+    ``unknown`` with no dependencies and an ``error``.  Only the record
+    ``columns`` asked for are computed; ``LIGHT`` is enough for a graph.
     """
     if match not in ("bare", "qualified"):
         raise ValueError("match must be 'bare' or 'qualified'")
+    if not set(columns) <= set(RECORD):
+        raise ValueError(f"columns must be among {RECORD}")
     dialect_of(dialect)
-    parsed = _record_column(dialect.lower(), match, scripts.sparkSession.sparkContext.applicationId)
+    app = scripts.sparkSession.sparkContext.applicationId
+    record = _record_column(dialect.lower(), match, tuple(columns), app)
     # A generator keeps later filters and projections from copying the scan into themselves.
-    kept = ["path", "content"] if keep_content else ["path"]
-    rows = scripts.select(*kept, F.inline(F.array(parsed)))
-    return rows.select(*[c for c in RECORD if c in rows.columns])
+    return scripts.select(F.inline(F.array(record)))
 
 
-@functools.lru_cache(maxsize=32)
-def _record_column(dialect: str, match: str, app_id: str) -> Column:
+@functools.lru_cache(maxsize=64)
+def _record_column(dialect: str, match: str, columns: tuple[str, ...], app_id: str) -> Column:
     """The record as one column over ``path`` and ``content``.
 
     It does not depend on the DataFrame, so it is built once per session.
@@ -177,63 +183,51 @@ def _record_column(dialect: str, match: str, app_id: str) -> Column:
     d = dialect_of(dialect)
     path, content = F.col("path"), F.col("content")
 
-    def record(toks: Column, low: Column, x: Column) -> Column:
-        good = x.error.isNull()
-        base = x.base
+    def record(toks: Column, x: Column) -> Column:
+        good, base = x.error.isNull(), x.base
 
         def finish(y: Column) -> Column:
-            names = F.array_distinct(F.transform(y.ctes, lambda c: c["name"]))
-            # A name defined twice keeps the definition that closes first (the inner one).
-            bodies = F.transform(
-                names,
-                lambda n: F.get(F.filter(y.ctes, lambda c: c["name"] == n), F.lit(0)).body,
-            )
-            return F.struct(
-                base.alias("id"),
-                F.when(good, y.target.label).otherwise(base).alias("label"),
-                naming.layer_of(path).alias("layer"),
-                F.when(~good, "unknown")
-                .when(x.head.kind == "view", "view")
-                .otherwise("table")
-                .alias("type"),
-                F.when(good, y.target.project).otherwise("n/a").alias("project"),
-                F.when(good, y.target.dataset).otherwise("n/a").alias("dataset"),
-                F.when(good, _dependencies(base, y.target, x.s.refs, y.ctes, d, match))
-                .otherwise(F.array().cast(_NO_NAMES))
-                .alias("dependencies"),
-                F.when(good, F.map_from_arrays(names, bodies))
-                .otherwise(F.create_map().cast(_NO_CTES))
-                .alias("ctes"),
-                x.error.alias("error"),
-            )
+            fields = {
+                "id": base,
+                "label": F.when(good, y.target.label).otherwise(base),
+                "layer": naming.layer_of(path),
+                "type": F.when(~good, "unknown").when(x.head.kind == "view", "view").otherwise("table"),
+                "project": F.when(good, y.target.project).otherwise("n/a"),
+                "dataset": F.when(good, y.target.dataset).otherwise("n/a"),
+                "path": path,
+                "dependencies": F.when(
+                    good, _dependencies(base, y.target, x.s.refs, y.cte_names, d, match)
+                ).otherwise(F.array().cast(_NO_NAMES)),
+                "content": content,
+                "ctes": F.when(good, _cte_bodies(content, y.cte_names, x.s.ctes, d)).otherwise(
+                    F.create_map().cast(_NO_CTES)
+                ),
+                "error": x.error,
+            }
+            return F.struct(*[fields[c].alias(c) for c in RECORD if c in columns])
 
-        parts = F.struct(
-            _target(path, base, x.head, d).alias("target"),
-            _cte_spans(content, toks, x.s.ctes, d).alias("ctes"),
+        cte_names = F.transform(
+            x.s.ctes, lambda c: F.element_at(tokens.name_parts(F.get(toks, c["name"]), d), -1)
         )
+        parts = F.struct(_target(path, base, x.head, d).alias("target"), cte_names.alias("cte_names"))
         return let(parts, finish)
 
     def analyse(toks: Column, low: Column) -> Column:
-        first = F.struct(
-            tokens.scan(
-                tokens.events(toks, low, d), low, from_first=dialect == "duckdb"
-            ).alias("s"),
+        read = F.struct(
+            tokens.scan(tokens.events(toks, low, d), low, from_first=dialect == "duckdb").alias("s"),
             tokens.create_head(toks, low, d).alias("head"),
-            naming.file_base(path).alias("base"),
-        )
-        return let(
-            first,
-            lambda f: let(
-                F.struct(
-                    f.s.alias("s"),
-                    f.head.alias("head"),
-                    f.base.alias("base"),
-                    _error(toks, low, f.s, f.head, d).alias("error"),
-                ),
-                lambda x: record(toks, low, x),
-            ),
         )
 
+        def judged(r: Column) -> Column:
+            return F.struct(
+                r.s.alias("s"),
+                r.head.alias("head"),
+                naming.file_base(path).alias("base"),
+                _error(toks, low, r.s, r.head, d).alias("error"),
+            )
+
+        return let(read, lambda r: let(judged(r), lambda x: record(toks, x)))
+
     return let(
         tokens.raw_tokens(content, d),
         lambda toks: let(F.transform(toks, lambda t: F.lower(t)), lambda low: analyse(toks, low)),

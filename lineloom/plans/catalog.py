@@ -17,7 +17,7 @@ from lineloom.plans import lineage as lin
 from lineloom.plans import mart
 from lineloom.session import materialize, scratch_path
 from lineloom.sources import snapshots, tables
-from lineloom.sources.corpus import corpus
+from lineloom.sources.corpus import corpus, use_all_cores
 from lineloom.sources.scripts import relative_path, script_scan
 
 QUERIES = {}
@@ -32,17 +32,22 @@ def _scripts(spark: SparkSession, sf: str) -> DataFrame:
     return corpus(tables.table(spark, sf, "part"), "p_partkey")
 
 
-def _all_records(spark, sf) -> DataFrame:
+def _all_records(spark, sf, columns=parse.LIGHT) -> DataFrame:
     """One record per file, copies included."""
-    return parse.parse_scripts(_scripts(spark, sf), keep_content=False)
+    return parse.parse_scripts(_scripts(spark, sf), columns=columns)
 
 
-def _records(spark, sf) -> DataFrame:
-    return lin.records(_scripts(spark, sf))
+def _records(spark, sf, columns=parse.LIGHT) -> DataFrame:
+    """One record per id."""
+    return lin.records(_scripts(spark, sf), columns=columns)
+
+
+def _stored(spark, sf) -> DataFrame:
+    return lin.stored_records(_scripts(spark, sf))
 
 
 def _resolved(spark, sf) -> DataFrame:
-    return lin.resolved_deps(_records(spark, sf))
+    return lin.resolved_deps(_stored(spark, sf))
 
 
 def _edges(spark, sf) -> DataFrame:
@@ -155,7 +160,7 @@ def target_name(spark, sf):
 
 @query
 def cte_extract(spark, sf):
-    return parse.cte_extract(_all_records(spark, sf))
+    return parse.cte_extract(_all_records(spark, sf, parse.TEXTLESS))
 
 
 @query
@@ -165,7 +170,7 @@ def table_refs(spark, sf):
 
 @query
 def parse_quarantine(spark, sf):
-    _, bad = parse.parse_quarantine(_all_records(spark, sf))
+    _, bad = parse.parse_quarantine(_all_records(spark, sf, parse.TEXTLESS))
     return bad.select("id", "label", "layer", "type", "project", "dataset", "path", F.size("dependencies").alias("n_deps"), "error")
 
 
@@ -176,7 +181,7 @@ def last_definition_wins(spark, sf):
 
 @query
 def parse_summary(spark, sf):
-    return parse.parse_summary(_records(spark, sf))
+    return parse.parse_summary(_records(spark, sf, parse.TEXTLESS))
 
 
 # --- B. graph ----------------------------------------------------------------
@@ -204,7 +209,7 @@ def ghost_edges(spark, sf):
 
 @query
 def cte_nodes(spark, sf):
-    records = _records(spark, sf)
+    records, _ = materialize(_records(spark, sf, parse.TEXTLESS), "records")
     nodes = graph.cte_nodes(parse.table_refs(records))
     return nodes.join(graph.cte_contents(records), "id")
 
@@ -270,7 +275,7 @@ def select_tree(spark, sf):
 
 @query
 def visible_nodes(spark, sf):
-    nodes = _records(spark, sf).select(*graph.NODE)
+    nodes = _stored(spark, sf).select(*graph.NODE)
     return views.visible_nodes(nodes, ["bronze", "gold", "other"], nodes.where("type = 'view'"))
 
 
@@ -484,7 +489,8 @@ def gold_product_performance(spark, sf):
         F.col("l_extendedprice").cast(gold.MONEY).alias("price"),
     )
     packed = F.to_json(F.array(item(F.lit(1)), item(F.col("l_quantity") - 1)))
-    return gold.product_performance(_t(spark, sf, "lineitem").select(packed.alias("items")))
+    lines = _t(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice")
+    return gold.product_performance(use_all_cores(lines).select(packed.alias("items")))
 
 
 @query

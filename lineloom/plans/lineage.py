@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from lineloom.operators import closure, graph
 from lineloom.operators.folders import folder_filter
-from lineloom.operators.parse import last_definition_wins, parse_scripts, table_refs
+from lineloom.operators.parse import LIGHT, last_definition_wins, parse_scripts, table_refs
 from lineloom.session import materialize
 
 
@@ -21,9 +21,24 @@ class Lineage:
     edges: DataFrame
 
 
-def records(scripts: DataFrame, dialect: str = "bigquery", match: str = "bare") -> DataFrame:
-    """One record per id, without the script text."""
-    return last_definition_wins(parse_scripts(scripts, dialect, match, keep_content=False))
+def records(
+    scripts: DataFrame,
+    dialect: str = "bigquery",
+    match: str = "bare",
+    columns: tuple[str, ...] = LIGHT,
+) -> DataFrame:
+    """One record per id; without the script text unless asked for."""
+    return last_definition_wins(parse_scripts(scripts, dialect, match, columns))
+
+
+def stored_records(scripts: DataFrame, dialect: str = "bigquery", match: str = "bare") -> DataFrame:
+    """The records a graph needs, written once.
+
+    Nodes, names and dependencies all read them, and the optimizer gives each
+    reader its own copy of the plan; stored, the texts are scanned once and
+    only short columns move.
+    """
+    return materialize(records(scripts, dialect, match), "records")[0]
 
 
 def resolved_deps(parsed: DataFrame) -> DataFrame:
@@ -37,13 +52,8 @@ def lineage(
     discovery: bool = False,
     match: str = "bare",
 ) -> Lineage:
-    """Nodes and edges of the selected folders' scripts.
-
-    The light records are written once, because nodes, names and dependencies
-    all read them; the texts are scanned once and never shuffled.
-    """
-    chosen = folder_filter(scripts, folders)
-    parsed, _ = materialize(records(chosen, dialect, match), "records")
+    """Nodes and edges of the selected folders' scripts."""
+    parsed = stored_records(folder_filter(scripts, folders), dialect, match)
     resolved = resolved_deps(parsed)
     if discovery:
         resolved, _ = materialize(resolved, "resolved")

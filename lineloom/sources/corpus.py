@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a small file over all cores before CPU-heavy work; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(keys: DataFrame, key: str) -> DataFrame:
     """``scripts(path, content)`` with one script per key and a few copies."""
     k = F.col("k")
@@ -18,12 +24,7 @@ def corpus(keys: DataFrame, key: str) -> DataFrame:
     text = lambda c: c.cast("string")
     q = F.lit("'")
 
-    keys = keys.select(key)
-    # Reading scripts is CPU work: a small key file must not leave cores idle.
-    cores = keys.sparkSession.sparkContext.defaultParallelism
-    if keys.rdd.getNumPartitions() < cores:
-        keys = keys.repartition(cores)
-    base = keys.select(F.col(key).cast("long").alias("k")).select(
+    base = use_all_cores(keys.select(key)).select(F.col(key).cast("long").alias("k")).select(
         "k",
         F.concat(F.lit("t"), text(k)).alias("nm"),
         F.concat(F.lit("ds"), text(k % 7)).alias("ds"),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from lineloom.sources.tables import path_exists
 
 METADATA_SCHEMA = "key string, value string"
 DEFAULT_NAME = "sql_diagram"
@@ -46,15 +46,13 @@ def snapshot_load(
     fmt: str = "parquet",
 ) -> DataFrame:
     """Read ``nodes``, ``edges`` or ``metadata`` back; empty when never saved."""
-    try:
-        return spark.read.schema(schema).format(fmt).load(_part(base, name, part))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    path = _part(base, name, part)
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def metadata_of(spark: SparkSession, base: str, name: str = DEFAULT_NAME, fmt: str = "parquet") -> dict:
     """The handful of settings saved with a graph."""
     rows = snapshot_load(spark, base, "metadata", METADATA_SCHEMA, name, fmt)
-    return {r["key"]: json.loads(r["value"]) for r in rows.select("key", F.col("value")).toLocalIterator()}
+    return {r["key"]: json.loads(r["value"]) for r in rows.select("key", "value").toLocalIterator()}

@@ -9,6 +9,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def create_table(df: DataFrame, path: str, replace: bool = False) -> DataFrame:
     """CREATE [OR REPLACE] TABLE AS: without ``replace`` an existing table is an error."""
     df.write.mode("overwrite" if replace else "errorifexists").parquet(path)
