@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.operators.closure import Closure, descendant_count
+
 # Order of the layers from raw to serving.
 LAYER_RANK = {"bronze": 1, "silver": 2, "gold": 3}
 
@@ -15,15 +17,14 @@ def audit_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(touched, "id", "left_anti")
 
 
-def audit_cycles(pairs: DataFrame) -> DataFrame:
+def audit_cycles(closed: Closure) -> DataFrame:
     """(id): nodes that reach themselves."""
-    return pairs.where("node = anc").select(F.col("node").alias("id"))
+    return closed.looped()
 
 
-def audit_impact(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def audit_impact(nodes: DataFrame, closed: Closure) -> DataFrame:
     """(id, n): distinct nodes that depend on each node, 0 where none does."""
-    counts = pairs.where("node <> anc").groupBy(F.col("anc").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    return descendant_count(nodes, closed)
 
 
 def with_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,10 +3,14 @@
 Only a row count crosses to the driver each round.  Every round's result is a
 Parquet table in the shared folder, so plans stay short and a lost executor
 costs at most one round.
+
+Names are replaced by 8-byte keys before the closure is built: its pairs far
+outnumber the nodes, so the name of a node should not travel with each of them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -19,21 +23,68 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def ancestor_pairs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(node, anc, dist): every ancestor of every node and its distance.
+@dataclass(frozen=True)
+class Closure:
+    """All ancestor pairs of a graph, by key.
+
+    ``keys(id, key)`` names the keys; ``pairs(node, anc, dist)`` holds each
+    ancestor of each node once with its distance.  ``(n, n)`` marks a node on a
+    cycle.
+    """
+
+    keys: DataFrame
+    pairs: DataFrame
+
+    def named(self) -> DataFrame:
+        """(node, anc, dist) with names."""
+        node = self.keys.select(F.col("key").alias("node"), F.col("id").alias("node_id"))
+        anc = self.keys.select(F.col("key").alias("anc"), F.col("id").alias("anc_id"))
+        return (
+            self.pairs.join(node, "node")
+            .join(anc, "anc")
+            .select(F.col("node_id").alias("node"), F.col("anc_id").alias("anc"), "dist")
+        )
+
+    def counts(self, by: str) -> DataFrame:
+        """(id, n): other nodes paired with each node on side ``by``.
+
+        Counted per key with partial aggregation; only one row per node is named.
+        """
+        per_key = (
+            self.pairs.where("node <> anc").groupBy(F.col(by).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        )
+        return per_key.join(self.keys, "key").select("id", "n")
+
+    def looped(self) -> DataFrame:
+        """(id): nodes that reach themselves."""
+        return self.pairs.where("node = anc").select(F.col("node").alias("key")).join(self.keys, "key").select("id")
+
+
+def _keyed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``keys(id, key)`` and the distinct edges as (node, anc).
+
+    Keys are made while the distinct names are written, so they are unique by
+    construction and fixed from then on.
+    """
+    links, _ = materialize(edges.select("source", "target").distinct(), "links")
+    ids = links.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    keys, _ = materialize(ids.select("id", F.monotonically_increasing_id().alias("key")), "keys")
+    source = keys.select(F.col("id").alias("source"), F.col("key").alias("anc"))
+    target = keys.select(F.col("id").alias("target"), F.col("key").alias("node"))
+    return keys, links.join(source, "source").join(target, "target").select("node", "anc")
+
+
+def closure(edges: DataFrame, max_depth: int | None = None) -> Closure:
+    """Every ancestor of every node.
 
     Distances double per round: a walk longer than ``d`` starts with a walk of
     exactly ``d``, so pairs at distance exactly ``d`` joined with all known
     pairs reach every distance up to ``2d``.  A graph of depth D takes about
-    log2(D) rounds and stops on cycles by itself; ``(n, n)`` marks a node on a
-    cycle.  ``max_depth`` limits the distance on request.
+    log2(D) rounds and stops on cycles by itself.  ``max_depth`` limits the
+    distance on request.
     """
-    first = (
-        edges.select(F.col("target").alias("node"), F.col("source").alias("anc"))
-        .distinct()
-        .withColumn("dist", F.lit(1))
-    )
-    found, seen = materialize(first, "pairs", edge_rows=F.count(F.lit(1)))
+    keys, links = _keyed(edges)
+    found, seen = materialize(links.withColumn("dist", F.lit(1)), "pairs", edge_rows=F.count(F.lit(1)))
     known = [found]
     reach, at_reach = 1, seen["edge_rows"]
     while at_reach and (max_depth is None or reach < max_depth):
@@ -61,7 +112,26 @@ def ancestor_pairs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
         if seen["rows"]:
             known.append(found)
         at_reach = seen["at_reach"]
-    return _union(known)
+    return Closure(keys, _union(known))
+
+
+def ancestor_pairs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, anc, dist): every ancestor of every node and its distance."""
+    return closure(edges, max_depth).named()
+
+
+def _per_node(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def nested_count(nodes: DataFrame, closed: Closure) -> DataFrame:
+    """(id, n): distinct ancestors without the node itself, 0 where there are none."""
+    return _per_node(nodes, closed.counts("node"))
+
+
+def descendant_count(nodes: DataFrame, closed: Closure) -> DataFrame:
+    """(id, n): distinct descendants without the node itself, 0 where there are none."""
+    return _per_node(nodes, closed.counts("anc"))
 
 
 def _steps(edges: DataFrame, up: bool, down: bool) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.functions.naming import last_part
+from lineloom.operators.closure import Closure, nested_count
 
 NODE = ("id", "label", "layer", "type", "project", "dataset", "path")
 EDGE = ("edge_id", "source", "target", "kind")
@@ -163,16 +164,8 @@ def direct_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nested_count(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distinct ancestors per node without the node itself, 0 where there are none."""
-    counts = (
-        pairs.where("node <> anc").groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def node_table(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def node_table(nodes: DataFrame, edges: DataFrame, closed: Closure) -> DataFrame:
     """Nodes with both counts."""
     direct = direct_count(nodes, edges).select("id", F.col("n").cast("int").alias("direct_count"))
-    nested = nested_count(nodes, pairs).select("id", F.col("n").alias("nested_count"))
+    nested = nested_count(nodes, closed).select("id", F.col("n").alias("nested_count"))
     return nodes.join(direct, "id").join(nested, "id")

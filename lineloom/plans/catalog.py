@@ -241,7 +241,7 @@ def ancestor_pairs(spark, sf):
 @query
 def nested_count(spark, sf):
     nodes, edges = _stored_graph(spark, sf)
-    return graph.nested_count(nodes, closure.ancestor_pairs(edges))
+    return closure.nested_count(nodes, closure.closure(edges))
 
 
 @query
@@ -372,13 +372,13 @@ def audit_orphans(spark, sf):
 
 @query
 def audit_cycles(spark, sf):
-    return audit.audit_cycles(closure.ancestor_pairs(_edges(spark, sf)))
+    return audit.audit_cycles(closure.closure(_edges(spark, sf)))
 
 
 @query
 def audit_impact(spark, sf):
     nodes, edges = _stored_graph(spark, sf)
-    return audit.audit_impact(nodes, closure.ancestor_pairs(edges))
+    return audit.audit_impact(nodes, closure.closure(edges))
 
 
 @query

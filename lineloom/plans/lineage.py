@@ -72,8 +72,7 @@ def full_graph(
     """(nodes with direct and nested counts, edges)."""
     g = lineage(scripts, folders, dialect, discovery, match)
     edges, _ = materialize(g.edges, "edges")
-    pairs = closure.ancestor_pairs(edges, max_depth)
-    return graph.node_table(g.nodes, edges, pairs), edges
+    return graph.node_table(g.nodes, edges, closure.closure(edges, max_depth)), edges
 
 
 def lineage_action(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, action: str) -> DataFrame:
