@@ -21,8 +21,8 @@ def relative_path(path: Column, root: str) -> Column:
 def script_scan(spark: SparkSession, root: str, glob: str = "*.sql") -> DataFrame:
     """``(path, content)``: every script under ``root``, one row per file.
 
-    Files are packed into read tasks by size.  Folders whose name starts with a
-    dot or an underscore are skipped by Spark's file listing.
+    Files are packed into read tasks by size.  Spark's file listing skips empty
+    files, and folders whose name starts with a dot or an underscore.
     """
     return (
         spark.read.option("recursiveFileLookup", "true")
