@@ -82,11 +82,18 @@ def _at(arr: Column, pos) -> Column:
 
 
 def _looks_like_name(raw: Column, word: Column, d: Dialect) -> Column:
-    heads = "".join("\\" + q for q in d.name_quotes + d.string_quotes)
-    # A lone quote mark is an unclosed literal, not a name.
-    return (
-        raw.rlike(rf"^(?:[\p{{L}}_$@]|[{heads}].)") & ~word.isin(*NOT_A_NAME)
+    """A word, or a quoted name or literal, that can stand for a table."""
+    first = F.ascii(raw)
+    quotes = [ord(q) for q in d.name_quotes + d.string_quotes]
+    opens = (
+        first.between(ord("a"), ord("z"))
+        | first.between(ord("A"), ord("Z"))
+        | first.isin(ord("_"), ord("$"), ord("@"))
+        # A lone quote mark is an unclosed literal, not a name.
+        | (first.isin(*quotes) & (F.length(raw) > 1))
+        | ((first > 127) & raw.rlike(r"^\p{L}"))
     )
+    return opens & ~word.isin(*NOT_A_NAME)
 
 
 def events(toks: Column, low: Column, d: Dialect) -> Column:
