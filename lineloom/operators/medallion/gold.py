@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
 
-# Tasks one (user, day) of orders may be spread over in the funnel.
-FUNNEL_SALTS = 16
-
 
 def _money_sum(amount: Column) -> Column:
     return F.sum(amount.cast(MONEY)).cast("double")
@@ -58,21 +55,22 @@ def product_performance(orders: DataFrame, items: str = "items") -> DataFrame:
     )
 
 
-def conversion_funnel(sessions: DataFrame, orders: DataFrame) -> DataFrame:
+def conversion_funnel(sessions: DataFrame, orders: DataFrame, salts: int = 1) -> DataFrame:
     """Sessions, orders made during a session, and their ratio per user.
 
     ``sessions(user_id, session_id, session_start, session_end)`` and
     ``orders(user_id, order_id, order_timestamp)``.  Counting distinct orders
     over the left interval join equals counting the orders that fall in at
     least one session, so the join becomes a semi-join that emits no pairs.  It
-    runs on (user, day, salt): a session covers the days from its start to its
-    end, and the salt spreads one user's busy day over several tasks.
+    runs on (user, day): a session covers the days from its start to its end.
+    The orders are the outer side, so adaptive execution splits a busy user's
+    day; where that is off, ``salts`` spreads it over as many tasks at the
+    price of as many copies of each session.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(FUNNEL_SALTS - 1)))
     days = F.sequence(F.to_date("session_start"), F.to_date("session_end"))
     windows = (
         sessions.select("user_id", "session_start", "session_end", F.explode(days).alias("day"))
-        .select("*", salts.alias("salt"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         .alias("s")
     )
     placed = orders.select(
@@ -80,7 +78,7 @@ def conversion_funnel(sessions: DataFrame, orders: DataFrame) -> DataFrame:
         "order_id",
         "order_timestamp",
         F.to_date("order_timestamp").alias("day"),
-        F.pmod(F.xxhash64("order_id"), F.lit(FUNNEL_SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("order_id"), F.lit(salts)).cast("int").alias("salt"),
     ).alias("o")
     inside = F.col("o.order_timestamp").between(F.col("s.session_start"), F.col("s.session_end"))
     same = [F.col(f"o.{c}") == F.col(f"s.{c}") for c in ("user_id", "day", "salt")]

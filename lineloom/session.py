@@ -28,9 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The application's own folder under the shared one."""
+    return f"{shared_dir(spark)}/lineloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder; never reused, so retries cannot collide."""
-    return f"{shared_dir(spark)}/lineloom/{label}-{uuid.uuid4().hex}"
+    """A fresh path for one result; never reused, so retries cannot collide."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote; no DataFrame may still read it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, label: str, **metrics) -> tuple[DataFrame, dict]:

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 
 def plain_path(uri: Column) -> Column:
-    """File URI -> path: scheme and authority dropped, percent-encoding undone."""
-    bare = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    return F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
+    """Path without its scheme and authority."""
+    return F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
 
 
 def relative_path(path: Column, root: str) -> Column:
@@ -21,12 +20,16 @@ def relative_path(path: Column, root: str) -> Column:
 def script_scan(spark: SparkSession, root: str, glob: str = "*.sql") -> DataFrame:
     """``(path, content)``: every script under ``root``, one row per file.
 
-    Files are packed into read tasks by size.  Spark's file listing skips empty
+    Files are packed into read tasks by size; the binary reader takes a small
+    file several times faster than the whole-text reader.  Spark's file listing skips empty
     files, and folders whose name starts with a dot or an underscore.
     """
-    return (
-        spark.read.option("recursiveFileLookup", "true")
+    raw = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .text(root, wholetext=True)
-        .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
+        .load(root)
     )
+    # Bytes that are not UTF-8 become replacement marks; line ends become \n.
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
+    return raw.select(plain_path(F.col("path")).alias("path"), text.alias("content"))

@@ -4,6 +4,7 @@ import datetime
 
 import duckdb
 import pandas as pd
+import pytest
 
 import compare
 from lineloom.operators.medallion import bronze, gold, silver
@@ -16,7 +17,8 @@ def _check(df, sql, **frames):
     assert compare.difference(compare.spark_rows(df), compare.duck_rows(con, sql)) is None
 
 
-def test_funnel_with_a_hot_user_and_long_sessions(spark):
+@pytest.mark.parametrize("salts", [1, 8])
+def test_funnel_with_a_hot_user_and_long_sessions(spark, salts):
     t0 = datetime.datetime(2024, 1, 1)
     hours = lambda h: t0 + datetime.timedelta(hours=h)
     sessions = [(1, "a", hours(0), hours(60)), (1, "b", hours(10), hours(12)), (2, "c", hours(5), hours(5)), (3, "d", hours(1), hours(2)), (3, "d", hours(30), hours(31))]
@@ -27,6 +29,7 @@ def test_funnel_with_a_hot_user_and_long_sessions(spark):
     got = gold.conversion_funnel(
         spark.createDataFrame(sessions, "user_id long, session_id string, session_start timestamp_ntz, session_end timestamp_ntz"),
         spark.createDataFrame(orders, "user_id long, order_id long, order_timestamp timestamp_ntz"),
+        salts,
     )
     sql = """SELECT s.user_id, count(DISTINCT s.session_id) AS total_sessions, count(DISTINCT o.order_id) AS total_orders,
                coalesce(count(DISTINCT o.order_id) / nullif(count(DISTINCT s.session_id), 0), 0) AS conversion_rate

@@ -57,6 +57,10 @@ def test_aggregates_combine_before_the_shuffle(spark, small):
         assert re.search(r"Exchange hashpartitioning.*\n.*Aggregate\(", plan), name
 
 
+def test_partitioned_write_rebalances(spark):
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan_of(spark.range(9).withColumnRenamed("id", "day").hint("rebalance", "day"))
+
+
 def test_nothing_is_cut_by_local_checkpoint():
     import pathlib
 

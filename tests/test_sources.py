@@ -26,6 +26,10 @@ def test_script_scan_reads_every_script(spark, tmp_path):
     got = {r["path"]: r["content"] for r in rel.collect()}
     # Spark's file listing leaves out empty files and folders starting with a dot.
     assert got == {k: texts[k] for k in ("top.sql", "silver/x y+z%.sql", "silver/deep/er/q.sql")}
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "crlf.sql").write_bytes(b"-- x\r\nSELECT 1 -- y\rFROM a\xff")
+    odd = script_scan(spark, str(tmp_path / "odd")).first()
+    assert odd["content"] == "-- x\nSELECT 1 -- y\nFROM a\ufffd"
     parsed = {r["id"]: r for r in parse_scripts(found).collect()}
     assert parsed["x y+z%"]["layer"] == "silver" and parsed["x y+z%"]["dependencies"] == ["b"]
 
@@ -71,3 +75,14 @@ def test_partitioned_write_prunes(spark, tmp_path):
     one = stored.where("day = 4")
     assert "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().executedPlan().toString()
     assert one.count() == df.where("day = 4").count()
+
+
+def test_scratch_lives_in_the_shared_folder_and_can_be_cleared(spark):
+    from lineloom import session
+
+    stored, seen = session.materialize(spark.range(4), "probe", n=F.count(F.lit(1)))
+    assert seen == {"n": 4} and stored.count() == 4
+    path = session.scratch_root(spark)
+    assert path.startswith(session.shared_dir(spark)) and tables.path_exists(spark, path)
+    session.clear_scratch(spark)
+    assert not tables.path_exists(spark, path)
