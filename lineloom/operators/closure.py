@@ -226,30 +226,31 @@ def topo_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A node is ranked once all its inputs are.  Nodes on a cycle, and nodes
     built from one, never get there: they keep a null rank and ``cyclic``.
     """
-    links, _ = materialize(edges.select("source", "target").distinct(), "links")
+    distinct = edges.select("source", "target").distinct()
+    need = distinct.groupBy("target").agg(F.count(F.lit(1)).alias("need"))
+    # Each link carries how many inputs its target waits for, so a round needs
+    # one join and one aggregate.
+    links, _ = materialize(distinct.join(need, "target"), "links")
     ids, _ = materialize(nodes.select("id").distinct(), "ids")
-    need, _ = materialize(
-        links.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("need")), "need"
-    )
+    targets = links.select(F.col("target").alias("id"))
     ready, seen = materialize(
-        ids.join(need, "id", "left_anti").select("id", F.lit(0).alias("rank")),
+        ids.join(targets, "id", "left_anti").select("id", F.lit(0).alias("rank")),
         "rank",
         n=F.count(F.lit(1)),
     )
     ranked, waiting, rank = [ready], None, 0
     while seen["n"]:
         rank += 1
-        got = (
-            ready.join(links, F.col("id") == F.col("source"))
-            .groupBy(F.col("target").alias("id"))
-            .agg(F.count(F.lit(1)).alias("got"))
+        arrived = ready.join(links, F.col("id") == F.col("source")).select(
+            F.col("target").alias("id"), F.lit(1).cast("long").alias("got"), "need"
         )
         if waiting is not None:
-            got = got.unionByName(waiting).groupBy("id").agg(F.sum("got").alias("got"))
-        state = got.join(need, "id").select("id", "got", (F.col("got") == F.col("need")).alias("full"))
-        done, seen = materialize(state, "rank", n=F.count(F.when(F.col("full"), 1)))
-        ready = done.where("full").select("id", F.lit(rank).alias("rank"))
-        waiting = done.where("NOT full").select("id", "got")
+            arrived = arrived.unionByName(waiting)
+        state = arrived.groupBy("id").agg(F.sum("got").alias("got"), F.max("need").alias("need"))
+        full = F.col("got") == F.col("need")
+        done, seen = materialize(state, "rank", n=F.count(F.when(full, 1)))
+        ready = done.where(full).select("id", F.lit(rank).alias("rank"))
+        waiting = done.where(~full)
         ranked.append(ready)
     ranks = _union(ranked)
     return ids.join(ranks, "id", "left").select("id", "rank", F.col("rank").isNull().alias("cyclic"))
