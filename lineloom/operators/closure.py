@@ -23,6 +23,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _compact(frames: list[DataFrame], label: str, limit: int = 16) -> list[DataFrame]:
+    """One table instead of many, so deep graphs do not grow the plan with every round."""
+    return frames if len(frames) < limit else [materialize(_union(frames), label)[0]]
+
+
 @dataclass(frozen=True)
 class Closure:
     """All ancestor pairs of a graph, by key.
@@ -189,7 +194,7 @@ def reachable(
         frontier, seen = materialize(
             fresh, "reach", pending=F.count(F.when(F.col("hop") == depth, 1))
         )
-        known.append(frontier)
+        known = _compact([*known, frontier], "reach")
         frontier = frontier.where(F.col("hop") == depth)
         pending = seen["pending"]
     return _union(known)
@@ -251,6 +256,6 @@ def topo_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         done, seen = materialize(state, "rank", n=F.count(F.when(full, 1)))
         ready = done.where(full).select("id", F.lit(rank).alias("rank"))
         waiting = done.where(~full)
-        ranked.append(ready)
+        ranked = _compact([*ranked, ready], "rank")
     ranks = _union(ranked)
     return ids.join(ranks, "id", "left").select("id", "rank", F.col("rank").isNull().alias("cyclic"))
