@@ -17,6 +17,13 @@ def use_all_cores(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _spread(keys: DataFrame) -> DataFrame:
+    """Even partitions of the keys: a file's splits may be empty but for one, and
+    a key is tiny next to the script made from it."""
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(max(cores, keys.rdd.getNumPartitions()))
+
+
 def corpus(keys: DataFrame, key: str) -> DataFrame:
     """``scripts(path, content)`` with one script per key and a few copies."""
     k = F.col("k")
@@ -24,7 +31,7 @@ def corpus(keys: DataFrame, key: str) -> DataFrame:
     text = lambda c: c.cast("string")
     q = F.lit("'")
 
-    base = use_all_cores(keys.select(key)).select(F.col(key).cast("long").alias("k")).select(
+    base = _spread(keys.select(key)).select(F.col(key).cast("long").alias("k")).select(
         "k",
         F.concat(F.lit("t"), text(k)).alias("nm"),
         F.concat(F.lit("ds"), text(k % 7)).alias("ds"),
