@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from lineloom.llm.codec import op4_sentencepiece
 from lineloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from lineloom.llm.langid import op9_language_id
 from lineloom.llm.license_scan import op1_license_scan
 from lineloom.llm.line_dedup import op10_line_dedup
 from lineloom.llm.mixing import op7_mixing
+from lineloom.llm.quality import op8_quality
+from lineloom.llm.token_counts import op6_token_counts
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
+    "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 
