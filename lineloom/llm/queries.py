@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lineloom.llm.codec import op4_sentencepiece
 from lineloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from lineloom.llm.jaccard_join import op2_jaccard_join
 from lineloom.llm.langid import op9_language_id
 from lineloom.llm.license_scan import op1_license_scan
 from lineloom.llm.line_dedup import op10_line_dedup
@@ -13,6 +14,7 @@ from lineloom.llm.token_counts import op6_token_counts
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_token_counts": op6_token_counts,
