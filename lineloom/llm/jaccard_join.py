@@ -249,9 +249,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the smallest key of every component; texts without words stay (keys must be unique)."""
-    kept = near_duplicates(docs, text, key, size, percent).where(F.col(key).eqNullSafe(F.col("component_id")))
-    return docs.join(kept.select(F.col(key).alias("_keep")), docs[key].eqNullSafe(F.col("_keep")), "left_semi")
+    """``docs`` with the smallest key of every component; texts without words stay.
+
+    Of rows that repeat a kept key one stays.
+    """
+    near = near_duplicates(docs, text, key, size, percent).where(F.col(key).eqNullSafe(F.col("component_id")))
+    kept = near.groupBy(F.col(key).alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
+    joined = docs.join(kept, docs[key].eqNullSafe(F.col("_keep")))
+    once = joined.where("_rows = 1 OR _keep IS NULL").select(*[docs[c] for c in docs.columns])
+    return once.unionByName(joined.where("_rows > 1").dropDuplicates([key]).select(*docs.columns))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

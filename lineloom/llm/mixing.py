@@ -149,14 +149,16 @@ def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as mixed: each row as often as the block with its first word is drawn (keys must be unique).
+    """``docs`` as mixed: each row as often as the block with its first word is drawn.
 
-    Rows without words can't be drawn; rows of an undrawn block go.
+    Rows without words can't be drawn; rows of an undrawn block go.  Rows that repeat a
+    key are drawn as often as the first drawn of them.
     """
     key = options.get("key", "doc_id")
-    mixed = mix_sources(docs, **options).where("times > 0 AND size > 0").select(F.col(key).alias("_key"), "times")
+    mixed = mix_sources(docs, **options).where("times > 0 AND size > 0")
+    mixed = mixed.groupBy(F.col(key).alias("_key")).agg(F.max("times").alias("_times"))
     joined = docs.join(mixed, docs[key].eqNullSafe(F.col("_key")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_")).drop("_")
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from lineloom.llm.jaccard_join import op2_jaccard_join
 from lineloom.llm.langid import op9_language_id
 from lineloom.llm.license_scan import op1_license_scan
 from lineloom.llm.line_dedup import op10_line_dedup
+from lineloom.llm.lm_score import op5_lm_scoring
 from lineloom.llm.mixing import op7_mixing
 from lineloom.llm.quality import op8_quality
 from lineloom.llm.token_counts import op6_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
