@@ -13,6 +13,8 @@ from lineloom.session import materialize
 MIN_WORDS = 8
 #: Position hashes are summed; 2**40 leaves room for millions of words.
 _ROOM = 1 << 40
+#: Hash buckets that are sent to every executor to leave out lines before a shuffle.
+BUCKETS = 1 << 20
 
 
 def text_lines(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -46,36 +48,43 @@ def half_keys() -> Column:
 
 
 def variant_keys(lines: DataFrame) -> DataFrame:
-    """``(h1, h2, place, k1, k2)``: hashed keys of each line's deletion neighbourhood.
+    """``(lid, k, m)``: hashed keys of each line's deletion neighbourhood, m words long.
 
     A variant is the line without its i-th word, or the whole line split after i words.  Its key holds
     the hash of the words before, the hash of the words after and both counts, so two lines
     that share a key differ in at most the one word at that place.  The hashes are sums of
     word hashes by position, running from either end, so a line of n words costs n steps.
+    A line that shares only its first half with others can only be edited behind it, and the other
+    way round, so only variants of that part are emitted.
     """
-    words = lines.select("h1", "h2", "place", "n", F.posexplode("words").alias("i", "word"))
+    words = lines.select("lid", "n", "fore", "aft", F.posexplode(F.split("joined", " ")).alias("i", "word"))
+    words = words.select("lid", "n", "fore", "aft", "i", F.xxhash64("word").alias("w"))
 
     def hashes(position: Column, seed: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), position, "word"), F.lit(_ROOM))
+        return F.pmod(F.xxhash64(F.lit(seed), position, "w"), F.lit(_ROOM))
 
-    run = W.partitionBy("h1", "h2").orderBy("i")
+    run = W.partitionBy("lid").orderBy("i")
     i, n = F.col("i"), F.col("n")
-    placed = words.select("h1", "h2", "place", "n", "i", hashes(i, 1).alias("a"), hashes(i, 2).alias("b"), hashes(n - i, 3).alias("c"), hashes(n - i, 4).alias("d"))
-    upto = run.rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy("h1", "h2")
+    upto, whole = run.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("lid")
+    placed = words.repartition("lid").select(
+        "*", hashes(i, 1).alias("a"), hashes(i, 2).alias("b"), hashes(n - i, 3).alias("c"), hashes(n - i, 4).alias("d")
+    )
     sums = placed.select(
         "*", F.sum("a").over(upto).alias("pa"), F.sum("b").over(upto).alias("pb"),
         (F.sum("c").over(whole) - F.sum("c").over(upto)).alias("sc"), (F.sum("d").over(whole) - F.sum("d").over(upto)).alias("sd"),
     )
+    half = F.floor((n - 1) / 2)
+    sums = sums.where((F.col("fore") & (i >= half - 1)) | (F.col("aft") & (i <= n - half)))
+
     def key(before_a, before_b, after_c, after_d, split, rest):
-        parts = (before_a, before_b, after_c, after_d, split.cast("int"), rest.cast("int"))
-        return F.struct(F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(9), *parts).alias("k2"))
+        parts = (before_a, before_b, after_c, after_d, split.cast("int"))
+        return F.struct(F.xxhash64(*parts).alias("k"), rest.cast("int").alias("m"))
 
     gone = key(F.col("pa") - F.col("a"), F.col("pb") - F.col("b"), F.col("sc"), F.col("sd"), i, n - 1)
     split = key(F.col("pa"), F.col("pb"), F.col("sc"), F.col("sd"), i + 1, n)
     start = key(F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("sc") + F.col("c"), F.col("sd") + F.col("d"), F.lit(0), n)
     variants = F.when(i == 0, F.array(gone, split, start)).otherwise(F.array(gone, split))
-    return sums.select("h1", "h2", "place", F.inline(variants))
+    return sums.select("lid", F.inline(variants))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -107,20 +116,30 @@ def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", min_w
     keyed = lines.select("h1", "h2", "place", "n", F.when(F.col("n") >= min_words, half_keys()).alias("halves"))
     halves = [F.min(F.get("halves", F.lit(j))).alias(f"half{j}") for j in range(4)]
     distinct, _ = materialize(keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"), *halves), "lines-distinct")
-    open_ = distinct.where("half0 IS NOT NULL").select("h1", "h2", "first", F.explode(F.array("half0", "half1", "half2", "half3")).alias("half"))
+    halves = F.posexplode(F.array("half0", "half1", "half2", "half3")).alias("which", "half")
+    open_ = distinct.where("half0 IS NOT NULL").select("h1", "h2", "first", halves)
     shared = open_.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("half")
-    suspects = open_.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct()
-    ours = suspects.select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("first"))
-    bodies = lines.join(ours, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")) & (F.col("place") == F.col("first")))
-    # Repeated rows repeat a place; one of them speaks for the line.
-    bodies, _ = materialize(bodies.select("h1", "h2", "place", "n", "words").dropDuplicates(["h1", "h2"]), "lines-suspects")
+    met = open_.join(shared, "half", "left_semi").groupBy("h1", "h2", "first")
+    met = met.agg(F.max(F.col("which") % 2 == 0).alias("fore"), F.max(F.col("which") % 2 == 1).alias("aft"))
+    met, _ = materialize(met, "lines-suspects")
+    # A bounded set of hash buckets keeps most other lines' words out of the shuffle; the join behind it is exact.
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS))
+    near_by = met.select(bucket(F.col("h1")).alias("bucket")).distinct()
+    ours = met.select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "first", "fore", "aft")
+    texts = lines.select("h1", "h2", "place", "n", F.array_join("words", " ").alias("joined"), bucket(F.col("h1")).alias("bucket"))
+    texts = texts.join(F.broadcast(near_by), "bucket", "left_semi")
+    bodies = texts.join(ours, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")) & (F.col("place") == F.col("first")))
+    # Repeated rows repeat a place; one of them speaks for the line.  Numbers follow the places.
+    bodies = bodies.select("h1", "h2", "place", "n", "fore", "aft", "joined").dropDuplicates(["h1", "h2"]).orderBy("place")
+    bodies, _ = materialize(bodies.withColumn("lid", F.monotonically_increasing_id()), "lines-bodies")
     keys, _ = materialize(variant_keys(bodies), "lines-variants")
-    earliest = keys.groupBy("k1", "k2").agg(F.min("place").alias("near"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = keys.join(earliest.select("k1", "k2", "near"), ["k1", "k2"]).where("near < place")
-    near = near.groupBy("h1", "h2").agg(F.min("near").alias("near"))
-    other = bodies.select(F.col("place").alias("near"), F.col("words").alias("others"))
-    checked = near.join(bodies, ["h1", "h2"]).join(other, "near").where(within_one_edit(F.col("words"), F.col("others")))
-    checked = checked.groupBy("h1", "h2").agg(F.min("near").alias("near"))
+    earliest = keys.groupBy("k", "m").agg(F.min("lid").alias("near"), F.max("lid").alias("last")).where("near != last")
+    near = keys.join(earliest.select("k", "m", "near"), ["k", "m"]).where("near < lid")
+    near = near.groupBy("lid").agg(F.min("near").alias("near"))
+    body = bodies.select("lid", "h1", "h2", F.split("joined", " ").alias("words"))
+    other = bodies.select(F.col("lid").alias("near"), F.col("place").alias("near_place"), F.split("joined", " ").alias("others"))
+    checked = near.join(body, "lid").join(other, "near").where(within_one_edit(F.col("words"), F.col("others")))
+    checked = checked.select("h1", "h2", F.col("near_place").alias("near"))
     marked = distinct.select("h1", "h2", "first", "rows").join(checked, ["h1", "h2"], "left")
     return marked.where("rows > 1 OR near IS NOT NULL")
 
