@@ -17,6 +17,8 @@ BLOCK, SHARD_SLOTS, STRIPES = 64, 1024, 1024
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 20240501
+#: Slots that one task draws, and the most tasks.
+SLOTS_PER_TASK, MAX_TASKS = 200_000, 20_000
 #: Rounds of the index permutation.
 ROUNDS = 12
 
@@ -82,14 +84,14 @@ def packed(docs: DataFrame, text: str, key: str, source: str, seed: int, stripes
     return joined.select("key", "source", "size", (F.col("offset") + F.col("inner")).alias("start"), "source_size")
 
 
-def mixture_slots(spark: SparkSession, targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+def mixture_slots(targets: DataFrame, words: int, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """``(shard, slot, source, block, repeat)``: the mix as slots, each holding one block of one source.
 
     A source of n blocks gets round(target / words per block) draws.  All draws are shuffled over all
     slots by one permutation, so the sources' counts in a shard of ``shard_slots`` slots are a
     multinomial draw given the totals, and totals keep the targets.  The k-th draw of a source takes block
     permutation(k mod n): every block is used once before any is used again, under a new
-    permutation each time.
+    permutation each time.  ``words`` is the size of the mix and sets the number of tasks.
     """
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     drawn = F.least(F.round(F.col("target") * blocks / F.col("source_size")), blocks * MAX_REPEATS).cast("long")
@@ -98,7 +100,8 @@ def mixture_slots(spark: SparkSession, targets: DataFrame, block: int = BLOCK, s
     plan = plan.withColumn("all", F.sum("draws").over(W.partitionBy())).where("draws > 0")
     # One row per run of draws, spread over the tasks, then one per draw.
     runs = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / 4096).cast("long"))).alias("run"))
-    runs = runs.repartition("source", "run")
+    tasks = max(2 * targets.sparkSession.sparkContext.defaultParallelism, words // block // SLOTS_PER_TASK)
+    runs = runs.repartition(min(tasks, MAX_TASKS), "source", "run")
     first = F.col("run") * 4096
     draws = runs.select("*", F.explode(F.sequence(first, F.least(first + 4095, F.col("draws") - 1))).alias("draw"))
     repeat = F.floor(F.col("draw") / F.col("blocks")).cast("long")
@@ -122,15 +125,15 @@ def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source
     nothing taken; a null source is a source of its own; equal seeds give equal mixes, whatever the
     partitioning.  Rows that repeat a key are packed side by side.
     """
-    spark = docs.sparkSession
     placed, _ = materialize(packed(docs, text, key, source, seed, stripes), "mix-packed")
     sizes = placed.groupBy("source").agg(F.max("source_size").alias("source_size"))
-    targets, _ = materialize(source_targets(sizes, weights), "mix-targets")
-    times = mixture_slots(spark, targets, block, seed=seed).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
+    targets, seen = materialize(source_targets(sizes, weights), "mix-targets", words=F.sum("source_size"))
+    times = mixture_slots(targets, seen["words"] or 0, block, seed=seed).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     last = F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / block).cast("long")
     spread = placed.select("key", "source", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), last)).alias("at"))
     inside = F.least((F.col("at") + 1) * block, F.col("start") + F.col("size")) - F.greatest(F.col("at") * block, F.col("start"))
-    t = times.select(F.col("source").alias("s"), "block", "times")
+    # The planner can't know how many blocks come from a few targets: without the hint it would broadcast them.
+    t = times.select(F.col("source").alias("s"), "block", "times").hint("merge")
     drawn = spread.join(t, spread["source"].eqNullSafe(t["s"]) & (spread["at"] == t["block"]), "left")
     taken = drawn.groupBy("key", "source", "size", "start").agg(
         F.sum(F.coalesce("times", F.lit(0)) * F.greatest(inside, F.lit(0))).alias("taken"),
