@@ -17,28 +17,44 @@ class Dialect:
     dashed: bool = False  # the first part of a dotted path may hold dashes
     dollar_strings: bool = False  # $tag$ ... $tag$
     triple_quotes: bool = False
+    nested_comments: bool = False  # a block comment may hold others
+    hash_names: bool = False  # a name may begin with #, as temporary tables do
+    wildcard_names: bool = False  # a name may end in _*
+    trailing_commas: bool = False  # a list may end with a comma
 
 
 DIALECTS = {
+    "ansi": Dialect('"', "'"),
+    "athena": Dialect('"`', "'"),
     "bigquery": Dialect(
-        "`", "'\"", True, ("--", "#"), split_quoted=True, dashed=True, triple_quotes=True
+        "`", "'\"", True, ("--", "#"), split_quoted=True, dashed=True, triple_quotes=True,
+        wildcard_names=True, trailing_commas=True,
     ),
-    "snowflake": Dialect('"', "'", True, ("--", "//"), dollar_strings=True),
-    "postgres": Dialect('"', "'", dollar_strings=True),
-    "databricks": Dialect("`", "'\"", True),
-    "spark": Dialect("`", "'\"", True),
-    "redshift": Dialect('"', "'", True),
-    "duckdb": Dialect('"', "'", dollar_strings=True),
-    "tsql": Dialect('"[', "'"),
-}
+    "clickhouse": Dialect('"`', "'", True, ("--", "#")),
+    "databricks": Dialect("`", "'\"", True, nested_comments=True),
+    "duckdb": Dialect('"', "'", dollar_strings=True, nested_comments=True, trailing_commas=True),
+    "hive": Dialect("`", "'\"", True),
+    "mysql": Dialect("`", "'\"", True, ("--", "#")),
+    "oracle": Dialect('"', "'"),
+    "postgres": Dialect('"', "'", dollar_strings=True, nested_comments=True),
+    "presto": Dialect('"', "'"),
+    "redshift": Dialect('"', "'", True, nested_comments=True, hash_names=True),
+    "snowflake": Dialect('"', "'", True, ("--", "//"), dollar_strings=True, trailing_commas=True),
+    "spark": Dialect("`", "'\"", True, nested_comments=True),
+    "sqlite": Dialect('"`[', "'"),
+    "teradata": Dialect('"', "'"),
+    "trino": Dialect('"', "'"),
+    "tsql": Dialect('"[', "'", nested_comments=True, hash_names=True),
+}
+
+#: Block comments are followed so deep where a dialect nests them.
+NESTED_COMMENTS = 8
 
 _QUOTED_NAME = {
     "`": r"`[^`]*+`",
     '"': r'"(?:[^"]++|"")*+"',
     "[": r"\[[^\]]*+\]",
 }
-_WORD = r"[\p{L}_$@][\p{L}\p{N}_$@]*+"
-_LATER_WORD = r"[\p{L}\p{N}_$@]++"
 
 
 def dialect_of(name: str) -> Dialect:
@@ -64,10 +80,18 @@ def part_pattern(d: Dialect) -> str:
     """One part of a dotted name, quoted or bare (also a whole string literal)."""
     quoted = [_QUOTED_NAME[q] for q in d.name_quotes]
     strings = [f"{q}[^{q}]*+{q}" for q in d.string_quotes]
-    bare = r"[\p{L}\p{N}_$@-]++"
+    bare = r"[\p{L}\p{N}_$@#*-]++"
     return "|".join([*quoted, *strings, bare])
 
 
+def _block_comment(depth: int) -> str:
+    inner = ""
+    for level in range(depth + 1):
+        end = r"(?:\*/|\z)"
+        inner = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*)" + (f"|{inner}" if level else r"|/(?=\*)") + ")*+" + end
+    return inner
+
+
 def token_pattern(d: Dialect) -> str:
     """Pattern whose matches tile the text: group 1 is a token, group 0 adds the
     blanks and comments before it.
@@ -77,14 +101,17 @@ def token_pattern(d: Dialect) -> str:
     trailing comment be consumed as a comment.
     """
     comments = [rf"{c}[^\n]*+" for c in d.line_comments]
-    comments.append(r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z)")
+    comments.append(_block_comment(NESTED_COMMENTS if d.nested_comments else 0))
     trivia = r"(?:[\s\u00a0\ufeff]++|" + "|".join(comments) + ")*+"
 
     quoted = [_QUOTED_NAME[q] for q in d.name_quotes]
-    first = _WORD + (r"(?:(?:-[\p{L}\p{N}_]++)++(?=\.))?+" if d.dashed else "")
+    sign = "#" if d.hash_names else ""
+    first = rf"[\p{{L}}_$@{sign}][\p{{L}}\p{{N}}_$@{sign}]*+" + (r"(?:(?:-[\p{L}\p{N}_]++)++(?=\.))?+" if d.dashed else "")
     head = "|".join([*quoted, first])
-    tail = "|".join([*quoted, _LATER_WORD])
+    tail = "|".join([*quoted, rf"[\p{{L}}\p{{N}}_$@{sign}]++"])
     dotted = rf"(?:{head})(?:\s*+\.\s*+(?:{tail}))*+"
+    if d.wildcard_names:
+        dotted += r"(?:(?<=_)\*(?![\p{L}\p{N}_(]))?+"
 
     tokens = [
         *_strings(d),

@@ -49,6 +49,23 @@ def layer_of(path: Column) -> Column:
     return out.otherwise("other")
 
 
+def below(path: Column, root: str) -> Column:
+    """The path below ``root``, so that the root's own name marks no layer."""
+    if not root:
+        return path
+    prefix = root.rstrip("/") + "/"
+    return F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
+
+
+def alias_layer_of(path: Column) -> Column:
+    """Layer by the documented folder aliases; the lowest priority number wins."""
+    folders = F.split(F.lower(folder_of(path)), "/")
+    out = F.lit("other")
+    for alias, layer, _ in sorted(LAYER_ALIASES, key=lambda a: -a[2]):
+        out = F.when(F.array_contains(folders, alias), layer).otherwise(out)
+    return out
+
+
 def folder_prefixes(folder: Column) -> Column:
     """``a/b/c`` -> [a, a/b, a/b/c]; empty for the root."""
     parts = F.split(folder, "/")

@@ -49,6 +49,29 @@ LEAD_WORDS = (
     "comment", "analyze", "cache", "refresh", "pivot", "table", "if", "(",
 )
 
+# Commands that are readable and read from no table.
+COMMAND_WORDS = (
+    "vacuum", "optimize", "reindex", "repair", "msck", "prepare", "execute", "exec", "deallocate",
+    "lock", "unlock", "kill", "reset", "start", "commit", "rollback", "savepoint", "release", "abort",
+    "attach", "detach", "install", "pragma", "checkpoint", "discard", "put", "get", "list", "remove",
+    "undrop", "unset", "clear", "uncache", "add", "do", "print", "open", "close", "fetch", "raise",
+    "rename", "import", "unload", "listen", "notify", "return", "assert", "end", "flush", "purge",
+)
+
+# Words after which something must follow.
+UNFINISHED = (
+    "select", "from", "join", "where", "group", "order", "having", "by", "on", "and", "or", "not",
+    "union", "intersect", "except", "as", "with", "in", "like", "between", "set", "into", "using",
+)
+
+# Words that may stand among plain names at the head of a select list.
+LIST_WORDS = (
+    "distinct", "all", "top", "as", "case", "not", "interval", "date", "time", "timestamp", "exists",
+    "struct", "array", "unique", "straight_join", "sql_no_cache", "sql_calc_found_rows", "at", "is", "in",
+    "like", "ilike", "rlike", "similar", "regexp", "between", "collate", "div", "mod", "xor", "bulk",
+    "value", "prior", "high_priority", "percent", "over", "escape", "except", "replace", "exclude",
+)
+
 # Objects a CREATE statement can make.
 CREATE_KINDS = (
     "table", "view", "function", "procedure", "schema", "database", "index", "sequence",
@@ -56,6 +79,25 @@ CREATE_KINDS = (
 )
 
 
+def _starts_clause(w: Column, nxt: Column, nxt2: Column, lead: Column) -> Column:
+    """Whether a clause word stands where it begins its clause, rather than as a column's name."""
+    operand = F.coalesce(nxt, F.lit(")")).rlike(r"^[=<>!+*%|&^~?:,).;/-]") | nxt.isin(
+        "and", "or", "is", "in", "between", "like", "asc", "desc", "as", "from"
+    )
+    return (
+        F.when(w.isin("where", "having"), True)
+        .when(w.isin("group", "sort", "cluster", "distribute", "connect"), nxt == "by")
+        .when(w == "order", nxt.isin("by", "siblings"))
+        .when(w == "fetch", nxt.isin("first", "next"))
+        .when(w == "window", nxt2 == "as")
+        .when(w == "values", nxt == "(")
+        .when(w == "set", (nxt == "(") | (nxt2 == "="))
+        .when(w == "when", (lead == "merge") & ((nxt == "matched") | ((nxt == "not") & (nxt2 == "matched"))))
+        .when(w.isin("limit", "qualify", "returning"), ~operand)
+        .otherwise(False)
+    )
+
+
 def raw_tokens(content: Column, d: Dialect) -> Column:
     return F.regexp_extract_all(content, F.lit(token_pattern(d)), F.lit(1))
 
@@ -88,7 +130,7 @@ def _looks_like_name(raw: Column, word: Column, d: Dialect) -> Column:
     opens = (
         first.between(ord("a"), ord("z"))
         | first.between(ord("A"), ord("Z"))
-        | first.isin(ord("_"), ord("$"), ord("@"))
+        | first.isin(*[ord(c) for c in ("_$#" if d.hash_names else "_$")])
         # A lone quote mark is an unclosed literal, not a name.
         | (first.isin(*quotes) & (F.length(raw) > 1))
         | ((first > 127) & raw.rlike(r"^\p{L}"))
@@ -127,7 +169,12 @@ def events(toks: Column, low: Column, d: Dialect) -> Column:
             | (w.isin("like", "clone", "copy") & ddl & prev2.isin("table", "view", "exists"))
             | ((w == "using") & lead.isin("merge", "delete") & (nxt != "("))
         )
-        from_head = F.coalesce(prev != "distinct", F.lit(True))
+        rows_from = (prev == "rows") & (nxt == "(") & prev2.isin(",", "from", "join", "lateral")
+        from_head = (
+            F.coalesce(prev != "distinct", F.lit(True))
+            & ~F.coalesce(rows_from, F.lit(False))
+            & ~lead.isin("grant", "revoke")
+        )
         code = (
             F.when(w == "(", OPEN)
             .when(w == ")", CLOSE)
@@ -137,7 +184,7 @@ def events(toks: Column, low: Column, d: Dialect) -> Column:
             .when((w == "from") & from_head, FROM)
             .when(w == "join", JOIN)
             .when((w == "with") & is_cte, WITH)
-            .when(w.isin(*CLAUSE_WORDS), CLAUSE)
+            .when(w.isin(*CLAUSE_WORDS) & _starts_clause(w, nxt, nxt2, lead), CLAUSE)
             .when((w == "lateral") & (nxt == "view"), CLAUSE)
             .when(target, TARGET)
             .otherwise(0)
@@ -153,6 +200,7 @@ def events(toks: Column, low: Column, d: Dialect) -> Column:
         raw, word, after = _at(toks, e.cand), _at(low, e.cand), _at(toks, e.cand + 1)
         readable = F.coalesce(_looks_like_name(raw, word, d), F.lit(False))
         call = F.coalesce(after == "(", F.lit(False)) & (e.code != TARGET)
+        call = call | ((word == "rows") & F.coalesce(F.lower(after) == "from", F.lit(False)))
         return F.struct(
             e.code.alias("code"),
             e.pos.alias("pos"),
@@ -162,6 +210,8 @@ def events(toks: Column, low: Column, d: Dialect) -> Column:
             (
                 readable
                 | F.coalesce(word.isin("(", "unnest", "values", "lateral", "table"), F.lit(False))
+                # A stage or a table variable.
+                | F.coalesce(word.startswith("@"), F.lit(False))
             ).alias("fed"),
         )
 
@@ -283,16 +333,24 @@ def scan(evs: Column, low: Column, from_first: bool) -> Column:
     return F.aggregate(evs, start, step)
 
 
+def head_end(low: Column) -> Column:
+    """How many tokens a CREATE's head has: all before the first AS, parenthesis or semicolon."""
+    stops = [F.nullif(F.array_position(low, w), F.lit(0)) for w in ("as", "(", ";")]
+    return (F.coalesce(F.least(*stops), F.size(low) + 1) - 1).cast("int")
+
+
 def create_head(toks: Column, low: Column, d: Dialect) -> Column:
-    """For ``CREATE [words] KIND [IF NOT EXISTS] name``: kind, raw name, column-list flag."""
-    words = F.slice(low, 1, 12)
-    kind_pos = F.aggregate(
-        F.sequence(F.lit(11), F.lit(1), F.lit(-1)),
-        F.lit(-1),
-        lambda best, i: F.when(_at(words, i).isin(*CREATE_KINDS), i).otherwise(best),
-    )
+    """For ``CREATE [words] KIND [IF NOT EXISTS] name``: kind, raw name, column-list flag, words of the head.
 
-    def head(k: Column) -> Column:
+    The kind is looked for in the whole head, however many words stand before it.
+    """
+
+    def head(h: Column) -> Column:
+        found = F.array_position(F.transform(h, lambda w: w.isin(*CREATE_KINDS)), True)
+        return let(F.struct((found.cast("int") - 1).alias("k"), F.size(h).alias("n")), described)
+
+    def described(x: Column) -> Column:
+        k = x.k
         name_pos = k + F.when(_at(low, k + 1) == "if", F.lit(4)).otherwise(F.lit(1))
         raw = _at(toks, name_pos)
         readable = F.coalesce(_looks_like_name(raw, _at(low, name_pos), d), F.lit(False))
@@ -300,6 +358,32 @@ def create_head(toks: Column, low: Column, d: Dialect) -> Column:
             F.when(k > 0, _at(low, k)).alias("kind"),
             F.when((k > 0) & readable, raw).alias("name"),
             F.coalesce(_at(toks, name_pos + 1) == "(", F.lit(False)).alias("has_columns"),
+            x.n.alias("words"),
+        )
+
+    return F.when(_at(low, F.lit(0)) == "create", let(F.slice(low, F.lit(1), head_end(low)), head))
+
+
+def misplaced(toks: Column, low: Column, d: Dialect) -> Column:
+    """What neighbouring tokens show to be broken, or null.  Only pairs and triples of tokens are looked at."""
+    marks = F.filter(
+        F.sequence(F.lit(0), F.size(low) - 1), lambda i: _at(low, i).isin(",", "group", "order", "select", *UNFINISHED)
+    )
+    plain = lambda i: (
+        _at(low, i).rlike(r"^[\p{L}_][\p{L}\p{N}_.]*$") & ~_at(low, i).isin(*NOT_A_NAME, *LIST_WORDS, *CLAUSE_WORDS)
+    )
+
+    def fault(i: Column) -> Column:
+        w, prev, nxt = _at(low, i), _at(low, i - 1), _at(low, i + 1)
+        closes = [",", ";", "", "where", "group", "having", "order", "union"] + ([] if d.trailing_commas else [")", "from"])
+        ended = F.coalesce(prev.rlike(r"^[\p{L}\p{N}_)\]`\"']"), F.lit(False)) & ~F.coalesce(
+            prev.isin(*UNFINISHED, "within", "resource", "create", "alter", "drop", "replace", "table", "view", "update", "to"), F.lit(False)
+        )
+        return (
+            F.when((w == ",") & nxt.isin(*closes), "misplaced comma")
+            .when(w.isin(*UNFINISHED) & F.coalesce(nxt.isin("", ";"), F.lit(True)) & (i > 0), "clause without content")
+            .when(w.isin("group", "order") & ended & plain(i + 1) & ~nxt.isin("by", "siblings", "all"), "GROUP or ORDER without BY")
+            .when((w == "select") & plain(i + 1) & plain(i + 2) & plain(i + 3), "names side by side")
         )
 
-    return F.when(_at(low, F.lit(0)) == "create", let(kind_pos, head))
+    return F.get(F.array_compact(F.transform(marks, fault)), F.lit(0))

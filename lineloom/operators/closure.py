@@ -16,16 +16,23 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.session import materialize
+from lineloom.session import discard, materialize
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _compact(frames: list[DataFrame], label: str, limit: int = 16) -> list[DataFrame]:
-    """One table instead of many, so deep graphs do not grow the plan with every round."""
-    return frames if len(frames) < limit else [materialize(_union(frames), label)[0]]
+#: Every so many rounds the tables of a loop are folded into one, so that deep graphs keep short plans.
+FOLD = 8
+
+
+def _fold(frames: list[DataFrame], turn: int, label: str) -> list[DataFrame]:
+    if turn % FOLD:
+        return frames
+    one, _ = materialize(_union(frames), label)
+    discard(*frames)
+    return [one]
 
 
 @dataclass(frozen=True)
@@ -65,8 +72,8 @@ class Closure:
         return self.pairs.where("node = anc").select(F.col("node").alias("key")).join(self.keys, "key").select("id")
 
 
-def _keyed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``keys(id, key)`` and the distinct edges as (node, anc).
+def _keyed(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``keys(id, key)``, the distinct edges as (node, anc), and the written table behind them.
 
     Keys are made while the distinct names are written, so they are unique by
     construction and fixed from then on.
@@ -76,7 +83,7 @@ def _keyed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys, _ = materialize(ids.select("id", F.monotonically_increasing_id().alias("key")), "keys")
     source = keys.select(F.col("id").alias("source"), F.col("key").alias("anc"))
     target = keys.select(F.col("id").alias("target"), F.col("key").alias("node"))
-    return keys, links.join(source, "source").join(target, "target").select("node", "anc")
+    return keys, links.join(source, "source").join(target, "target").select("node", "anc"), links
 
 
 def closure(edges: DataFrame, max_depth: int | None = None) -> Closure:
@@ -88,9 +95,9 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> Closure:
     log2(D) rounds and stops on cycles by itself.  ``max_depth`` limits the
     distance on request.
     """
-    keys, links = _keyed(edges)
+    keys, links, written = _keyed(edges)
     found, seen = materialize(links.withColumn("dist", F.lit(1)), "pairs", edge_rows=F.count(F.lit(1)))
-    known = [found]
+    known, spent = [found], []
     reach, at_reach = 1, seen["edge_rows"]
     while at_reach and (max_depth is None or reach < max_depth):
         everything = _union(known)
@@ -114,9 +121,9 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> Closure:
             rows=F.count(F.lit(1)),
             at_reach=F.count(F.when(F.col("dist") == reach, 1)),
         )
-        if seen["rows"]:
-            known.append(found)
+        (known if seen["rows"] else spent).append(found)
         at_reach = seen["at_reach"]
+    discard(written, *spent)
     return Closure(keys, _union(known))
 
 
@@ -150,56 +157,59 @@ def _steps(edges: DataFrame, up: bool, down: bool) -> DataFrame:
     return edges.select("source", "target").distinct().select(F.inline(F.array(*moves)))
 
 
-def reachable(
-    edges: DataFrame, seeds: DataFrame, up: bool = True, down: bool = True, hops: int = 4
-) -> DataFrame:
-    """(seed, id, dir, hop): nodes reachable from each seed, the seed itself at hop 0.
+def _spread(edges: DataFrame, start: DataFrame, up: bool, down: bool, hops: int) -> DataFrame:
+    """``start`` and all that follows from its rows, with the first ``hop`` of each.
 
-    The work follows the frontier of the seeds, never the whole closure.
-    ``hops`` moves are made per job: each move is one join and one distinct,
-    and only the last of them is checked for further work.
+    Rows are told apart by every column of ``start`` but ``hop``.  ``hops`` moves are made per job: each move is one
+    join and one distinct; then only the new candidates are looked up among the known rows.
     """
+    keys = [c for c in start.columns if c != "hop"]
     steps, _ = materialize(_steps(edges, up, down), "steps")
-    dirs = [d for d, on in (("up", up), ("down", down)) if on]
-    start = (
-        seeds.select(F.col("id").alias("seed"))
-        .distinct()
-        .select(
-            "seed",
-            F.col("seed").alias("id"),
-            F.explode(F.array(*[F.lit(d) for d in dirs])).alias("dir"),
-            F.lit(0).alias("hop"),
-        )
-    )
     visited, seen = materialize(start, "reach", pending=F.count(F.lit(1)))
-    known, frontier, depth = [visited], visited, 0
+    known, frontier, depth, turn = [visited], visited, 0, 0
     pending = seen["pending"]
     while pending:
-        moves, at = [], frontier.select("seed", "id", "dir")
+        moves, at = [], frontier.select(*keys)
         for k in range(1, hops + 1):
-            at = (
-                at.join(steps, ["dir", "id"])
-                .select("seed", F.col("nxt").alias("id"), "dir")
-                .distinct()
-            )
+            at = at.join(steps, ["dir", "id"]).withColumn("id", F.col("nxt")).select(*keys).distinct()
             moves.append(at.withColumn("hop", F.lit(depth + k)))
-        # What was reached before keeps a hop within the old depth.
-        fresh = (
-            _union([*known, *moves])
-            .groupBy("seed", "id", "dir")
-            .agg(F.min("hop").alias("hop"))
-            .where(F.col("hop") > depth)
-        )
-        depth += hops
-        frontier, seen = materialize(
-            fresh, "reach", pending=F.count(F.when(F.col("hop") == depth, 1))
-        )
-        known = _compact([*known, frontier], "reach")
-        frontier = frontier.where(F.col("hop") == depth)
+        reached = _union(moves).groupBy(*keys).agg(F.min("hop").alias("hop"))
+        fresh = reached.join(_union(known).select(*keys), keys, "left_anti")
+        depth, turn = depth + hops, turn + 1
+        frontier, seen = materialize(fresh, "reach", pending=F.count(F.when(F.col("hop") == depth, 1)))
         pending = seen["pending"]
+        known = _fold([*known, frontier], turn, "reach")
+        frontier = known[-1].where(F.col("hop") == depth)
+    discard(steps)
     return _union(known)
 
 
+def _seeded(seeds: DataFrame, up: bool, down: bool, per_seed: bool) -> DataFrame:
+    dirs = [d for d, on in (("up", up), ("down", down)) if on]
+    own = [F.col("id").alias("seed")] if per_seed else []
+    ids = seeds.select("id").distinct().select(*own, "id")
+    return ids.withColumn("dir", F.explode(F.array(*[F.lit(d) for d in dirs]))).withColumn("hop", F.lit(0))
+
+
+def reachable(
+    edges: DataFrame, seeds: DataFrame, up: bool = True, down: bool = True, hops: int = 4
+) -> DataFrame:
+    """(seed, id, dir, hop): nodes reachable from each seed, the seed itself at hop 0.
+
+    The work follows the frontier of the seeds, never the whole closure; its rows are
+    seeds times what each reaches, which is the result.
+    """
+    found = _spread(edges, _seeded(seeds, up, down, True), up, down, hops)
+    return found.select("seed", "id", "dir", "hop")
+
+
+def reached(
+    edges: DataFrame, seeds: DataFrame, up: bool = True, down: bool = True, hops: int = 4
+) -> DataFrame:
+    """(id, dir, hop): nodes reachable from any seed; at most two rows per node, however many seeds."""
+    return _spread(edges, _seeded(seeds, up, down, False), up, down, hops).select("id", "dir", "hop")
+
+
 def lineage_of(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, id): each seed with its ancestors and its descendants."""
     return reachable(edges, seeds).select("seed", "id").distinct()
@@ -207,17 +217,17 @@ def lineage_of(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def upstream_tree(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id): the seeds and everything they are built from."""
-    return reachable(edges, seeds, down=False).select("id").distinct()
+    return reached(edges, seeds, down=False).select("id")
 
 
 def focus_tree(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id): nodes to hide so that only the seeds' lineage stays."""
-    return nodes.select("id").join(lineage_of(edges, seeds).select("id"), "id", "left_anti")
+    return nodes.select("id").join(reached(edges, seeds).select("id"), "id", "left_anti")
 
 
 def select_tree(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, selected) for every node."""
-    chosen = lineage_of(edges, seeds).select("id").distinct().withColumn("hit", F.lit(True))
+    chosen = reached(edges, seeds).select("id").distinct().withColumn("hit", F.lit(True))
     return (
         nodes.select("id")
         .join(chosen, "id", "left")
@@ -225,37 +235,64 @@ def select_tree(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFra
     )
 
 
-def topo_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, rank, cyclic): longest path from a source.
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """(source, target): the distinct edges on cycles or on walks between cycles.
 
-    A node is ranked once all its inputs are.  Nodes on a cycle, and nodes
-    built from one, never get there: they keep a null rank and ``cyclic``.
+    Each round drops the edges whose source nothing enters or whose target nothing leaves.
     """
-    distinct = edges.select("source", "target").distinct()
-    need = distinct.groupBy("target").agg(F.count(F.lit(1)).alias("need"))
-    # Each link carries how many inputs its target waits for, so a round needs
-    # one join and one aggregate.
-    links, _ = materialize(distinct.join(need, "target"), "links")
-    ids, _ = materialize(nodes.select("id").distinct(), "ids")
-    targets = links.select(F.col("target").alias("id"))
-    ready, seen = materialize(
-        ids.join(targets, "id", "left_anti").select("id", F.lit(0).alias("rank")),
-        "rank",
-        n=F.count(F.lit(1)),
-    )
-    ranked, waiting, rank = [ready], None, 0
+    left, seen = materialize(edges.select("source", "target").distinct(), "core", n=F.count(F.lit(1)))
+    count = None
+    while seen["n"] and seen["n"] != count:
+        before, count = left, seen["n"]
+        entered = before.select(F.col("target").alias("source")).distinct()
+        exited = before.select(F.col("source").alias("target")).distinct()
+        trimmed = before.join(entered, "source", "left_semi").join(exited, "target", "left_semi")
+        left, seen = materialize(trimmed.select("source", "target"), "core", n=F.count(F.lit(1)))
+        discard(before)
+    return left
+
+
+def cycle_groups(edges: DataFrame) -> DataFrame:
+    """(id, rep): nodes on a cycle with the smallest node they reach and are reached from.
+
+    Only the cyclic core is closed transitively, which is small where cycles are rare.
+    """
+    core = cyclic_core(edges)
+    pairs = closure(core).named()
+    back = pairs.select(F.col("node").alias("anc"), F.col("anc").alias("node"))
+    return pairs.join(back, ["node", "anc"]).groupBy(F.col("node").alias("id")).agg(F.min("anc").alias("rep"))
+
+
+def topo_rank(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
+    """(id, rank, cyclic): longest path from a source, over the graph with its cycles condensed.
+
+    Nodes that reach each other share one rank and are ``cyclic``; every other node is ranked as if
+    such a group were one node.  The nodes that end a walk of k edges from a source are followed ``hops`` lengths
+    per job; a node's rank is the last k at which it ends one.
+    """
+    groups, seen = materialize(cycle_groups(edges), "cycles", n=F.count(F.lit(1)))
+    named = nodes.select("id").distinct().join(groups, "id", "left")
+    named, _ = materialize(named.select("id", F.coalesce("rep", "id").alias("rep"), F.col("rep").isNotNull().alias("cyclic")), "ids")
+    links = edges.select("source", "target").distinct()
+    for end in ("source", "target"):
+        rep = groups.select(F.col("id").alias(end), F.col("rep").alias("_rep"))
+        links = links.join(rep, end, "left").withColumn(end, F.coalesce("_rep", end)).drop("_rep")
+    links, _ = materialize(links.where("source != target").select("source", "target").distinct(), "links")
+    targets = links.select(F.col("target").alias("rep"))
+    sources = named.select("rep").distinct().join(targets, "rep", "left_anti")
+    found, seen = materialize(sources.withColumn("rank", F.lit(0)), "rank", n=F.count(F.lit(1)))
+    ranked, depth, turn = [found], 0, 0
+    frontier = found
     while seen["n"]:
-        rank += 1
-        arrived = ready.join(links, F.col("id") == F.col("source")).select(
-            F.col("target").alias("id"), F.lit(1).cast("long").alias("got"), "need"
-        )
-        if waiting is not None:
-            arrived = arrived.unionByName(waiting)
-        state = arrived.groupBy("id").agg(F.sum("got").alias("got"), F.max("need").alias("need"))
-        full = F.col("got") == F.col("need")
-        done, seen = materialize(state, "rank", n=F.count(F.when(full, 1)))
-        ready = done.where(full).select("id", F.lit(rank).alias("rank"))
-        waiting = done.where(~full)
-        ranked = _compact([*ranked, ready], "rank")
-    ranks = _union(ranked)
-    return ids.join(ranks, "id", "left").select("id", "rank", F.col("rank").isNull().alias("cyclic"))
+        levels, at = [], frontier.select("rep")
+        for k in range(1, hops + 1):
+            at = at.join(links, F.col("rep") == F.col("source")).select(F.col("target").alias("rep")).distinct()
+            levels.append(at.withColumn("rank", F.lit(depth + k)))
+        depth, turn = depth + hops, turn + 1
+        last = _union(levels).groupBy("rep").agg(F.max("rank").alias("rank"))
+        found, seen = materialize(last, "rank", n=F.count(F.when(F.col("rank") == depth, 1)))
+        ranked = _fold([*ranked, found], turn, "rank")
+        frontier = ranked[-1].where(F.col("rank") == depth)
+    ranks = _union(ranked).groupBy("rep").agg(F.max("rank").alias("rank"))
+    discard(links)
+    return named.join(ranks, "rep", "left").select("id", "rank", "cyclic")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.functions.naming import last_part
-from lineloom.operators.closure import Closure, nested_count
+from lineloom.operators.closure import Closure
 
 NODE = ("id", "label", "layer", "type", "project", "dataset", "path")
 EDGE = ("edge_id", "source", "target", "kind")
@@ -165,7 +165,34 @@ def direct_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def node_table(nodes: DataFrame, edges: DataFrame, closed: Closure) -> DataFrame:
-    """Nodes with both counts."""
-    direct = direct_count(nodes, edges).select("id", F.col("n").cast("int").alias("direct_count"))
-    nested = nested_count(nodes, closed).select("id", F.col("n").alias("nested_count"))
-    return nodes.join(direct, "id").join(nested, "id")
+    """Nodes with both counts, each joined straight onto the nodes."""
+    direct = edges.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("direct"))
+    nested = closed.counts("node").withColumnRenamed("n", "nested")
+    joined = nodes.join(direct, "id", "left").join(nested, "id", "left")
+    return joined.select(
+        *nodes.columns,
+        F.coalesce("direct", F.lit(0)).cast("int").alias("direct_count"),
+        F.coalesce("nested", F.lit(0)).alias("nested_count"),
+    )
+
+
+# Fixed value: the text of a node that no script defines.
+GHOST_TEXT = "-- Discovered dependency"
+
+
+def node_details(nodes: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(id, content, dependencies, ctes, error) of every node, joined on demand.
+
+    Script text stays out of the graph and is only read here.  ``parsed`` has one record per id with all columns.
+    A name that nobody defines has the fixed text; a CTE has its body.
+    """
+    kept = parsed.select("id", "content", "dependencies", "ctes", "error")
+    texts = cte_contents(parsed).select("id", F.col("content").alias("_body"))
+    joined = nodes.select("id", "layer").join(kept, "id", "left").join(texts, "id", "left")
+    return joined.select(
+        "id",
+        F.when(F.col("layer") == "external", F.lit(GHOST_TEXT)).otherwise(F.coalesce("content", "_body")).alias("content"),
+        F.coalesce("dependencies", F.array().cast("array<string>")).alias("dependencies"),
+        F.coalesce("ctes", F.create_map().cast("map<string,string>")).alias("ctes"),
+        "error",
+    )

@@ -1,6 +1,7 @@
 """Gold: business aggregates.
 
-Money is summed as DECIMAL, so results do not depend on the order of addition.
+Money is summed as DECIMAL, so results do not depend on the order of addition.  The decimal's scale is
+wide, so amounts below a cent count as they are; only the finished sum is turned into a double.
 """
 
 from __future__ import annotations
@@ -8,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(38,10)"
 
 
-def _money_sum(amount: Column) -> Column:
-    return F.sum(amount.cast(MONEY)).cast("double")
+def _money_sum(amount: Column, money: str = MONEY) -> Column:
+    return F.sum(amount.cast(money)).cast("double")
 
 
 def user_stats(users: DataFrame, day: str, key: str) -> DataFrame:
@@ -20,38 +21,41 @@ def user_stats(users: DataFrame, day: str, key: str) -> DataFrame:
     return users.groupBy(day).agg(F.count(key).alias("total_users"))
 
 
-def daily_revenue(orders: DataFrame, completed: str) -> DataFrame:
+def daily_revenue(orders: DataFrame, completed: str, money: str = MONEY) -> DataFrame:
     """Revenue and distinct orders per day and country of completed orders."""
     done = orders.where(F.col("status") == completed)
     return done.groupBy(F.to_date("order_timestamp").alias("order_date"), "country").agg(
-        _money_sum(F.col("total_amount")).alias("revenue"),
+        _money_sum(F.col("total_amount"), money).alias("revenue"),
         F.count_distinct("order_id").alias("total_orders"),
     )
 
 
-def monthly_revenue(payments: DataFrame, ts: str, amount: str) -> DataFrame:
+def monthly_revenue(payments: DataFrame, ts: str, amount: str, money: str = MONEY) -> DataFrame:
     return payments.groupBy(F.date_trunc("month", ts).cast("date").alias("month")).agg(
-        _money_sum(F.col(amount)).alias("total_revenue")
+        _money_sum(F.col(amount), money).alias("total_revenue")
     )
 
 
-ITEMS = "array<struct<product_id:bigint,quantity:decimal(18,2),price:decimal(18,2)>>"
+ITEM_NUMBER = "decimal(18,6)"
 
 
-def product_performance(orders: DataFrame, items: str = "items") -> DataFrame:
+def product_performance(orders: DataFrame, items: str = "items", number: str = ITEM_NUMBER) -> DataFrame:
     """Units and revenue per product from a JSON array of items per order.
 
-    The array is unpacked next to its own row, so nothing is shuffled before
-    the partial aggregate on the product.
+    Product ids are texts; cast them afterwards where they are numbers.  ``unreadable`` counts
+    a product's items whose quantity or price can't be read as ``number``; a text that
+    is no array of items counts once under a null product.  The array is unpacked next to its own row, so
+    nothing is shuffled before the partial aggregate on the product.
     """
-    item = F.inline(F.from_json(items, ITEMS))
-    return (
-        orders.select(item)
-        .groupBy("product_id")
-        .agg(
-            F.sum("quantity").cast("double").alias("units_sold"),
-            F.sum(F.col("quantity") * F.col("price")).cast("double").alias("revenue"),
-        )
+    kind = f"array<struct<product_id:string,quantity:{number},price:{number}>>"
+    rows = orders.where(F.col(items).isNotNull()).select(F.from_json(items, kind).alias("read"))
+    # An empty array has no items; a text that can't be read is one bad item.
+    rows = rows.where(F.col("read").isNull() | (F.size("read") > 0)).select(F.inline_outer("read"))
+    bad = F.col("quantity").isNull() | F.col("price").isNull()
+    return rows.groupBy("product_id").agg(
+        F.sum("quantity").cast("double").alias("units_sold"),
+        F.sum(F.col("quantity") * F.col("price")).cast("double").alias("revenue"),
+        F.count_if(bad).alias("unreadable"),
     )
 
 

@@ -32,10 +32,14 @@ def orders_cleaned(orders: DataFrame, users: DataFrame, cancelled: str) -> DataF
     )
 
 
+# The regions of the country rule.
+HOME_REGION, EUROPE_REGION, OTHER_REGION = "North America", "Europe", "Rest of World"
+
+
 def region_of(country: Column, home, europe: list) -> Column:
     """Region by a searched CASE on the country code."""
     return (
-        F.when(country == home, "North America").when(country.isin(*europe), "Europe").otherwise("Rest of World")
+        F.when(country == home, HOME_REGION).when(country.isin(*europe), EUROPE_REGION).otherwise(OTHER_REGION)
     )
 
 

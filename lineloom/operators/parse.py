@@ -39,16 +39,24 @@ def _error(toks: Column, low: Column, s: Column, head: Column, d: Dialect) -> Co
         F.when(F.coalesce(lead, F.lit("")).isin("", ";"), "no statement")
         .when(F.arrays_overlap(toks, F.array(*marks)), "unclosed literal or quoted name")
         .when(s.unbalanced | (F.size(s.stack) > 0), "unbalanced parentheses")
-        .when(~lead.isin(*tokens.LEAD_WORDS), "unknown statement")
-        .when(s.dangling, "FROM or JOIN without a table")
+        .when(~lead.isin(*tokens.LEAD_WORDS, *tokens.COMMAND_WORDS), "unknown statement")
+        .when(s.dangling & ~_without_refs(lead, head), "FROM or JOIN without a table")
         .when(
             (lead == "create")
-            & (head.kind.isNull() | (head.kind.isin("table", "view") & head["name"].isNull())),
+            & F.when(head.kind.isNull(), head.words < 3).otherwise(
+                head.kind.isin("table", "view") & head["name"].isNull()
+            ),
             "CREATE without a target",
         )
+        .when(~_without_refs(lead, head), tokens.misplaced(toks, low, d))
     )
 
 
+def _without_refs(lead: Column, head: Column) -> Column:
+    """Commands, and CREATE of a kind that is no table's, are records that read nothing."""
+    return lead.isin(*tokens.COMMAND_WORDS) | ((lead == "create") & head.kind.isNull())
+
+
 def _target(path: Column, base: Column, head: Column, d: Dialect) -> Column:
     """project, dataset and label of the table a script defines.
 
@@ -154,10 +162,13 @@ def parse_scripts(
     dialect: str = "bigquery",
     match: str = "bare",
     columns: tuple[str, ...] = RECORD,
+    root: str = "",
+    aliases: bool = False,
 ) -> DataFrame:
     """One record per script: target, layer, type, dependencies, CTEs, error.
 
-    Only the first statement is read.  ``match='bare'`` compares names with the
+    The layer is read from the path below ``root``, by the marks in it, or with ``aliases`` by the
+    documented folder aliases.  Only the first statement is read.  ``match='bare'`` compares names with the
     target and with CTE names by their last part; ``'qualified'`` compares the
     names as written.  A script that cannot be read keeps a row of type
     ``unknown`` with no dependencies and an ``error``.  Only the record
@@ -169,13 +180,15 @@ def parse_scripts(
         raise ValueError(f"columns must be among {RECORD}")
     dialect_of(dialect)
     app = scripts.sparkSession.sparkContext.applicationId
-    record = _record_column(dialect.lower(), match, tuple(columns), app)
+    record = _record_column(dialect.lower(), match, tuple(columns), app, root, aliases)
     # A generator keeps later filters and projections from copying the scan into themselves.
     return scripts.select(F.inline(F.array(record)))
 
 
 @functools.lru_cache(maxsize=64)
-def _record_column(dialect: str, match: str, columns: tuple[str, ...], app_id: str) -> Column:
+def _record_column(
+    dialect: str, match: str, columns: tuple[str, ...], app_id: str, root: str, aliases: bool
+) -> Column:
     """The record as one column over ``path`` and ``content``.
 
     It does not depend on the DataFrame, so it is built once per session.
@@ -183,20 +196,22 @@ def _record_column(dialect: str, match: str, columns: tuple[str, ...], app_id: s
     d = dialect_of(dialect)
     path, content = F.col("path"), F.col("content")
 
-    def record(toks: Column, x: Column) -> Column:
+    def record(toks: Column, low: Column, x: Column) -> Column:
         good, base = x.error.isNull(), x.base
 
         def finish(y: Column) -> Column:
             fields = {
                 "id": base,
                 "label": F.when(good, y.target.label).otherwise(base),
-                "layer": naming.layer_of(path),
+                "layer": (naming.alias_layer_of if aliases else naming.layer_of)(naming.below(path, root)),
                 "type": F.when(~good, "unknown").when(x.head.kind == "view", "view").otherwise("table"),
                 "project": F.when(good, y.target.project).otherwise("n/a"),
                 "dataset": F.when(good, y.target.dataset).otherwise("n/a"),
                 "path": path,
                 "dependencies": F.when(
-                    good, _dependencies(base, y.target, x.s.refs, y.cte_names, d, match)
+                    good, F.when(
+                        _without_refs(F.get(low, F.lit(0)), x.head), F.array().cast(_NO_NAMES)
+                    ).otherwise(_dependencies(base, y.target, x.s.refs, y.cte_names, d, match))
                 ).otherwise(F.array().cast(_NO_NAMES)),
                 "content": content,
                 "ctes": F.when(good, _cte_bodies(content, y.cte_names, x.s.ctes, d)).otherwise(
@@ -226,7 +241,7 @@ def _record_column(dialect: str, match: str, columns: tuple[str, ...], app_id: s
                 _error(toks, low, r.s, r.head, d).alias("error"),
             )
 
-        return let(read, lambda r: let(judged(r), lambda x: record(toks, x)))
+        return let(read, lambda r: let(judged(r), lambda x: record(toks, low, x)))
 
     return let(
         tokens.raw_tokens(content, d),
@@ -238,13 +253,23 @@ def last_definition_wins(parsed: DataFrame) -> DataFrame:
     """One record per id: of several files with one base name, the greatest path.
 
     An aggregate rather than a window, so copies of one name are combined before
-    the shuffle however many there are.
+    the shuffle however many there are.  ``winning_scripts`` makes the same choice before parsing.
     """
     rest = [c for c in parsed.columns if c != "id"]
     best = parsed.groupBy("id").agg(F.max_by(F.struct(*rest), F.col("path")).alias("r"))
     return best.select("id", *[F.col("r").getField(c).alias(c) for c in rest]).select(*parsed.columns)
 
 
+def winning_scripts(scripts: DataFrame) -> DataFrame:
+    """Scripts whose path is the greatest of their id, chosen before any text is parsed.
+
+    The winner is found on names alone; texts are then kept by a semi-join, so losers are never read.
+    """
+    own = scripts.select("path").select(naming.file_base(F.col("path")).alias("id"), "path")
+    last = own.groupBy("id").agg(F.max("path").alias("path")).select("path")
+    return scripts.join(last, "path", "left_semi").select(*scripts.columns)
+
+
 def table_refs(parsed: DataFrame) -> DataFrame:
     """(id, dep, kind) with kind ``table`` or ``cte``."""
     return parsed.select("id", F.explode("dependencies").alias("dep")).select(

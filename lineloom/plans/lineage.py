@@ -26,19 +26,26 @@ def records(
     dialect: str = "bigquery",
     match: str = "bare",
     columns: tuple[str, ...] = LIGHT,
+    root: str = "",
+    aliases: bool = False,
 ) -> DataFrame:
-    """One record per id; without the script text unless asked for."""
-    return last_definition_wins(parse_scripts(scripts, dialect, match, columns))
+    """One record per id; without the script text unless asked for.
+
+    ``root`` and ``aliases`` choose how layers are read, as in ``parse_scripts``.
+    """
+    return last_definition_wins(parse_scripts(scripts, dialect, match, columns, root, aliases))
 
 
-def stored_records(scripts: DataFrame, dialect: str = "bigquery", match: str = "bare") -> DataFrame:
+def stored_records(
+    scripts: DataFrame, dialect: str = "bigquery", match: str = "bare", root: str = "", aliases: bool = False
+) -> DataFrame:
     """The records a graph needs, written once.
 
     Nodes, names and dependencies all read them, and the optimizer gives each
     reader its own copy of the plan; stored, the texts are scanned once and
     only short columns move.
     """
-    return materialize(records(scripts, dialect, match), "records")[0]
+    return materialize(records(scripts, dialect, match, root=root, aliases=aliases), "records")[0]
 
 
 def resolved_deps(parsed: DataFrame) -> DataFrame:
@@ -51,9 +58,11 @@ def lineage(
     dialect: str = "bigquery",
     discovery: bool = False,
     match: str = "bare",
+    root: str = "",
+    aliases: bool = False,
 ) -> Lineage:
     """Nodes and edges of the selected folders' scripts."""
-    parsed = stored_records(folder_filter(scripts, folders), dialect, match)
+    parsed = stored_records(folder_filter(scripts, folders), dialect, match, root, aliases)
     resolved = resolved_deps(parsed)
     if discovery:
         resolved, _ = materialize(resolved, "resolved")
@@ -68,9 +77,11 @@ def full_graph(
     discovery: bool = False,
     match: str = "bare",
     max_depth: int | None = None,
+    root: str = "",
+    aliases: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes with direct and nested counts, edges)."""
-    g = lineage(scripts, folders, dialect, discovery, match)
+    g = lineage(scripts, folders, dialect, discovery, match, root, aliases)
     edges, _ = materialize(g.edges, "edges")
     return graph.node_table(g.nodes, edges, closure.closure(edges, max_depth)), edges
 

@@ -6,6 +6,8 @@ oracle reads the scripts' text except the ones that return that text.
 
 from __future__ import annotations
 
+from lineloom.sources.cases import case_oracle
+
 # One row per file (copies included), with what its record must be.
 _FILES = """
 g AS (SELECT p_partkey AS k, p_partkey // 2 AS a, p_partkey // 3 AS b FROM part),
@@ -97,6 +99,7 @@ def _closed(select: str, *more: str, edges: str = "edges") -> str:
     return _q(select, _FILES, _refs("win"), _EDGES, pairs, *more, recursive=True)
 
 
+_PICKED = "seeds AS (SELECT concat('t', n_nationkey) AS id FROM nation)"
 _SEEDS = "seeds AS (SELECT target AS id FROM edges GROUP BY target HAVING count(*) >= 3)"
 _LINEAGE = """
 lin AS (
@@ -140,7 +143,9 @@ cleaned AS (
 ORACLES = {
     # --- A
     "script_scan": _q(
-        """SELECT path, CASE
+        """SELECT CASE k % 251 WHEN 1 THEN concat('wh/_models/', id, '.sql') WHEN 2 THEN concat('wh/_', id, '.sql')
+             WHEN 3 THEN concat('wh/.cache/deep/', id, '.sql') ELSE path END AS path, CASE
+             WHEN k % 251 = 4 THEN ''
              WHEN is_copy THEN concat('CREATE TABLE dup.', id, ' (id INT)')
              WHEN k % 97 = 0 THEN concat('CREATE OR REPLACE VIEW ds', k % 7, '.', id, ' AS (SELECT FROM')
              WHEN k % 13 = 0 THEN sel
@@ -176,10 +181,13 @@ ORACLES = {
         "SELECT id, 'c1' AS cte, concat('SELECT * FROM ext.e', k % 50) AS body FROM rec WHERE active"
     ),
     "table_refs": _file_refs("SELECT id, dep, kind FROM refs"),
-    "parse_quarantine": _files(
-        """SELECT id, label, layer, type, project, dataset, path, 0 AS n_deps,
-             'unbalanced parentheses' AS error FROM rec WHERE type = 'unknown'"""
+    "parse_quarantine": _file_refs(
+        """SELECT id, label, layer, type, project, dataset, path, CAST(coalesce(d.n, 0) AS INTEGER) AS n_deps,
+             CASE WHEN type = 'unknown' THEN 'unbalanced parentheses' END AS error, type <> 'unknown' AS good
+           FROM rec LEFT JOIN (SELECT id AS ref_id, count(*) AS n FROM refs GROUP BY id) d
+             ON d.ref_id = rec.id AND rec.active""",
     ),
+    "script_cases": case_oracle(),
     "last_definition_wins": _files(
         """SELECT id, label, layer, type, project, dataset, path FROM rec
            QUALIFY row_number() OVER (PARTITION BY id ORDER BY path DESC) = 1"""
@@ -227,7 +235,27 @@ ORACLES = {
            LEFT JOIN (SELECT node AS id, count(*) AS n FROM pairs WHERE node <> anc GROUP BY node) a USING (id)""",
         edges="all_edges",
     ),
-    "lineage_of": _closed("SELECT seed, id FROM lin", _SEEDS, _LINEAGE),
+    "node_details": _q(
+        """SELECT n.id, CASE n.layer WHEN 'external' THEN '-- Discovered dependency'
+             WHEN 'cte' THEN concat('SELECT * FROM ext.e', o.k % 50)
+             ELSE CASE WHEN w.is_copy THEN concat('CREATE TABLE dup.', w.id, ' (id INT)')
+               WHEN w.k % 97 = 0 THEN concat('CREATE OR REPLACE VIEW ds', w.k % 7, '.', w.id, ' AS (SELECT FROM')
+               WHEN w.k % 13 = 0 THEN b.sel
+               ELSE concat('-- from not_a_table', chr(10), 'CREATE OR REPLACE ',
+                 CASE WHEN w.k % 3 = 0 THEN 'VIEW' ELSE 'TABLE' END, ' ds', w.k % 7, '.', w.id, ' AS ', b.sel) END
+             END AS content,
+             coalesce(d.deps, '') AS deps, CAST(CASE WHEN w.active THEN 1 ELSE 0 END AS INTEGER) AS n_ctes,
+             CASE WHEN w.type = 'unknown' THEN 'unbalanced parentheses' END AS error
+           FROM all_nodes n LEFT JOIN win w ON w.id = n.id
+             LEFT JOIN body b ON b.path = w.path
+             LEFT JOIN (SELECT id, string_agg(dep, ' ' ORDER BY dep) AS deps FROM refs GROUP BY id) d ON d.id = n.id
+             LEFT JOIN win o ON n.id = concat('cte:', o.id, ':c1')""",
+        _FILES, _refs("win"), _EDGES, _SCRIPT_TEXT,
+    ),
+    "layer_options": _files(
+        """SELECT concat('gold_root/staging/', path) AS path, layer, 'bronze' AS alias_layer FROM rec"""
+    ),
+    "lineage_of": _closed("SELECT seed, id FROM lin", _PICKED, _LINEAGE),
     "upstream_tree": _closed(
         "SELECT id FROM seeds UNION SELECT p.anc FROM seeds s JOIN pairs p ON p.node = s.id", _SEEDS
     ),
@@ -250,14 +278,17 @@ ORACLES = {
     ),
     "source_nodes": _graph("SELECT id FROM nodes WHERE id NOT IN (SELECT target FROM edges)"),
     "topo_rank": _closed(
-        """SELECT n.id, max(d.depth) AS rank, max(d.depth) IS NULL AS cyclic
-           FROM nodes n LEFT JOIN depths d USING (id) GROUP BY n.id""",
-        """looped AS (SELECT DISTINCT node AS id FROM pairs WHERE anc IN (SELECT node FROM pairs WHERE node = anc)
-             UNION SELECT node FROM pairs WHERE node = anc)""",
-        """depths(id, depth) AS (
-             SELECT id, 0 FROM nodes WHERE id NOT IN (SELECT target FROM edges)
-             UNION SELECT e.target, d.depth + 1 FROM depths d JOIN edges e ON e.source = d.id
-             WHERE e.target NOT IN (SELECT id FROM looped))""",
+        """SELECT n.id, max(d.depth) AS rank, n.cyclic
+           FROM comp n LEFT JOIN depths d ON d.rep = n.rep GROUP BY n.id, n.cyclic""",
+        """loops AS (SELECT p.node, min(p.anc) AS rep FROM pairs p
+             JOIN pairs q ON q.node = p.anc AND q.anc = p.node GROUP BY p.node)""",
+        """comp AS (SELECT n.id, coalesce(l.rep, n.id) AS rep, l.rep IS NOT NULL AS cyclic
+             FROM nodes n LEFT JOIN loops l ON l.node = n.id)""",
+        """steps AS (SELECT DISTINCT s.rep AS source, t.rep AS target FROM edges e
+             JOIN comp s ON s.id = e.source JOIN comp t ON t.id = e.target WHERE s.rep <> t.rep)""",
+        """depths(rep, depth) AS (
+             SELECT DISTINCT rep, 0 FROM comp WHERE rep NOT IN (SELECT target FROM steps)
+             UNION SELECT e.target, d.depth + 1 FROM depths d JOIN steps e ON e.source = d.rep)""",
     ),
     "topo_rank_acyclic": _closed(
         """SELECT n.id, max(d.depth) AS rank, max(d.depth) IS NULL AS cyclic
@@ -271,7 +302,7 @@ ORACLES = {
         """SELECT id, layer, coalesce(CAST(p_size AS DOUBLE), 0) AS x, coalesce(p_retailprice, 0) AS y
            FROM all_nodes LEFT JOIN part ON id = concat('t', p_partkey)"""
     ),
-    "snapshot_save": _graph("SELECT edge_id, source, target, kind FROM all_edges"),
+    "snapshot_save": _graph("SELECT edge_id, source, target, kind FROM all_edges WHERE kind <> 'cte'"),
     "snapshot_load": _graph("SELECT id, label, layer, type, project, dataset, path FROM all_nodes"),
     "ghost_stub_sql": _graph(
         """SELECT concat(replace(id, '.', '/'), '.sql') AS path,
@@ -330,18 +361,20 @@ ORACLES = {
         SELECT CAST(o_orderdate AS DATE) AS order_day, count(o_orderkey) AS total_users FROM orders GROUP BY 1""",
     "gold_daily_revenue": _q(
         """SELECT CAST(order_timestamp AS DATE) AS order_date, country,
-             CAST(sum(CAST(total_amount AS DECIMAL(18, 2))) AS DOUBLE) AS revenue,
+             CAST(sum(CAST(total_amount AS DECIMAL(18, 3))) AS DOUBLE) AS revenue,
              count(DISTINCT order_id) AS total_orders
            FROM cleaned WHERE status = 'O' GROUP BY 1, 2""",
         _CLEANED,
     ),
     "gold_monthly_revenue": """
         SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-          CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total_revenue FROM orders GROUP BY 1""",
+          CAST(sum(CAST(o_totalprice + 0.125 AS DECIMAL(18, 3))) AS DOUBLE) AS total_revenue FROM orders GROUP BY 1""",
     "gold_product_performance": """
-        SELECT l_partkey AS product_id, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS units_sold,
-          CAST(sum(CAST(l_quantity AS DECIMAL(18, 2)) * CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS revenue
-        FROM lineitem GROUP BY 1""",
+        SELECT concat('SKU-', l_partkey) AS product_id, CAST(sum(q) AS DOUBLE) AS units_sold,
+          CAST(sum(q * CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS revenue,
+          count(*) FILTER (l_linenumber = 7) AS unreadable
+        FROM (SELECT *, CASE WHEN l_linenumber = 7 THEN CAST(1.125 AS DECIMAL(18, 3))
+                ELSE CAST(l_quantity AS DECIMAL(18, 3)) END AS q FROM lineitem) GROUP BY 1""",
     "gold_conversion_funnel": """
         WITH s AS (
           SELECT user_id, concat(user_id, '-', CAST(ts AS DATE)) AS session_id, min(ts) AS session_start,
@@ -359,12 +392,13 @@ ORACLES = {
           LEFT JOIN supplier ON s_nationkey = n_nationkey
         GROUP BY 1""",
     "ops_delayed": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R'",
-    "create_or_replace": "SELECT * FROM customer WHERE c_acctbal < 0",
+    "create_or_replace": """SELECT *, 1 AS version FROM customer WHERE c_acctbal < 5000
+        UNION ALL SELECT *, 2 FROM customer WHERE c_acctbal < 0""",
     "medallion_mart": _q(
         """SELECT CAST(order_timestamp AS DATE) AS order_date,
              CASE WHEN country = 0 THEN 'North America' WHEN country IN (1, 2, 3) THEN 'Europe'
                   ELSE 'Rest of World' END AS region,
-             CAST(sum(CAST(total_amount AS DECIMAL(18, 2))) AS DOUBLE) AS revenue,
+             CAST(sum(CAST(total_amount AS DECIMAL(18, 3))) AS DOUBLE) AS revenue,
              count(DISTINCT order_id) AS total_orders
            FROM cleaned WHERE status = 'O' GROUP BY 1, 2""",
         _CLEANED,

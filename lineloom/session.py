@@ -62,4 +62,13 @@ def materialize(df: DataFrame, label: str, **metrics) -> tuple[DataFrame, dict]:
         observed = probe.get
     else:
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), observed
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.scratch = path
+    return stored, observed
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no result reads any more."""
+    for df in stored:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -11,15 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def use_all_cores(df: DataFrame) -> DataFrame:
-    """Spread a small file over all cores before CPU-heavy work; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _spread(keys: DataFrame) -> DataFrame:
-    """Even partitions of the keys: a file's splits may be empty but for one, and
-    a key is tiny next to the script made from it."""
+    """Even partitions of the keys: a file's splits may be empty but for one, and a key is tiny next to
+    the script made from it.  Adaptive execution never merges partitions that were asked for by number."""
     cores = keys.sparkSession.sparkContext.defaultParallelism
     return keys.repartition(max(cores, keys.rdd.getNumPartitions()))
 

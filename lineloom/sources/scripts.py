@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,19 +20,104 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
 
 
+_STATUS = re.compile(r"\{path=(.*?); isDirectory=(?:(true)|false; length=(\d+))")
+#: Hadoop paths that Spark's file readers leave out.
+_HIDDEN = "[_.]*"
+
+
+def _glob(spark: SparkSession, pattern: str) -> list[tuple[str, bool, int]]:
+    """(path, is folder, bytes) of what matches, in one call to the file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    text = spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(found) if found is not None else ""
+    return [(p, d == "true", int(n or 0)) for p, d, n in _STATUS.findall(text)]
+
+
+def _left_out(spark: SparkSession, root: str, glob: str) -> tuple[list[str], list[str], list[str]]:
+    """Hidden folders, hidden files and empty files under ``root``, level by level.
+
+    Names only: a listing like the one that Spark's reader makes.
+    """
+    folders, hidden, empty = [], [], []
+    base = re.sub(r"([\\{}\[\]*?])", r"\\\1", root.rstrip("/"))
+    while True:
+        below = _glob(spark, f"{base}/*")
+        inside = [p for p, is_folder, _ in below if is_folder]
+        folders += [p for p in inside if p.rsplit("/", 1)[1][0] in "_."]
+        files = [(p, n) for p, is_folder, n in _glob(spark, f"{base}/{glob}") if not is_folder]
+        empty += [p for p, n in files if n == 0]
+        hidden += [p for p, n in files if n and p.rsplit("/", 1)[1][0] in "_."]
+        if not inside:
+            return folders, hidden, empty
+        base += "/*"
+
+
+def local_filesystem(uri: str):
+    """The file system of a URI for reading in a task, and the path in it; None where there is none."""
+    from pyarrow import fs
+
+    scheme = uri.split(":", 1)[0] if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", uri) else "file"
+    if scheme == "file":
+        return fs.LocalFileSystem(), re.sub(r"^file:(//[^/]*)?", "", uri)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
+def _read_hidden(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Files that no Spark reader opens, read by tasks."""
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for uri in batch["path"]:
+                filesystem, path = local_filesystem(uri)
+                with filesystem.open_input_file(path) as f:
+                    rows.append((uri, f.read()))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    names = spark.createDataFrame([(f,) for f in files], "path string")
+    tasks = min(len(files), spark.sparkContext.defaultParallelism)
+    return names.repartition(tasks).mapInPandas(read, "path string, content binary")
+
+
 def script_scan(spark: SparkSession, root: str, glob: str = "*.sql") -> DataFrame:
-    """``(path, content)``: every script under ``root``, one row per file.
+    """``(path, content)``: every script under ``root``, one row per file, hidden and empty ones too.
 
     Files are packed into read tasks by size; the binary reader takes a small
-    file several times faster than the whole-text reader.  Spark's file listing skips empty
-    files, and folders whose name starts with a dot or an underscore.
+    file several times faster than the whole-text reader.  It leaves out empty files and names that start
+    with a dot or an underscore, so those are listed apart: hidden folders are read as roots of their own, an
+    empty file is an empty text, and tasks open hidden files themselves.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(root)
-    )
+
+    def reader(*folders: str) -> DataFrame:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+        return raw.load(list(folders)).select("path", "content")
+
+    folders, hidden, empty = _left_out(spark, root, glob)
+    raw = reader(root, *folders)
+    if hidden:
+        raw = raw.unionByName(_read_hidden(spark, hidden))
+    if empty:
+        names = spark.createDataFrame([(f,) for f in empty], "path string")
+        raw = raw.unionByName(names.select("path", F.lit("").cast("binary").alias("content")))
     # Bytes that are not UTF-8 become replacement marks; line ends become \n.
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
     return raw.select(plain_path(F.col("path")).alias("path"), text.alias("content"))
+
+
+def export_scripts(scripts: DataFrame, root: str) -> None:
+    """Write ``(path, content)`` as files below ``root`` from the tasks; a retry rewrites the same files."""
+
+    def write(batches):
+        filesystem, base = local_filesystem(root)
+        made = set()
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                folder = f"{base}/{path}".rsplit("/", 1)[0]
+                if folder not in made:
+                    filesystem.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with filesystem.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content.encode("utf-8"))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    scripts.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()

@@ -6,16 +6,17 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineloom.sources.tables import path_exists
+from lineloom.sources import versions
 
 METADATA_SCHEMA = "key string, value string"
 DEFAULT_NAME = "sql_diagram"
+PARTS = ("nodes", "edges", "metadata")
 
 
-def _part(base: str, name: str, part: str) -> str:
+def _place(base: str, name: str) -> str:
     if not name or "/" in name or ".." in name:
         raise ValueError(f"bad snapshot name {name!r}")
-    return f"{base.rstrip('/')}/{name}/{part}"
+    return f"{base.rstrip('/')}/{name}"
 
 
 def snapshot_save(
@@ -26,15 +27,19 @@ def snapshot_save(
     name: str = DEFAULT_NAME,
     fmt: str = "parquet",
 ) -> None:
-    """Write a graph under ``base/name``, replacing one of that name.
+    """Write a graph under ``base/name`` as its new version.
 
+    Nodes, edges and metadata become current together, after all three are written.  They may
+    derive from the snapshot that they replace, and a failed save leaves it as it was.
     Metadata values are stored as JSON text.  ``fmt`` is ``parquet`` or ``json``.
     """
-    nodes.write.mode("overwrite").format(fmt).save(_part(base, name, "nodes"))
-    edges.write.mode("overwrite").format(fmt).save(_part(base, name, "edges"))
+    spark, place = nodes.sparkSession, _place(base, name)
+    data = versions.new_version(place)
     rows = [(k, json.dumps(v)) for k, v in (metadata or {}).items()]
-    meta = nodes.sparkSession.createDataFrame(rows, METADATA_SCHEMA)
-    meta.coalesce(1).write.mode("overwrite").format(fmt).save(_part(base, name, "metadata"))
+    meta = spark.createDataFrame(rows, METADATA_SCHEMA).coalesce(1)
+    for part, df in zip(PARTS, (nodes, edges, meta)):
+        df.write.format(fmt).save(f"{data}/{part}")
+    versions.publish(spark, place, data)
 
 
 def snapshot_load(
@@ -45,11 +50,11 @@ def snapshot_load(
     name: str = DEFAULT_NAME,
     fmt: str = "parquet",
 ) -> DataFrame:
-    """Read ``nodes``, ``edges`` or ``metadata`` back; empty when never saved."""
-    path = _part(base, name, part)
-    if not path_exists(spark, path):
+    """Read ``nodes``, ``edges`` or ``metadata`` of the current version; empty when never saved."""
+    data = versions.current(spark, _place(base, name))
+    if data is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).format(fmt).load(path)
+    return spark.read.schema(schema).format(fmt).load(f"{data}/{part}")
 
 
 def metadata_of(spark: SparkSession, base: str, name: str = DEFAULT_NAME, fmt: str = "parquet") -> dict:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lineloom.sources import versions
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -15,9 +17,26 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def create_table(df: DataFrame, path: str, replace: bool = False) -> DataFrame:
-    """CREATE [OR REPLACE] TABLE AS: without ``replace`` an existing table is an error."""
-    df.write.mode("overwrite" if replace else "errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """CREATE [OR REPLACE] TABLE AS: without ``replace`` an existing table is an error.
+
+    Each call writes a new version and then makes it current, so ``df`` may read the table that it
+    replaces, and a failed write leaves the table as it was.
+    """
+    spark = df.sparkSession
+    if not replace and path_exists(spark, path):
+        raise FileExistsError(f"table {path} exists")
+    data = versions.new_version(path)
+    df.write.parquet(data)
+    versions.publish(spark, path, data)
+    return spark.read.schema(df.schema).parquet(data)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that ``create_table`` made."""
+    data = versions.current(spark, path)
+    if data is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(data)
 
 
 def create_view(df: DataFrame, name: str, replace: bool = False) -> DataFrame:

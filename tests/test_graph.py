@@ -6,44 +6,26 @@ from lineloom.operators import audit, closure, folders, graph, stubs, views
 from lineloom.operators.parse import last_definition_wins, parse_scripts
 from lineloom.plans import lineage as lin
 
-# Sixteen scripts: path, text.
+# A small project of our own: path, text.
 PROJECT = [
-    ("sql_examples/bronze_users.sql", "CREATE OR REPLACE TABLE raw_project.raw_dataset.users AS SELECT id FROM external_source.users_dump"),
-    ("sql_examples/silver_users_cleaned.sql", "CREATE OR REPLACE VIEW analytics_project.silver_dataset.users_cleaned AS SELECT u.id FROM raw_project.raw_dataset.users u # note"),
-    ("sql_examples/gold_user_stats.sql", "CREATE OR REPLACE TABLE analytics_project.gold_dataset.user_stats AS SELECT count(id) FROM analytics_project.silver_dataset.users_cleaned"),
-    ("sql_examples/test_discovery.sql", "SELECT 1 FROM `project.dataset.missing_table`"),
-    ("sql_examples/more/marketing_performance.sql", "CREATE OR REPLACE VIEW `marketing.campaign_performance` AS SELECT 1 FROM `marketing.campaigns` c -- local?\nLEFT JOIN `marketing.ad_impressions` i ON c.k = i.k LEFT JOIN `marketing.ad_clicks` cl ON c.k = cl.k"),
-    ("sql_examples/more/finance_revenue.sql", "CREATE OR REPLACE TABLE `finance.monthly_revenue` AS SELECT sum(amount) FROM `finance.raw_payments`"),
-    ("sql_examples/discovery_examples/logistics_delays.sql", "SELECT shipment_id FROM `logistics.shipments` WHERE status = 'DELAYED'"),
-    ("sql_examples/shop/bronze/web_logs.sql", "CREATE TABLE ecommerce_bronze.web_logs (log_id STRING, ts TIMESTAMP) PARTITION BY DATE(ts);"),
-    ("sql_examples/shop/bronze/other/users_raw.sql", "CREATE TABLE ecommerce_bronze.users_raw (user_id STRING);"),
-    ("sql_examples/shop/bronze/orders_raw.sql", "CREATE TABLE ecommerce_bronze.orders_raw (order_id STRING, items JSON);"),
-    ("sql_examples/shop/silver/sessions.sql", "CREATE OR REPLACE TABLE ecommerce_silver.sessions AS WITH logs AS (SELECT * FROM ecommerce_bronze.web_logs) SELECT 1 FROM logs;"),
-    ("sql_examples/shop/silver/orders_cleaned.sql", "CREATE VIEW ecommerce_silver.orders_cleaned AS SELECT 1 FROM ecommerce_bronze.orders_raw o LEFT JOIN ecommerce_bronze.users_raw u ON true;"),
-    ("sql_examples/shop/silver/users_enriched.sql", "CREATE TABLE ecommerce_silver.users_enriched AS SELECT 1 FROM ecommerce_bronze.users_raw u;"),
-    ("sql_examples/shop/gold/user_conversion_funnel.sql", "CREATE TABLE ecommerce_gold.user_conversion_funnel AS SELECT 1 FROM ecommerce_silver.sessions s LEFT JOIN ecommerce_silver.orders_cleaned o ON s.ts BETWEEN 1 AND 2"),
-    ("sql_examples/shop/gold/product_performance.sql", "CREATE TABLE ecommerce_gold.product_performance AS WITH exploded_orders AS (SELECT 1 FROM ecommerce_silver.orders_cleaned, UNNEST(items) AS item) SELECT 1 FROM exploded_orders"),
-    ("sql_examples/shop/gold/daily_revenue.sql", "CREATE TABLE ecommerce_gold.daily_revenue AS SELECT 1 FROM ecommerce_silver.orders_cleaned WHERE status = 'COMPLETED'"),
+    ("farm/bronze/fields.sql", "CREATE OR REPLACE TABLE agro.land.fields AS SELECT 1 FROM survey.plots"),
+    ("farm/bronze/rain.sql", "CREATE TABLE land.rain (day DATE, mm INT) PARTITION BY DATE(day);"),
+    ("farm/silver/wet_fields.sql", "CREATE VIEW agro.crops.wet AS SELECT f.id FROM agro.land.fields f JOIN land.rain r ON true # from nowhere"),
+    ("farm/silver/seeds.sql", "CREATE TABLE crops.seeds AS WITH picked AS (SELECT 1 FROM `store.bags`) SELECT 1 FROM picked"),
+    ("farm/gold/harvest.sql", "CREATE OR REPLACE TABLE yield.harvest AS SELECT 1 FROM agro.crops.wet, UNNEST(rows) AS x JOIN crops.seeds s ON true"),
+    ("farm/gold/report.sql", "CREATE OR REPLACE VIEW `yield.report` AS SELECT 1 FROM yield.harvest -- from lies"),
+    ("farm/notes/idle.sql", "SELECT 1 FROM `a.b.missing`"),
 ]
 
 # id: label, layer, type, project, dataset, direct off, nested off, direct on, nested on
 GOLDEN = {
-    "bronze_users": ("users", "bronze", "table", "raw_project", "raw_dataset", 0, 0, 1, 1),
-    "silver_users_cleaned": ("users_cleaned", "silver", "view", "analytics_project", "silver_dataset", 1, 1, 1, 2),
-    "gold_user_stats": ("user_stats", "gold", "table", "analytics_project", "gold_dataset", 1, 2, 1, 3),
-    "test_discovery": ("test_discovery", "other", "table", "default", "sql_examples", 0, 0, 1, 1),
-    "marketing_performance": ("campaign_performance", "other", "view", "default", "marketing", 0, 0, 3, 3),
-    "finance_revenue": ("monthly_revenue", "other", "table", "default", "finance", 0, 0, 1, 1),
-    "logistics_delays": ("logistics_delays", "other", "table", "default", "discovery_examples", 0, 0, 1, 1),
-    "web_logs": ("web_logs", "bronze", "table", "default", "default", 0, 0, 0, 0),
-    "users_raw": ("users_raw", "bronze", "table", "default", "default", 0, 0, 0, 0),
-    "orders_raw": ("orders_raw", "bronze", "table", "default", "default", 0, 0, 0, 0),
-    "sessions": ("sessions", "silver", "table", "default", "ecommerce_silver", 1, 1, 2, 2),
-    "orders_cleaned": ("orders_cleaned", "silver", "view", "default", "ecommerce_silver", 2, 2, 2, 2),
-    "users_enriched": ("users_enriched", "silver", "table", "default", "ecommerce_silver", 1, 1, 1, 1),
-    "user_conversion_funnel": ("user_conversion_funnel", "gold", "table", "default", "ecommerce_gold", 2, 5, 2, 6),
-    "product_performance": ("product_performance", "gold", "table", "default", "ecommerce_gold", 1, 3, 2, 4),
-    "daily_revenue": ("daily_revenue", "gold", "table", "default", "ecommerce_gold", 1, 3, 1, 3),
+    "fields": ("fields", "bronze", "table", "agro", "land", 0, 0, 1, 1),
+    "rain": ("rain", "bronze", "table", "default", "default", 0, 0, 0, 0),
+    "wet_fields": ("wet", "silver", "view", "agro", "crops", 2, 2, 2, 3),
+    "seeds": ("seeds", "silver", "table", "default", "crops", 0, 0, 2, 2),
+    "harvest": ("harvest", "gold", "table", "default", "yield", 2, 4, 2, 7),
+    "report": ("report", "gold", "view", "default", "yield", 1, 5, 1, 8),
+    "idle": ("idle", "other", "table", "default", "notes", 0, 0, 1, 1),
 }
 
 
@@ -55,8 +37,8 @@ def _scripts(spark, rows):
 def test_golden_graph(spark, discovery):
     nodes, edges = lin.full_graph(_scripts(spark, PROJECT), discovery=discovery)
     rows = {r["id"]: r for r in nodes.collect()}
-    assert len(rows) == (25 if discovery else 16)
-    assert edges.count() == (19 if discovery else 10)
+    assert len(rows) == (11 if discovery else 7)
+    assert edges.count() == (9 if discovery else 5)
     for key, want in GOLDEN.items():
         r = rows[key]
         got = (r["label"], r["layer"], r["type"], r["project"], r["dataset"])
@@ -65,18 +47,31 @@ def test_golden_graph(spark, discovery):
         assert (r["direct_count"], r["nested_count"]) == counts, key
     if discovery:
         ghosts = {k for k, r in rows.items() if r["layer"] == "external"}
-        assert ghosts == {
-            "external_source.users_dump", "project.dataset.missing_table", "marketing.campaigns",
-            "marketing.ad_impressions", "marketing.ad_clicks", "finance.raw_payments", "logistics.shipments",
-        }
-        assert {k for k, r in rows.items() if r["layer"] == "cte"} == {
-            "cte:sessions:logs", "cte:product_performance:exploded_orders",
-        }
+        assert ghosts == {"survey.plots", "store.bags", "a.b.missing"}
+        assert {k for k, r in rows.items() if r["layer"] == "cte"} == {"cte:seeds:picked"}
+
+
+def test_node_details(spark):
+    records = last_definition_wins(parse_scripts(_scripts(spark, PROJECT)))
+    nodes, _ = graph.discovery_graph(records, lin.resolved_deps(records), True)
+    got = {r["id"]: r for r in graph.node_details(nodes, records).collect()}
+    assert len(got) == 11 and got["rain"]["content"] == PROJECT[1][1]
+    assert got["seeds"]["ctes"] == {"picked": "SELECT 1 FROM `store.bags`"}
+    assert got["cte:seeds:picked"]["content"] == "SELECT 1 FROM `store.bags`"
+    assert got["survey.plots"]["content"] == "-- Discovered dependency" and got["survey.plots"]["dependencies"] == []
+
+
+def test_layer_choice(spark):
+    rows = [("x_gold/landing/a.sql", "SELECT 1"), ("x_gold/misc/b.sql", "SELECT 1"), ("x_gold/mart/silver/c.sql", "SELECT 1")]
+    layers = lambda **o: {r["id"]: r["layer"] for r in lin.lineage(_scripts(spark, rows), **o).nodes.collect()}
+    assert layers() == {"a": "gold", "b": "gold", "c": "silver"}
+    assert layers(root="x_gold") == {"a": "other", "b": "other", "c": "silver"}
+    assert layers(root="x_gold", aliases=True) == {"a": "bronze", "b": "other", "c": "silver"}
 
 
 def test_folder_selection_limits_the_graph(spark):
-    nodes, edges = lin.full_graph(_scripts(spark, PROJECT), folders=["sql_examples/shop/silver"])
-    assert {r["id"] for r in nodes.collect()} == {"sessions", "orders_cleaned", "users_enriched"}
+    nodes, edges = lin.full_graph(_scripts(spark, PROJECT), folders=["farm/silver"])
+    assert {r["id"] for r in nodes.collect()} == {"wet_fields", "seeds"}
     assert edges.count() == 0
     assert lin.full_graph(_scripts(spark, PROJECT), folders=[])[0].count() == 0
 

@@ -56,9 +56,19 @@ def test_ctr_keeps_the_fan_out(spark):
 
 
 def test_product_performance_unpacks_arrays_of_any_length(spark):
-    rows = [('[{"product_id":1,"quantity":2,"price":1.25},{"product_id":2,"quantity":1,"price":3}]',), ("[]",), (None,), ('[{"product_id":1,"quantity":1.5,"price":10}]',)]
-    got = {r["product_id"]: (r["units_sold"], r["revenue"]) for r in gold.product_performance(spark.createDataFrame(rows, "items string")).collect()}
-    assert got == {1: (3.5, 17.5), 2: (1.0, 3.0)}
+    rows = [
+        ('[{"product_id":"P-1","quantity":2,"price":1.25},{"product_id":"P-2","quantity":1,"price":3}]',), ("[]",), (None,),
+        ('[{"product_id":"P-1","quantity":1.555,"price":10}]',), ('[{"product_id":"P-2","quantity":"two","price":3}]',), ("not json",),
+    ]
+    got = {r["product_id"]: (r["units_sold"], r["revenue"], r["unreadable"]) for r in gold.product_performance(spark.createDataFrame(rows, "items string")).collect()}
+    assert got == {"P-1": (3.555, 18.05, 0), "P-2": (1.0, 3.0, 1), None: (None, None, 1)}
+
+
+def test_money_keeps_parts_of_a_cent(spark):
+    rows = [(datetime.datetime(2024, 1, 1), 0.004)] * 5 + [(datetime.datetime(2024, 1, 2), 12345678901234567.0)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, a double")
+    assert gold.monthly_revenue(df, "t", "a").first()["total_revenue"] == pytest.approx(12345678901234567.02)
+    assert gold.monthly_revenue(df.where("a < 1"), "t", "a").first()["total_revenue"] == 0.02
 
 
 def test_orders_cleaned_keeps_unmatched_and_drops_cancelled(spark):

@@ -5,12 +5,11 @@ import re
 import pytest
 from conftest import plan_of
 
-import __spark_entry__ as entry
 from lineloom.operators.parse import LIGHT, parse_scripts, table_refs
+from lineloom.operators import closure
+from lineloom.plans.catalog import QUERIES
 from lineloom.sources import tables
 
-QUERIES = entry.queries()
-
 
 def test_reading_scripts_needs_no_shuffle_and_no_python(spark):
     df = spark.createDataFrame([("x/f.sql", "SELECT 1 FROM a")], "path string, content string")
@@ -61,6 +60,46 @@ def test_partitioned_write_rebalances(spark):
     assert "REBALANCE_PARTITIONS_BY_COL" in plan_of(spark.range(9).withColumnRenamed("id", "day").hint("rebalance", "day"))
 
 
+@pytest.fixture
+def jobs(monkeypatch):
+    """The plans of everything a loop writes, and how many rows each table has."""
+    seen = []
+    real = closure.materialize
+
+    def watched(df, label, **metrics):
+        stored, observed = real(df, label, **metrics)
+        seen.append((label, plan_of(df), stored.count()))
+        return stored, observed
+
+    monkeypatch.setattr(closure, "materialize", watched)
+    return seen
+
+
+def _ladder(spark, n):
+    links = [(f"n{i}", f"n{i + 1}") for i in range(n)] + [(f"n{i}", f"n{i + 2}") for i in range(n - 1)]
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(n + 1)], "id string")
+    return nodes, spark.createDataFrame(links, "source string, target string")
+
+
+def test_jobs_of_the_loops(spark, jobs):
+    nodes, edges = _ladder(spark, 40)
+    closure.closure(edges)
+    closure.upstream_tree(edges, nodes)
+    closure.topo_rank(nodes, edges)
+    for label, plan, _ in jobs:
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Window"):
+            assert bad not in plan, label
+    labels = [label for label, _, _ in jobs]
+    assert labels.count("pairs") <= 8, "distances double"
+    assert labels.count("rank") <= 3 + 44 // 4, "several levels are ranked per job"
+
+
+def test_trees_carry_no_seeds(spark, jobs):
+    nodes, edges = _ladder(spark, 40)
+    assert closure.select_tree(nodes, edges, nodes).where("selected").count() == 41
+    assert sum(n for label, _, n in jobs if label == "reach") <= 2 * 41
+
+
 def test_nothing_is_cut_by_local_checkpoint():
     import pathlib
 

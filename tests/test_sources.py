@@ -3,7 +3,7 @@
 import pytest
 
 from lineloom.operators.parse import parse_scripts
-from lineloom.sources import snapshots, tables
+from lineloom.sources import snapshots, tables, versions
 from lineloom.sources.scripts import relative_path, script_scan
 
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ def test_script_scan_reads_every_script(spark, tmp_path):
         "silver/empty.sql": "",
         "notes.txt": "not a script",
         ".hidden/h.sql": "SELECT 1",
+        "_models/deep/_m.sql": "SELECT 2",
+        "_x.sql": "SELECT 3",
     }
     for name, text in texts.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
@@ -24,13 +26,13 @@ def test_script_scan_reads_every_script(spark, tmp_path):
     found = script_scan(spark, str(tmp_path))
     rel = found.select(relative_path(F.col("path"), str(tmp_path)).alias("path"), "content")
     got = {r["path"]: r["content"] for r in rel.collect()}
-    # Spark's file listing leaves out empty files and folders starting with a dot.
-    assert got == {k: texts[k] for k in ("top.sql", "silver/x y+z%.sql", "silver/deep/er/q.sql")}
+    assert got == {k: t for k, t in texts.items() if k.endswith(".sql")}
     (tmp_path / "odd").mkdir()
     (tmp_path / "odd" / "crlf.sql").write_bytes(b"-- x\r\nSELECT 1 -- y\rFROM a\xff")
     odd = script_scan(spark, str(tmp_path / "odd")).first()
     assert odd["content"] == "-- x\nSELECT 1 -- y\nFROM a\ufffd"
     parsed = {r["id"]: r for r in parse_scripts(found).collect()}
+    assert parsed["empty"]["error"] == "no statement" and parsed["_m"]["error"] is None
     assert parsed["x y+z%"]["layer"] == "silver" and parsed["x y+z%"]["dependencies"] == ["b"]
 
 
@@ -47,17 +49,43 @@ def test_snapshots(spark, tmp_path, fmt):
     assert [tuple(r) for r in load("nodes", "id string, n int").collect()] == [("a", 1)]
     assert [tuple(r) for r in load("edges", "source string, target string").collect()] == [("a", "b")]
     assert snapshots.metadata_of(spark, base, "one", fmt) == {"title": "u", "hidden": []}
+    # Load, change, save under the same name.
+    changed = load("nodes", "id string, n int").withColumn("n", F.lit(7))
+    snapshots.snapshot_save(base, changed, load("edges", "source string, target string"), {}, "one", fmt)
+    assert [tuple(r) for r in load("nodes", "id string, n int").collect()] == [("a", 7)]
+    # A save that fails half way leaves the old version.
+    broken = edges.withColumn("bad", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        snapshots.snapshot_save(base, nodes, broken, {}, "one", fmt)
+    assert [tuple(r) for r in load("nodes", "id string, n int").collect()] == [("a", 7)]
     with pytest.raises(ValueError):
         snapshots.snapshot_save(base, nodes, edges, {}, "../up")
 
 
+def test_versions(spark, tmp_path):
+    path = str(tmp_path / "v")
+    assert versions.current(spark, path) is None
+    for i in range(3):
+        tables.create_table(spark.range(i, i + 1), path, replace=True)
+    assert len(versions.versions(spark, path)) == 3
+    versions.drop_old(spark, path)
+    assert len(versions.versions(spark, path)) == 1 and tables.read_table(spark, path).first()["id"] == 2
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, str(tmp_path / "none"))
+
+
 def test_create_table(spark, tmp_path):
     path = str(tmp_path / "t")
     old = spark.range(3)
     assert tables.create_table(old, path).count() == 3
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+    with pytest.raises(FileExistsError):
         tables.create_table(old, path)
     assert [r["id"] for r in tables.create_table(spark.range(5, 6), path, replace=True).collect()] == [5]
+    own = tables.read_table(spark, path).withColumn("id", F.col("id") + 1)
+    assert [r["id"] for r in tables.create_table(own, path, replace=True).collect()] == [6]
+    with pytest.raises(Exception, match="stop"):
+        tables.create_table(own.select(F.raise_error(F.lit("stop")).alias("id")), path, replace=True)
+    assert [r["id"] for r in tables.read_table(spark, path).collect()] == [6]
 
 
 def test_create_view(spark):
