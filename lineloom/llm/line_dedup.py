@@ -102,8 +102,11 @@ def within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per distinct line that does not stay everywhere: ``(h1, h2, first, near)``.
+def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``(places, classes)``: every line's place and hashes, and the distinct lines that do not stay everywhere.
+
+    ``places(key, line, n, place, h1, h2)`` is written in the one pass that hashes all lines;
+    ``classes`` has ``(h1, h2, first, near)``.
 
     ``first`` is the earliest place of the line; ``near`` the earliest place of a line within one edited word
     that stands before it, or null.  Halves of lines are counted first: a line can only
@@ -113,9 +116,10 @@ def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", min_w
     the words themselves.
     """
     lines = text_lines(docs, text, key)
-    keyed = lines.select("h1", "h2", "place", "n", F.when(F.col("n") >= min_words, half_keys()).alias("halves"))
-    halves = [F.min(F.get("halves", F.lit(j))).alias(f"half{j}") for j in range(4)]
-    distinct, _ = materialize(keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"), *halves), "lines-distinct")
+    keyed = lines.select("key", "line", "h1", "h2", "place", "n", F.when(F.col("n") >= min_words, half_keys()).alias("halves"))
+    places, _ = materialize(keyed.select("*", *[F.get("halves", F.lit(j)).alias(f"half{j}") for j in range(4)]).drop("halves"), "lines-places")
+    halves = [F.min(f"half{j}").alias(f"half{j}") for j in range(4)]
+    distinct, _ = materialize(places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"), *halves), "lines-distinct")
     halves = F.posexplode(F.array("half0", "half1", "half2", "half3")).alias("which", "half")
     open_ = distinct.where("half0 IS NOT NULL").select("h1", "h2", "first", halves)
     shared = open_.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("half")
@@ -141,7 +145,7 @@ def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", min_w
     checked = near.join(body, "lid").join(other, "near").where(within_one_edit(F.col("words"), F.col("others")))
     checked = checked.select("h1", "h2", F.col("near_place").alias("near"))
     marked = distinct.select("h1", "h2", "first", "rows").join(checked, ["h1", "h2"], "left")
-    return marked.where("rows > 1 OR near IS NOT NULL")
+    return places.select("key", "line", "n", "place", "h1", "h2"), marked.where("rows > 1 OR near IS NOT NULL")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
@@ -153,8 +157,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_wo
     earliest match, and ``near`` tells that it is not equal.  Rows that repeat key and text
     stand at the same places and are treated alike.  Null or empty texts and blank lines give no rows.
     """
-    places = text_lines(docs, text, key).select("key", "line", "n", "place", "h1", "h2")
-    classes, _ = materialize(line_classes(docs, text, key, min_words), "lines-classes")
+    places, classes = line_classes(docs, text, key, min_words)
+    classes, _ = materialize(classes, "lines-classes")
     joined = places.join(classes, ["h1", "h2"], "left")
     # A copy of a near duplicate may stand before the near one's match; the earliest of all decides.
     best = F.least("first", "near")
