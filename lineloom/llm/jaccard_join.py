@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,13 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineloom.llm.common import components, documents, small_side
-from lineloom.session import materialize
+from lineloom.session import discard, materialize
 
 #: Words of a shingle and the least similarity in percent, as the near-duplicate query has them.
 SHINGLE, PERCENT = 4, 85
-#: A shingle in so many windows is common, and at most so many of the most common come last in the order.
+#: Shingles in so many windows are ordered by that number behind all others, at most so many of the most common.
 #: The order only decides which regions meet; any order gives the same links.
-COMMON, MAX_COMMON = 32, 100_000
+COMMON, MAX_COMMON = 3, 400_000
 #: Pivots that a region takes in its second round; each further round takes so many times more.
 PIVOTS, GROWTH = 4, 8
 
@@ -74,16 +75,15 @@ def _sketch(docs: DataFrame, text: str, key: str, size: int, choose) -> DataFram
     return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, _SKETCH.format(key=kind))
 
 
-def _window(percent: int, common: np.ndarray):
-    """The first items of a set that every set similar enough must meet: common ones last, else by hash."""
+def _window(percent: int, common: np.ndarray, counts: np.ndarray):
+    """The first items of a set that every set similar enough must meet: rare before common, else by hash."""
 
     def choose(s: np.ndarray) -> np.ndarray:
         n = len(s)
         width = n - (percent * n + 99) // 100 + 1 if n else 0
         if len(common) and n:
             at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-            often = common[at] == s
-            s = np.concatenate((s[~often], s[often]))
+            s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
         return s[:width]
 
     return choose
@@ -132,7 +132,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     2. Far documents never meet.  Two sets that are similar enough share one of the
        few first items of either in a common order, so each set enters the regions of
        those items only.  Common items come last in the order, so a shared passage opens
-       few regions.
+       few regions.  A region of two is one pair; larger ones are split by set size.
     3. In each region a pivot's distance to all others is computed on the whole sets; d = 1 - J is a metric.
        Members within the radius r = 1 - percent/100 are linked to it, and so connected.
     4. A region whose members are all connected is done.  Any other takes more pivots, those not
@@ -147,7 +147,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     """
     spark = docs.sparkSession
     radius = 1 - percent / 100 + 1e-9
-    sketch, _ = materialize(_sketch(docs, text, key, size, _window(percent, np.zeros(0, np.uint64))), "jaccard-sketch")
+    sketch, _ = materialize(_sketch(docs, text, key, size, _window(percent, np.zeros(0, np.uint64), np.zeros(0, np.int64))), "jaccard-sketch")
     classes = sketch.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("key").alias("least"))
     classes, _ = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
 
@@ -161,17 +161,27 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     firsts = of_classes(sketch, classes).select("cid", F.explode("items").alias("item")).distinct()
     often = firsts.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    often = often.orderBy(F.desc("n"), "item").limit(MAX_COMMON).select("item")  # an order, not a filter
-    common = np.sort(np.array([r["item"] for r in often.collect()], np.int64).view(np.uint64))
-
-    ordered = _sketch(docs, text, key, size, _window(percent, common))
-    seats = of_classes(ordered, classes).select("cid", F.explode("items").alias("rid")).distinct()
-    seats, _ = materialize(seats, "jaccard-seats")
-    first = seats.groupBy("rid").agg(F.min("cid").alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows, _ = materialize(
-        seats.join(first.select("rid", "p"), "rid").where("cid != p").withColumn("home", F.lit(True)), "jaccard-regions"
+    often = often.orderBy(F.desc("n"), "item").limit(MAX_COMMON).toArrow()  # an order, not a filter
+    common = often["item"].to_numpy().astype(np.int64).view(np.uint64)
+    place = np.argsort(common)
+    choose = _window(percent, common[place], often["n"].to_numpy().astype(np.int64)[place])
+    keyed, _ = materialize(sketch.select("key", "n", "h1", "h2"), "jaccard-keys")
+    discard(sketch)
+
+    seats = of_classes(_sketch(docs, text, key, size, choose), classes).join(classes.select("cid", "n"), "cid")
+    seats, _ = materialize(seats.select("cid", "n", F.explode("items").alias("rid")), "jaccard-seats")
+    regions = seats.groupBy("rid").agg(
+        F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most")
     )
-    asked, seen = materialize(rows.select("cid").union(rows.select(F.col("p").alias("cid"))).distinct(), "jaccard-met", n=F.count(F.lit(1)))
+    # Two members of too different sizes can't be linked.
+    regions = regions.where("lo != hi").where((F.col("m") > 2) | (100 * F.col("least") >= percent * F.col("most")))
+    regions, seen = materialize(regions.select("rid", "lo", "hi", "m"), "jaccard-regions", crowds=F.count_if(F.col("m") > 2))
+    two = regions.where("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
+    crowd = seats.join(small_side(regions.where("m > 2").select("rid"), seen["crowds"]), "rid", "left_semi")
+    rows, _ = materialize(_size_bands(crowd, percent), "jaccard-crowds")
+    discard(seats)
+    met = two.select(F.explode(F.array("a", "b")).alias("cid")).union(rows.select(F.explode(F.array("cid", "p")).alias("cid")))
+    asked, seen = materialize(met.distinct(), "jaccard-met", n=F.count(F.lit(1)))
     wanted = classes.join(asked, "cid", "left_semi")
     members = docs.join(
         small_side(wanted.select(F.col("least").alias("_least")).distinct(), seen["n"]), docs[key].eqNullSafe(F.col("_least")), "left_semi"
@@ -180,7 +190,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     sets, _ = materialize(sets, "jaccard-sets")
 
     distances = _Distances(sets, percent)
-    distances.ask(rows.select(F.col("p").alias("a"), F.col("cid").alias("b")))
+    distances.ask(two.union(rows.select(F.col("p").alias("a"), F.col("cid").alias("b"))))
     measured = distances.known.select(F.col("a").alias("p"), F.col("b").alias("cid"), "d")
     rows = rows.join(measured, ["p", "cid"])
     take = PIVOTS
@@ -194,11 +204,27 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         F.col("cid"), F.coalesce("root", "cid").alias("root"), F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2")
     )
-    keyed = sketch.select("key", "n", "h1", "h2")
     keyed = keyed.join(named, (keyed["n"] == named["cn"]) & (keyed["h1"] == named["c1"]) & (keyed["h2"] == named["c2"]), "left")
     return keyed.select("key", "n", "cid", "root"), distances.links()
 
 
+def _size_bands(crowd: DataFrame, percent: int) -> DataFrame:
+    """``(rid, cid, home, p)``: regions split by set size, each with its first pivot ``p``.
+
+    Sizes of linked sets differ by the factor ``percent``/100 at most, so with bands of that factor they lie in one
+    band or in neighbours: every member enters its own band, and the next one as a boundary document.
+    """
+    width = -math.log(percent / 100) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / width)
+    places = F.array(
+        F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))
+    )
+    spread = crowd.select("rid", "cid", F.inline(places)).select(F.xxhash64("rid", "band").alias("rid"), "cid", "home")
+    first = spread.groupBy("rid").agg(F.min("cid").alias("p"), F.max("cid").alias("hi"), F.max("home").alias("any"))
+    first = first.where("p != hi AND any").select("rid", "p")
+    return spread.join(first, "rid").where("cid != p")
+
+
 def _open_regions(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """Rows of regions with members of several components, with their component; and how many there are."""
     named = roots.select(F.col("node").alias("cid"), "root")
