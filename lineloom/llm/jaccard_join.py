@@ -137,7 +137,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
        Members within the radius r = 1 - percent/100 are linked to it, and so connected.
     4. A region whose members are all connected is done.  Any other takes more pivots, those not
        connected with its first one before others, and splits into the Voronoi cells of its
-       pivots.  A member goes to its nearest pivot's cell, and as a boundary document to each cell whose pivot
+       pivots, which later rounds sweep.  A member goes to its nearest pivot's cell, and as a boundary document to each cell whose pivot
        is within 2r of that distance and within the cell's radius plus r: by the triangle
        inequality no other cell can hold a partner.  A pivot has met its whole region and leaves it.
        Cells are regions again, until none is open; the number of pivots grows, so that the rounds stay few.
@@ -169,12 +169,14 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     discard(sketch)
 
     seats = of_classes(_sketch(docs, text, key, size, choose), classes).join(classes.select("cid", "n"), "cid")
-    seats, _ = materialize(seats.select("cid", "n", F.explode("items").alias("rid")), "jaccard-seats")
+    seats, _ = materialize(seats.select("cid", "n", F.posexplode("items").alias("pos", "rid")), "jaccard-seats")
     regions = seats.groupBy("rid").agg(
-        F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most")
+        F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.min(F.col("n") - F.col("pos")).alias("rest"),
     )
-    # Two members of too different sizes can't be linked.
-    regions = regions.where("lo != hi").where((F.col("m") > 2) | (100 * F.col("least") >= percent * F.col("most")))
+    # Two members of too different sizes, or with too few items from the shared one on, can't be linked there.
+    able = (100 * F.col("least") >= percent * F.col("most")) & ((100 + percent) * F.col("rest") >= percent * (F.col("least") + F.col("most")))
+    regions = regions.where("lo != hi").where((F.col("m") > 2) | able)
     regions, seen = materialize(regions.select("rid", "lo", "hi", "m"), "jaccard-regions", crowds=F.count_if(F.col("m") > 2))
     two = regions.where("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
     crowd = seats.join(small_side(regions.where("m > 2").select("rid"), seen["crowds"]), "rid", "left_semi")
@@ -199,7 +201,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         rows, left = _open_regions(rows, roots)
         if not left:
             break
-        rows = _split(rows, distances, radius, take)
+        # One split into cells; what it leaves open is swept by more and more pivots.
+        rows = _split(rows, distances, radius, take) if take == PIVOTS else _sweep(rows, distances, radius, take)
         take *= GROWTH
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         F.col("cid"), F.coalesce("root", "cid").alias("root"), F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2")
@@ -211,18 +214,30 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 def _size_bands(crowd: DataFrame, percent: int) -> DataFrame:
     """``(rid, cid, home, p)``: regions split by set size, each with its first pivot ``p``.
 
-    Sizes of linked sets differ by the factor ``percent``/100 at most, so with bands of that factor they lie in one
-    band or in neighbours: every member enters its own band, and the next one as a boundary document.
+    Sizes of linked sets differ by the factor ``percent``/100 at most, so with bands of that factor the larger set lies in
+    the smaller one's band or in the next: every member enters its own band and, as a boundary document, the
+    one below.  The smaller set of a pair holds so many of the shared items that at least its share of
+    two equal sets follows the first shared one; members with that many are at home.  Any other member
+    must have enough for the smallest set at home.  A pair needs a member at home.  The pivot is the member at home
+    with the fewest rarer items, which is the one in the middle where all are edits of one text.
     """
     width = -math.log(percent / 100) * (1 + 1e-9)
     band = F.floor(F.log(F.col("n").cast("double")) / width)
+    rest = F.col("n") - F.col("pos")
+    small = (100 + percent) * rest >= 2 * percent * F.col("n")
     places = F.array(
-        F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))
+        F.struct(band.alias("band"), small.alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home"))
     )
-    spread = crowd.select("rid", "cid", F.inline(places)).select(F.xxhash64("rid", "band").alias("rid"), "cid", "home")
-    first = spread.groupBy("rid").agg(F.min("cid").alias("p"), F.max("cid").alias("hi"), F.max("home").alias("any"))
-    first = first.where("p != hi AND any").select("rid", "p")
-    return spread.join(first, "rid").where("cid != p")
+    spread = crowd.select("rid", "cid", "n", "pos", rest.alias("rest"), F.inline(places))
+    spread = spread.select(F.xxhash64("rid", "band").alias("rid"), "cid", "n", "pos", "rest", "home")
+    first = spread.groupBy("rid").agg(
+        F.min_by("cid", F.when(F.col("home"), F.col("pos"))).alias("p"), F.min(F.when(F.col("home"), F.col("n"))).alias("least"),
+        F.min("cid").alias("lo"), F.max("cid").alias("hi"),
+    )
+    first = first.where("lo != hi AND least IS NOT NULL").select("rid", "p", "least")
+    rows = spread.join(first, "rid").where("cid != p")
+    enough = F.col("home") | ((100 + percent) * F.col("rest") >= percent * (F.col("least") + F.col("n")))
+    return rows.where(enough).select("rid", "cid", "home", "p")
 
 
 def _open_regions(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
@@ -240,8 +255,8 @@ def _open_regions(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
 
 def _split(rows: DataFrame, distances: _Distances, radius: float, take: int) -> DataFrame:
     """The Voronoi cells of each region: its centre and ``take`` more pivots, with boundary windows."""
-    turn = W.partitionBy("rid").orderBy(F.col("root") == F.col("center"), "cid")
-    pivots = rows.select("rid", "cid", "root", "center").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= take)
+    turn = W.partitionBy("rid").orderBy(F.col("root") == F.col("center"), ~F.col("home"), "cid")
+    pivots = rows.select("rid", "cid", "home", "root", "center").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= take)
     pivots, _ = materialize(pivots.select("rid", F.col("cid").alias("q")), "jaccard-pivots")
     met = rows.join(pivots, "rid").where("cid != q")
     distances.ask(met.select(F.col("q").alias("a"), F.col("cid").alias("b")))
@@ -261,6 +276,21 @@ def _split(rows: DataFrame, distances: _Distances, radius: float, take: int) ->
     return cells.select(F.xxhash64("rid", "q").alias("rid"), "cid", "home", F.col("q").alias("p"), "d")
 
 
+def _sweep(rows: DataFrame, distances: _Distances, radius: float, take: int) -> DataFrame:
+    """Each cell's next ``take`` pivots meet whom they may be linked to, and leave the cell.
+
+    A pivot need not meet its own component, and by the triangle inequality nobody whose distance to the cell's
+    centre differs from its own by more than the radius.
+    """
+    turn = W.partitionBy("rid").orderBy(F.col("root") == F.col("center"), ~F.col("home"), "cid")
+    pivots = rows.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= take)
+    pivots = pivots.select("rid", F.col("cid").alias("q"), F.col("d").alias("qd"), F.col("root").alias("qr"), F.col("home").alias("qh"))
+    pivots, _ = materialize(pivots, "jaccard-pivots")
+    met = rows.join(pivots, "rid").where("root != qr AND (home OR qh)").where(F.abs(F.col("d") - F.col("qd")) <= radius)
+    distances.ask(met.select(F.least("q", "cid").alias("a"), F.greatest("q", "cid").alias("b")))
+    return rows.join(pivots.select("rid", F.col("q").alias("cid")), ["rid", "cid"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Key, ``n_shingles`` and ``component_id`` (smallest key reachable by links, itself included) per row.
 
