@@ -38,9 +38,21 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def unit(*keys: Column) -> Column:
-    """A number in [0, 1) that depends on nothing but ``keys``."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
+def most_frequent(counts: DataFrame, column: str, rows: int) -> DataFrame:
+    """The rows of the greatest counts, at most ``rows`` of them.
+
+    A histogram on sixteenths of a power of two finds the least count that keeps the bound, so nothing but
+    its few hundred buckets and the chosen rows ever leaves the tasks.  Counts of one bucket are taken or left together.
+    """
+    bucket = F.floor(F.log2(F.col(column).cast("double")) * 16)
+    sizes = counts.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["bucket"]):
+        total += r["n"]
+        if total > rows:
+            break
+        least = r["bucket"]
+    return counts.where(F.lit(False)) if least is None else counts.where(bucket >= least)
 
 
 def components(links: DataFrame, label: str) -> DataFrame:

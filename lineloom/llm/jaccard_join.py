@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import components, documents, small_side
+from lineloom.llm.common import components, documents, most_frequent, small_side
 from lineloom.session import discard, materialize
 
 #: Words of a shingle and the least similarity in percent, as the near-duplicate query has them.
@@ -161,7 +161,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     firsts = of_classes(sketch, classes).select("cid", F.explode("items").alias("item")).distinct()
     often = firsts.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    often = often.orderBy(F.desc("n"), "item").limit(MAX_COMMON).toArrow()  # an order, not a filter
+    often, _ = materialize(often, "jaccard-often")
+    often = most_frequent(often, "n", MAX_COMMON).toArrow()  # an order, not a filter
     common = often["item"].to_numpy().astype(np.int64).view(np.uint64)
     place = np.argsort(common)
     choose = _window(percent, common[place], often["n"].to_numpy().astype(np.int64)[place])

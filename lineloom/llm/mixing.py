@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import documents, text_of, unit, word_count
+from lineloom.llm.common import documents, text_of, word_count
 from lineloom.session import materialize
 
 #: Words of a packed block, slots of an output shard, and stripes that split a source's running sum.
