@@ -59,7 +59,7 @@ def test_line_dedup(frame):
     rng = random.Random(2)
     base = [words(rng, n, 60) for n in (1, 3, 8, 9, 10, 12, 25, 40) for _ in range(3)]
     pool = base + [edited(rng, b) for b in base for _ in range(3)]
-    pool += [edited(rng, b) for b in pool]
+    pool += [edited(rng, b) for b in pool if b]
     rows = [(i, "\n".join(" ".join(w) for w in rng.sample(pool, 4))) for i in range(60)] + ODD
     flat = []
     for key, text in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
