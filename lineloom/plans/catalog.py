@@ -91,7 +91,8 @@ def _scan(spark, sf):
 
 def _odd_places(scripts: DataFrame) -> DataFrame:
     """A few scripts in places that file listings tend to leave out, and a few empty ones."""
-    key = F.regexp_extract("path", r"t(\d+)\.sql$", 1).cast("long")
+    # Copies share their name with another script and stay where they are.
+    key = F.when(~F.col("path").contains("/zz_copy/"), F.regexp_extract("path", r"t(\d+)\.sql$", 1).cast("long"))
     name = F.regexp_extract("path", r"[^/]+$", 0)
     return scripts.select(
         F.when(key % 251 == 1, F.concat(F.lit("wh/_models/"), name))

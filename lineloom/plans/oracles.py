@@ -143,9 +143,9 @@ cleaned AS (
 ORACLES = {
     # --- A
     "script_scan": _q(
-        """SELECT CASE k % 251 WHEN 1 THEN concat('wh/_models/', id, '.sql') WHEN 2 THEN concat('wh/_', id, '.sql')
-             WHEN 3 THEN concat('wh/.cache/deep/', id, '.sql') ELSE path END AS path, CASE
-             WHEN k % 251 = 4 THEN ''
+        """SELECT CASE CASE WHEN is_copy THEN 0 ELSE k % 251 END
+             WHEN 1 THEN concat('wh/_models/', id, '.sql') WHEN 2 THEN concat('wh/_', id, '.sql') WHEN 3 THEN concat('wh/.cache/deep/', id, '.sql') ELSE path END AS path, CASE
+             WHEN k % 251 = 4 AND NOT is_copy THEN ''
              WHEN is_copy THEN concat('CREATE TABLE dup.', id, ' (id INT)')
              WHEN k % 97 = 0 THEN concat('CREATE OR REPLACE VIEW ds', k % 7, '.', id, ' AS (SELECT FROM')
              WHEN k % 13 = 0 THEN sel
