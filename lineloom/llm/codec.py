@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -37,56 +38,61 @@ class StreamingViterbi:
         self.text = ""
         self.best: list[float] = [0.0]
         self.back: list[int] = [0]
-        self.at = 0
+        self.at = self.far = 0
 
     def feed(self, chunk: str) -> list[int]:
-        self.text += chunk
+        self._add(chunk)
         return self._run(len(self.text) - self.v.longest)
 
     def finish(self) -> list[int]:
         ids = self._run(len(self.text))
-        ids += self._take(len(self.text))
-        return ids
+        return ids + self._take(len(self.text))
+
+    def _add(self, chunk: str) -> None:
+        self.text += chunk
+        self.best += [-np.inf] * len(chunk)
+        self.back += [-1] * len(chunk)
 
     def _run(self, end: int) -> list[int]:
-        """Relax the positions before ``end``."""
-        normal, prefixes, best, back = self.v.normal, self.v.prefixes, self.best, self.back
+        """Relax the positions before ``end``; ``far`` is the farthest end in reach."""
+        normal, prefixes, longest = self.v.normal, self.v.prefixes, self.v.longest
+        text, best, back, at, far = self.text, self.best, self.back, self.at, self.far
+        size = len(text)
         out: list[int] = []
-        while self.at < end:
-            i, text = self.at, self.text
-            here, size = best[i], len(text)
-            stop = i + 1
-            if text[i] not in normal:
-                self._offer(i, i + 1, here + self.low)
-            while stop <= size:
-                part = text[i:stop]
-                if part not in prefixes:
-                    break
-                found = normal.get(part)
-                if found:
-                    self._offer(i, stop, here + found[1])
-                stop += 1
-            self.at = i + 1
-            # One end in reach: all paths go through it.
-            if len(best) == self.at + 1 or (self.at % self.v.longest == 0 and self.at > 4 * self.v.longest):
-                boundary = self._meeting()
+        while at < end:
+            here = best[at]
+            if back[at] >= 0:
+                if text[at] not in normal:
+                    score = here + self.low
+                    if score > best[at + 1]:
+                        best[at + 1], back[at + 1] = score, at
+                    far = max(far, at + 1)
+                for stop in range(at + 1, min(size, at + longest) + 1):
+                    part = text[at:stop]
+                    if part not in prefixes:
+                        break
+                    found = normal.get(part)
+                    if found:
+                        score = here + found[1]
+                        if score > best[stop]:
+                            best[stop], back[stop] = score, at
+                        if stop > far:
+                            far = stop
+            at += 1
+            # One end in reach, or paths that may have met: give out what is settled, once it is worth it.
+            if at >= longest and (far == at or at % longest == 0 and at > 4 * longest):
+                self.at, self.far = at, far
+                boundary = at if far == at else self._meeting()
                 if boundary:
                     out += self._take(boundary)
-                    end -= boundary
-                    best, back = self.best, self.back
+                    text, best, back, at, far = self.text, self.best, self.back, self.at, self.far
+                    end, size = end - boundary, len(text)
+        self.at, self.far = at, far
         return out
 
-    def _offer(self, i: int, stop: int, score: float) -> None:
-        best, back = self.best, self.back
-        while len(best) <= stop:
-            best.append(-np.inf)
-            back.append(-1)
-        if score > best[stop]:
-            best[stop], back[stop] = score, i
-
     def _meeting(self) -> int:
         """The last boundary on the paths of every position that can still be reached."""
-        ends = {e for e in range(self.at, len(self.best)) if self.back[e] >= 0 or e == 0}
+        ends = {e for e in range(self.at, self.far + 1) if self.back[e] >= 0}
         while len(ends) > 1:
             last = max(ends)
             ends.remove(last)
@@ -107,12 +113,13 @@ class StreamingViterbi:
             else:
                 raw = MARK if self.text[a:b] == _OWN_MARK else self.text[a:b]
                 ids += [self.v.bytes[x] for x in raw.encode()]
-        base = self.best[boundary] if boundary < len(self.best) else 0.0
+        base = self.best[boundary]
         self.text = self.text[boundary:]
-        self.best = [s - base for s in self.best[boundary:]] or [0.0]
-        self.back = [max(b - boundary, -1) for b in self.back[boundary:]] or [0]
+        self.best = [x - base for x in self.best[boundary:]]
+        self.back = [max(x - boundary, -1) for x in self.back[boundary:]]
         self.back[0] = 0
         self.at -= boundary
+        self.far -= boundary
         return ids
 
 
@@ -122,17 +129,22 @@ class Codec(dict):
     def __init__(self, vocabulary: Pieces):
         super().__init__()
         self.v = vocabulary
+        self.older: dict[str, bytes] = {}
         words = [n.replace(MARK, " ").encode() for n in vocabulary.names]
         for byte, index in vocabulary.bytes.items():
             words[index] = bytes([byte])
         self.words = np.array(words, dtype=object)
 
     def __missing__(self, segment: str) -> bytes:
-        search = StreamingViterbi(self.v)
-        ids = np.array(search.feed(segment) + search.finish(), np.int32).tobytes()
-        if len(self) > REMEMBERED:
-            self.clear()
+        ids = self.older.get(segment)
+        if ids is None:
+            search = StreamingViterbi(self.v)
+            ids = array("i", search.feed(segment) + search.finish()).tobytes()
         if len(segment) <= 8 * self.v.longest:
+            if len(self) > REMEMBERED:
+                # What is not asked for again before the next turn is forgotten.
+                self.older = dict(self)
+                self.clear()
             self[segment] = ids
         return ids
 
