@@ -45,8 +45,8 @@ class StreamingViterbi:
         return self._run(len(self.text) - self.v.longest)
 
     def finish(self) -> list[int]:
-        ids = self._run(len(self.text))
-        return ids + self._take(len(self.text))
+        ids = self._run(len(self.text)) if self.at < len(self.text) else []
+        return ids + self._ids(len(self.text))
 
     def _add(self, chunk: str) -> None:
         self.text += chunk
@@ -55,29 +55,29 @@ class StreamingViterbi:
 
     def _run(self, end: int) -> list[int]:
         """Relax the positions before ``end``; ``far`` is the farthest end in reach."""
-        normal, prefixes, longest = self.v.normal, self.v.prefixes, self.v.longest
+        tree, longest, low = self.v.tree, self.v.longest, self.low
         text, best, back, at, far = self.text, self.best, self.back, self.at, self.far
-        size = len(text)
         out: list[int] = []
         while at < end:
-            here = best[at]
-            if back[at] >= 0:
-                if text[at] not in normal:
-                    score = here + self.low
-                    if score > best[at + 1]:
-                        best[at + 1], back[at + 1] = score, at
-                    far = max(far, at + 1)
-                for stop in range(at + 1, min(size, at + longest) + 1):
-                    part = text[at:stop]
-                    if part not in prefixes:
-                        break
-                    found = normal.get(part)
-                    if found:
-                        score = here + found[1]
-                        if score > best[stop]:
-                            best[stop], back[stop] = score, at
-                        if stop > far:
-                            far = stop
+            # Every position is reached: its character is a piece or counts as unknown.
+            here, stop, node, reach = best[at], at, tree, at + 1
+            if text[at] not in tree or tree[text[at]][0] is None:
+                score = here + low
+                if score > best[at + 1]:
+                    best[at + 1], back[at + 1] = score, at
+            for c in text[at : at + longest]:
+                found = node.get(c)
+                if found is None:
+                    break
+                stop += 1
+                score, node = found
+                if score is not None:
+                    score += here
+                    reach = stop
+                    if score > best[stop]:
+                        best[stop], back[stop] = score, at
+            if reach > far:
+                far = reach
             at += 1
             # One end in reach, or paths that may have met: give out what is settled, once it is worth it.
             if at >= longest and (far == at or at % longest == 0 and at > 4 * longest):
@@ -86,7 +86,7 @@ class StreamingViterbi:
                 if boundary:
                     out += self._take(boundary)
                     text, best, back, at, far = self.text, self.best, self.back, self.at, self.far
-                    end, size = end - boundary, len(text)
+                    end -= boundary
         self.at, self.far = at, far
         return out
 
@@ -101,25 +101,30 @@ class StreamingViterbi:
 
     def _take(self, boundary: int) -> list[int]:
         """Ids up to ``boundary``, which becomes position 0."""
+        ids = self._ids(boundary)
+        base = self.best[boundary]
+        self.text = self.text[boundary:]
+        self.best = [x - base for x in self.best[boundary:]]
+        self.back = [max(x - boundary, -1) for x in self.back[boundary:]]
+        self.back[0] = 0
+        self.at -= boundary
+        self.far -= boundary
+        return ids
+
+    def _ids(self, boundary: int) -> list[int]:
+        """Ids of the best path to ``boundary``."""
         cuts = [boundary]
         while cuts[-1] > 0:
             cuts.append(self.back[cuts[-1]])
         cuts.reverse()
         ids: list[int] = []
         for a, b in zip(cuts, cuts[1:]):
-            found = self.v.normal.get(self.text[a:b])
+            part = self.text[a:b]
+            found = self.v.normal.get(part)
             if found:
                 ids.append(found[0])
             else:
-                raw = MARK if self.text[a:b] == _OWN_MARK else self.text[a:b]
-                ids += [self.v.bytes[x] for x in raw.encode()]
-        base = self.best[boundary]
-        self.text = self.text[boundary:]
-        self.best = [x - base for x in self.best[boundary:]]
-        self.back = [max(x - boundary, -1) for x in self.back[boundary:]]
-        self.back[0] = 0
-        self.at -= boundary
-        self.far -= boundary
+                ids += [self.v.bytes[x] for x in (MARK if part == _OWN_MARK else part).encode()]
         return ids
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 #: The mark that stands for a space inside pieces.
 MARK = "▁"
@@ -73,7 +73,6 @@ class Pieces:
         if normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(3, 1) or len(self.bytes) != 256:
             raise ValueError("only models with identity normalisation, a leading mark and byte fallback are read")
         self.longest = max(map(len, self.normal))
-        self.prefixes = {name[:n] for name in self.normal for n in range(1, len(name) + 1)}
         self.real_low = min(s for _, s in self.normal.values() if s > -1e8)
         # A boundary that no piece crosses may be cut before anything is merged or scored.
         crossed = any(MARK in name.lstrip(MARK) for name in self.normal)
@@ -83,6 +82,17 @@ class Pieces:
         else:
             self._cut = re.compile(f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" + (f"|{lone}" if lone else ""))
 
+    @cached_property
+    def tree(self) -> dict:
+        """Pieces by their characters: ``character: (score of the piece that ends here or None, what may follow)``."""
+        root: dict = {}
+        for name, (_, score) in self.normal.items():
+            node = root
+            for c in name[:-1]:
+                node = node.setdefault(c, (None, {}))[1]
+            node[name[-1]] = (score, node[name[-1]][1] if name[-1] in node else {})
+        return root
+
     def segments(self, marked: str) -> list[str]:
         """Parts of a text (spaces as marks) that are tokenised apart from each other."""
         return self._cut.findall(marked)
