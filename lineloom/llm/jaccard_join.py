@@ -19,6 +19,8 @@ SHINGLE, PERCENT = 4, 85
 #: Shingles in so many windows are ordered by that number behind all others, at most so many of the most common.
 #: The order only decides which regions meet; any order gives the same links.
 COMMON, MAX_COMMON = 3, 400_000
+#: Regions of a set that a sweep compares to find pairs met elsewhere; a pair not found so is met again.
+COMPARED = 64
 #: Pivots that a region takes in its second round; each further round takes so many times more.
 PIVOTS, GROWTH = 4, 8
 
@@ -281,13 +283,19 @@ def _sweep(rows: DataFrame, distances: _Distances, radius: float, take: int) ->
     """Each cell's next ``take`` pivots meet whom they may be linked to, and leave the cell.
 
     A pivot need not meet its own component, and by the triangle inequality nobody whose distance to the cell's
-    centre differs from its own by more than the radius.
+    centre differs from its own by more than the radius.  Of the cells that two share, one of them at home, only the
+    first needs to let them meet: both stay there until one is its pivot or the cell is connected.
     """
+    places = rows.groupBy("cid").agg(F.sort_array(F.collect_set("rid")).alias("all"), F.sort_array(F.collect_set(F.when(F.col("home"), F.col("rid")))).alias("own"))
+    places = places.select("cid", F.slice("all", 1, COMPARED).alias("all"), F.slice("own", 1, COMPARED).alias("own"))
+    placed, _ = materialize(rows.join(places, "cid"), "jaccard-placed")
     turn = W.partitionBy("rid").orderBy(F.col("root") == F.col("center"), ~F.col("home"), "cid")
-    pivots = rows.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= take)
-    pivots = pivots.select("rid", F.col("cid").alias("q"), F.col("d").alias("qd"), F.col("root").alias("qr"), F.col("home").alias("qh"))
+    pivots = placed.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= take)
+    pivots = pivots.select("rid", *[F.col(a).alias(b) for a, b in (("cid", "q"), ("d", "qd"), ("root", "qr"), ("home", "qh"), ("all", "qall"), ("own", "qown"))])
     pivots, _ = materialize(pivots, "jaccard-pivots")
-    met = rows.join(pivots, "rid").where("root != qr AND (home OR qh)").where(F.abs(F.col("d") - F.col("qd")) <= radius)
+    first = F.least(F.array_min(F.array_intersect("all", "qown")), F.array_min(F.array_intersect("own", "qall")))
+    met = placed.join(pivots, "rid").where("root != qr AND (home OR qh)").where(F.abs(F.col("d") - F.col("qd")) <= radius)
+    met = met.where(F.coalesce(first, F.col("rid")) >= F.col("rid"))
     distances.ask(met.select(F.least("q", "cid").alias("a"), F.greatest("q", "cid").alias("b")))
     return rows.join(pivots.select("rid", F.col("q").alias("cid")), ["rid", "cid"], "left_anti")
 
