@@ -9,6 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineloom.functions.let import let
 from lineloom.llm.common import documents, text_of
 from lineloom.session import materialize
 
@@ -58,12 +59,17 @@ def license_blocks(
     key: str = "doc_id",
     block_lines: int = 1,
 ) -> DataFrame:
-    """``(key, block, label, overlap, containment)`` for every block that holds enough of a template.
+    """``(key, span, block, label, overlap, containment)`` for every block that holds enough of a template.
 
-    A block is ``block_lines`` consecutive lines, starting at any line.  Blocks and
-    templates are sets of lower-case words, and a pair matches when the block holds at
+    A block is ``block_lines`` consecutive lines, starting at any line (``span`` 0, ``block`` the line), or,
+    for a template of L words, any ceil(L / threshold) consecutive words, whatever line breaks and
+    punctuation stand between them.  Such windows are searched in pieces of 2 * ``span`` words that
+    start at every multiple of ``span`` (``block`` is the multiple), where ``span`` is the next power of two; so
+    every window lies whole in a piece.  Pieces pass the filters first, then each window of a survivor is counted.
+
+    Blocks and templates are sets of lower-case words, and a pair matches when the block holds at
     least ``threshold`` of the template's words.  Words are ordered from the rarest in the
-    corpus (counted over all blocks) to the most frequent.  With ``need`` words required of
+    corpus (counted over all lines) to the most frequent.  With ``need`` words required of
     a template of size n, a match must have one of the template's first n - need + 1 words
     among the first words of the block that leave need - 1 others (prefix filter), the
     block must have ``need`` template words at all (length filter), and the words after the
@@ -75,57 +81,88 @@ def license_blocks(
     rows give repeated matches.
     """
     spark = docs.sparkSession
-    sets = {label: sorted(set(_words(body))) for label, body in templates.items()}
-    sets = {label: words for label, words in sets.items() if words}
+    bodies = {label: _words(body) for label, body in templates.items()}
+    sets = {label: sorted(set(words)) for label, words in bodies.items() if words}
     if sum(map(len, sets.values())) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words; split them over several scans")
     known = sorted({w for words in sets.values() for w in words})
-    vocabulary = F.array(*map(F.lit, known)).cast("array<string>")
-    lines = F.split(text_of(text), "\n")
-    if block_lines > 1:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(lines) - F.lit(block_lines - 1)))
-        lines = F.transform(starts, lambda i: F.array_join(F.slice(lines, i, block_lines), "\n"))
-    blocks = docs.select(F.col(key), F.posexplode(lines).alias("block", "line"))
-    held = blocks.select(key, "block", F.array_intersect(vocabulary, _tokens(F.col("line"))).alias("held"))
-    least = min((math.ceil(threshold * len(w) - 1e-9) for w in sets.values()), default=1)
+    needs = {label: max(1, math.ceil(threshold * len(words) - 1e-9)) for label, words in sets.items()}
+    #: Words of a template's window, and the power of two it is searched under.
+    reach = {label: math.ceil(len(bodies[label]) / max(threshold, 1 / len(bodies[label])) - 1e-9) for label in sets}
+    spans = {label: 1 << (n - 1).bit_length() for label, n in reach.items()}
+    literals = lambda words: F.array(*map(F.lit, words)).cast("array<string>")
+    block_of = lambda span, i, held, words: F.struct(
+        F.lit(span).alias("span"), i.cast("int").alias("block"), held.alias("held"), words.cast("array<string>").alias("words")
+    )
+
+    def lines_of(tokens: Column) -> Column:
+        if block_lines > 1:
+            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - F.lit(block_lines - 1)))
+            tokens = F.transform(starts, lambda i: F.flatten(F.slice(tokens, i, block_lines)))
+        return F.transform(tokens, lambda line, i: block_of(0, i, F.array_intersect(literals(known), line), F.lit(None)))
+
+    def pieces_of(words: Column, span: int) -> Column:
+        own = [label for label in sets if spans[label] == span]
+        vocabulary, fewest = sorted({w for label in own for w in sets[label]}), min(needs[label] for label in own)
+        last = F.greatest(F.lit(0), F.ceil(F.size(words) / F.lit(span)).cast("int") - 2)
+        piece = lambda i: F.slice(words, i * span + 1, 2 * span)
+        made = F.transform(F.sequence(F.lit(0), last), lambda i: block_of(span, i, F.array_intersect(literals(vocabulary), piece(i)), F.lit(None)))
+        near = F.filter(made, lambda p: F.size(p["held"]) >= fewest)
+        return F.transform(near, lambda p: block_of(span, p["block"], p["held"], piece(p["block"])))
+
+    blocks = let(
+        F.transform(F.split(text_of(text), "\n"), _tokens),
+        lambda tokens: let(
+            F.array_remove(F.flatten(tokens), ""),
+            lambda words: F.concat(lines_of(tokens), *[pieces_of(words, span) for span in sorted(set(spans.values()))]),
+        ),
+    )
     #: The one pass over the texts keeps the template words of each block.
-    held, _ = materialize(held.where(F.size("held") > 0), "license-blocks")
-    counts = held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    held = docs.select(F.col(key), F.inline(F.filter(blocks, lambda b: F.size(b["held"]) > 0)))
+    held, _ = materialize(held, "license-blocks")
+    counts = held.where("span = 0").select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     seen = {r["word"]: r["n"] for r in counts.collect()}  # at most one row per template word
     order = sorted(known, key=lambda w: (seen.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
+    least = min(needs.values(), default=1)
     rows = []
     for label, words in sorted(sets.items()):
         ranked = sorted(words, key=place.__getitem__)
-        need = max(1, math.ceil(threshold * len(ranked) - 1e-9))
-        rows += [(label, len(ranked), need, w, i, ranked) for i, w in enumerate(ranked[: len(ranked) - need + 1])]
+        need = needs[label]
+        rows += [(label, spans[label], reach[label], len(ranked), need, w, i, ranked) for i, w in enumerate(ranked[: len(ranked) - need + 1])]
     prefix = spark.range(1).select(
         F.inline(
             F.array(
                 *[
                     F.struct(
-                        F.lit(label).alias("label"), F.lit(n).alias("n"), F.lit(need).alias("need"),
+                        F.lit(label).alias("label"), F.lit(span).alias("of_span"), F.lit(window).alias("window"),
+                        F.lit(n).alias("n"), F.lit(need).alias("need"),
                         F.lit(w).alias("word"), F.lit(i).alias("at"),
                         F.array(*map(F.lit, ranked)).alias("template"),
                     )
-                    for label, n, need, w, i, ranked in rows
+                    for label, span, window, n, need, w, i, ranked in rows
                 ]
             )
         )
     )
     ranked = held.where(F.size("held") >= least).select(
-        key, "block", F.array_intersect(F.array(*map(F.lit, order)), "held").alias("ranked")
+        key, "span", "block", "words", F.array_intersect(F.array(*map(F.lit, order)), "held").alias("ranked")
     )
-    probes = ranked.select(key, "block", "ranked", F.posexplode(F.slice("ranked", F.lit(1), F.size("ranked") - (least - 1))).alias("pos", "word"))
+    probes = ranked.select(key, "span", "block", "words", "ranked", F.posexplode(F.slice("ranked", F.lit(1), F.size("ranked") - (least - 1))).alias("pos", "word"))
     close = probes.join(F.broadcast(prefix), "word").where(
-        (F.size("ranked") >= F.col("need"))
+        ((F.col("span") == 0) | (F.col("span") == F.col("of_span")))
+        & (F.size("ranked") >= F.col("need"))
         & (F.col("pos") <= F.size("ranked") - F.col("need"))
         & (F.least(F.col("n") - F.col("at"), F.size("ranked") - F.col("pos")) >= F.col("need"))
     )
     # Of the words a block shares with a template, the first one stands for the pair.
     first = F.array_intersect("template", "ranked")
     counted = close.withColumn("both", first).where((F.col("both")[0] == F.col("word")) & (F.size("both") >= F.col("need")))
-    return counted.select(key, "block", "label", F.size("both").alias("overlap"), (F.size("both") / F.col("n")).alias("containment"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - F.col("window") + 1))
+    windows = F.transform(starts, lambda i: F.size(F.array_intersect("template", F.slice("words", i, F.col("window")))))
+    overlap = F.when(F.col("span") == 0, F.size("both")).otherwise(F.array_max(windows))
+    found = counted.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
+    return found.select(key, "span", "block", "label", "overlap", (F.col("overlap") / F.col("n")).alias("containment"))
 
 
 def phrase_pattern(phrases) -> str:

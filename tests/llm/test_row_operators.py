@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -173,3 +174,23 @@ def test_license_scan(frame, texts):
         assert r["labels"] == ",".join(sorted({p for _, p in places} | found)), key
         assert r["score"] == pytest.approx(1.0 if places else max([0.0] + [best[x] for x in found]))
     assert license_scan.license_scan(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("columns", [24, 72])
+def test_license_notices_wrapped_over_lines(frame, columns):
+    labels = list(license_scan.TEMPLATES)
+    rows, pad = [], "lorem ipsum dolor sit amet " * 20
+    for i, notice in enumerate(license_scan.TEMPLATES.values()):
+        wrapped = textwrap.wrap(notice, columns)
+        rows += [(i, "\n".join(wrapped)), (100 + i, pad + "\n/*\n" + "".join(f" * {x}\r\n" for x in wrapped) + " */\n" + pad)]
+    # Too few of the words, and all of them but far apart.
+    mit = license_scan.TEMPLATES["mit"].split()
+    rows += [(200, "\n".join(mit[:17])), (201, ("\n" + pad).join(mit))]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(frame(rows)).collect()}
+    for i, label in enumerate(labels):
+        for key in (i, 100 + i):
+            assert label in got[key]["labels"].split(","), (label, columns)
+            assert got[key]["score"] == 1.0
+    assert got[200]["labels"] == "" and got[201]["labels"] == ""
+    least = [r for r in license_scan.license_blocks(frame([(1, "\n".join(mit[:-1]))])).collect()]
+    assert {r["label"] for r in least} == {"mit"} and max(r["overlap"] for r in least) == len({w.strip(",").lower() for w in mit[:-1]})
