@@ -19,12 +19,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
+def _measured(cut: DataFrame) -> DataFrame:
+    """``n_chars``, where there is such a column, after texts were cut."""
+    if "n_chars" not in cut.columns:
+        return cut
+    return cut.withColumn("n_chars", F.char_length("text").cast(cut.schema["n_chars"].dataType))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document or line has; those left without a word go."""
-    cut = without_repeated_lines(docs)
-    if "n_chars" not in docs.columns:
-        return cut
-    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return _measured(without_repeated_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +37,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them."""
-    return mixed_documents(docs)
+    """The parts of documents that the mix draws, as often as it draws them."""
+    return _measured(mixed_documents(docs))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document of the mix."""
+    """Piece ids of every part of the mix."""
     return encode_documents(docs)
 
 

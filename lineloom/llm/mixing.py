@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import documents, text_of, word_count
+from lineloom.functions.let import let
+from lineloom.llm.common import SPACE, WORD, documents, text_of, word_count
 from lineloom.session import materialize
 
 #: Words of a packed block, slots of an output shard, and stripes that split a source's running sum.
@@ -62,13 +63,17 @@ def permuted(index: Column, size: Column, *keys: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), index.cast("long"), swap)
 
 
-def packed(docs: DataFrame, text: str, key: str, source: str, seed: int, stripes: int) -> DataFrame:
-    """``(key, source, size, start, source_size)``: where each document's words stand in its source's stream.
+def packed(docs: DataFrame, text: str, key: str, source: str, seed: int, stripes: int, row: str | None = None) -> DataFrame:
+    """``(row, key, source, size, start, source_size)``: where each document's words stand in its source's stream.
 
     The running sum of a source is split into stripes by a hash of the key, so that no
     source, however large, is summed by one task: sums of stripes, then sums within.
+    Rows of one key stand in the order of a hash of their texts.  ``row`` is the column of that name, or
+    a number given here; it tells rows of one key apart.
     """
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text_of(text)).alias("size"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    body = F.xxhash64(F.lit(seed), text_of(text))
+    sized = docs.select(number.alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), word_count(text_of(text)).alias("size"), body.alias("body"))
     sized = sized.withColumn("stripe", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(stripes)))
     sized, _ = materialize(sized, "mix-sizes")
     stripe_sizes = sized.groupBy("source", "stripe").agg(F.sum("size").alias("stripe_size"))
@@ -78,10 +83,10 @@ def packed(docs: DataFrame, text: str, key: str, source: str, seed: int, stripes
         F.coalesce(F.sum("stripe_size").over(upto), F.lit(0)).alias("offset"),
         F.sum("stripe_size").over(W.partitionBy("source")).alias("source_size"),
     )
-    within = W.partitionBy("source", "stripe").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "stripe").orderBy("key", "body", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(offsets, placed["source"].eqNullSafe(offsets["s"]) & (placed["stripe"] == offsets["t"]))
-    return joined.select("key", "source", "size", (F.col("offset") + F.col("inner")).alias("start"), "source_size")
+    return joined.select("row", "key", "source", "size", (F.col("offset") + F.col("inner")).alias("start"), "source_size")
 
 
 def mixture_slots(targets: DataFrame, words: int, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -115,53 +120,75 @@ def mixture_slots(targets: DataFrame, words: int, block: int = BLOCK, shard_slot
     )
 
 
+def _dealt(docs: DataFrame, text: str, key: str, source: str, weights: Sequence[float], block: int, seed: int, stripes: int, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Packed documents, targets, and the spans of documents in every slot."""
+    placed, _ = materialize(packed(docs, text, key, source, seed, stripes, row), "mix-packed")
+    sizes = placed.groupBy("source").agg(F.max("source_size").alias("source_size"))
+    targets, seen = materialize(source_targets(sizes, weights), "mix-targets", words=F.sum("source_size"))
+    slots = mixture_slots(targets, seen["words"] or 0, block, seed=seed)
+    start, size = F.col("start"), F.col("size")
+    blocks = F.sequence(F.floor(start / block).cast("long"), F.floor((start + size - 1) / block).cast("long"))
+    spans = placed.where("size > 0").select("row", "key", F.col("source").alias("s"), "start", "size", F.explode(blocks).alias("b"))
+    low, high = F.greatest(F.col("b") * block, start), F.least((F.col("b") + 1) * block, start + size)
+    spans = spans.select("row", "key", "s", "b", (low - F.col("b") * block).alias("at"), (low - start).alias("first"), (high - low).alias("words"))
+    # The planner can't know how many slots come from a few targets: without the hint it would broadcast them.
+    slots = slots.hint("merge")
+    dealt = spans.join(slots, spans["s"].eqNullSafe(slots["source"]) & (spans["b"] == slots["block"]))
+    return placed, targets, dealt.select("shard", "slot", "source", "block", "repeat", "at", "row", "key", "first", "words")
+
+
+def mixed_blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, block: int = BLOCK, seed: int = SEED, stripes: int = STRIPES) -> DataFrame:
+    """The mix itself: ``(shard, slot, source, block, repeat, at, key, first, words)``, one row per document span of a slot.
+
+    A slot holds one block of one source; the block's words are those of its spans in the order of ``at``, their
+    place in the block.  A span is ``words`` words of the document from its word ``first`` (0 is the first) on.
+    ``repeat`` counts how often the source had been used up before.
+    """
+    return _dealt(docs, text, key, source, weights, block, seed, stripes)[2].withColumnRenamed("key", "_key").drop("row").select(
+        "shard", "slot", F.col("source").alias(source), "block", "repeat", "at", F.col("_key").alias(key), "first", "words"
+    )
+
+
 def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, block: int = BLOCK, seed: int = SEED, stripes: int = STRIPES) -> DataFrame:
     """One row per document: key, source, ``size``, ``source_size``, ``target``, ``taken`` and ``times``.
 
-    ``taken`` is the number of the document's words in the mix, repeats counted: each block
-    that the document's words stand in counts its words as often as the block is drawn.
-    ``times`` is how often the block with the document's first word is drawn.  No
+    ``taken`` is the number of the document's words in the mix, repeats counted: the sum over its spans in
+    all slots (``mixed_blocks``).  ``times`` is how often the block with the document's first word is drawn.  No
     block is drawn more than ``MAX_REPEATS`` times.  Null and empty texts have size 0 and
     nothing taken; a null source is a source of its own; equal seeds give equal mixes, whatever the
     partitioning.  Rows that repeat a key are packed side by side.
     """
-    placed, _ = materialize(packed(docs, text, key, source, seed, stripes), "mix-packed")
-    sizes = placed.groupBy("source").agg(F.max("source_size").alias("source_size"))
-    targets, seen = materialize(source_targets(sizes, weights), "mix-targets", words=F.sum("source_size"))
-    times = mixture_slots(targets, seen["words"] or 0, block, seed=seed).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    last = F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / block).cast("long")
-    spread = placed.select("key", "source", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), last)).alias("at"))
-    inside = F.least((F.col("at") + 1) * block, F.col("start") + F.col("size")) - F.greatest(F.col("at") * block, F.col("start"))
-    # The planner can't know how many blocks come from a few targets: without the hint it would broadcast them.
-    t = times.select(F.col("source").alias("s"), "block", "times").hint("merge")
-    drawn = spread.join(t, spread["source"].eqNullSafe(t["s"]) & (spread["at"] == t["block"]), "left")
-    taken = drawn.groupBy("key", "source", "size", "start").agg(
-        F.sum(F.coalesce("times", F.lit(0)) * F.greatest(inside, F.lit(0))).alias("taken"),
-        F.max(F.when(F.col("at") == F.floor(F.col("start") / block), F.coalesce("times", F.lit(0))).otherwise(0)).alias("times"),
-    )
-    # Empty rows that repeat a key stand at one place: their rows are counted back.
-    repeats = placed.where("size = 0").groupBy("key", "source", "size", "start").agg(F.count(F.lit(1)).alias("rows"))
-    same = [taken[c].eqNullSafe(repeats[c]) for c in ("key", "source", "size", "start")]
-    taken = taken.join(repeats, same[0] & same[1] & same[2] & same[3], "left").select(
-        taken["key"], taken["source"], taken["size"], taken["taken"], taken["times"],
-        F.explode(F.array_repeat(F.lit(0), F.coalesce(repeats["rows"], F.lit(1)).cast("int"))).alias("_"),
+    placed, targets, dealt = _dealt(docs, text, key, source, weights, block, seed, stripes)
+    drawn = dealt.groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("taken"), F.count_if(F.col("first") == 0).alias("times"))
+    taken = placed.join(drawn, placed["row"] == drawn["r"], "left")
+    t = targets.select(F.col("source").alias("s"), F.col("source_size").alias("whole"), "target")
+    joined = taken.join(t, taken["source"].eqNullSafe(t["s"]))
+    none = F.lit(0).cast("long")
+    return joined.select(
+        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target",
+        F.coalesce("taken", none).alias("taken"), F.coalesce("times", none).alias("times"),
     )
-    t2 = targets.select(F.col("source").alias("s"), "source_size", "target")
-    joined = taken.join(t2, taken["source"].eqNullSafe(t2["s"]))
-    return joined.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.when(F.col("size") > 0, F.col("taken")).otherwise(0).cast("long").alias("taken"), "times")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as mixed: each row as often as the block with its first word is drawn.
+def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, block: int = BLOCK, seed: int = SEED, stripes: int = STRIPES) -> DataFrame:
+    """The drawn parts of ``docs``: rows with the same columns whose text is what the mix holds of the row's text.
 
-    Rows without words can't be drawn; rows of an undrawn block go.  Rows that repeat a
-    key are drawn as often as the first drawn of them.
+    Of each repeat, neighbouring drawn blocks of a document make one part, with the white space between its words and
+    after them, so a document drawn whole comes back whole.  Other columns are those of the document.  Rows
+    without words can't be drawn; rows that repeat a key are told apart.
     """
-    key = options.get("key", "doc_id")
-    mixed = mix_sources(docs, **options).where("times > 0 AND size > 0")
-    mixed = mixed.groupBy(F.col(key).alias("_key")).agg(F.max("times").alias("_times"))
-    joined = docs.join(mixed, docs[key].eqNullSafe(F.col("_key")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
+    numbered, _ = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-texts")
+    _, _, dealt = _dealt(numbered, text, key, source, weights, block, seed, stripes, "_row")
+    order = W.partitionBy("row", "repeat").orderBy("block")
+    runs = dealt.select("row", "repeat", "first", "words", (F.col("block") - F.row_number().over(order)).alias("run"))
+    runs = runs.groupBy("row", "repeat", "run").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
+    parts = runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("repeat", "first", "words"))).alias("_parts"))
+    joined = numbered.join(parts, numbered["_row"] == parts["row"])
+    # Each word with the white space after it, the first one also with what stands before.
+    words = F.regexp_extract_all(text_of(text), F.lit(rf"(?:\A{SPACE})?{WORD}(?:{SPACE})?"), F.lit(0))
+    cut = lambda w: F.transform("_parts", lambda p: F.array_join(F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")), ""))
+    made = joined.select(*[numbered[c] for c in docs.columns if c != text], F.explode(let(words, cut)).alias("_part"))
+    return made.select(*[F.col("_part").alias(text) if c == text else F.col(c) for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Targets, draws and permutations of the mix; the pipeline's stages; every corpus query."""
 
 import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,52 @@ def test_mix(frame, seed):
     assert mixing.mix_sources(frame([])).count() == 0
 
 
+def test_blocks_of_the_mix(frame):
+    """Every slot holds one whole block, and the emitted parts are the words of the slots."""
+    rng = random.Random(8)
+    text = lambda i, n: "  " * (i % 2) + "".join(f"d{i}w{j}" + rng.choice((" ", "\n", " \t ")) for j in range(n))
+    rows = [(i, text(i, rng.randrange(0, 300)), "ab"[i % 2]) for i in range(60)]
+    rows += [(100, text(100, 20_000), "c"), (101, None, "a"), (102, text(102, 90), None), (7, text(107, 130), "b"), (7, text(107, 130), "b")]
+    docs = frame(rows, extra=False)
+    words = defaultdict(list)
+    for key, body, _ in rows[:-2]:
+        words[key].append((body or "").split())
+    slots, taken, counts = defaultdict(list), Counter(), Counter()
+    for r in mixing.mixed_blocks(docs).collect():
+        slots[r["shard"], r["slot"]].append(r)
+        taken[r["doc_id"]] += r["words"]
+        if r["doc_id"] != 7:
+            counts.update(words[r["doc_id"]][0][r["first"] : r["first"] + r["words"]])
+    assert sorted(shard * mixing.SHARD_SLOTS + slot for shard, slot in slots) == list(range(len(slots)))
+    sizes = Counter()
+    for _, body, source in rows:
+        sizes[source] += len((body or "").split())
+    for spans in slots.values():
+        source, block = {(r["source"], r["block"]) for r in spans}.pop()
+        assert len({(r["source"], r["block"], r["repeat"]) for r in spans}) == 1
+        at = 0
+        for r in sorted(spans, key=lambda r: r["at"]):
+            assert r["at"] == at
+            at += r["words"]
+        assert at == min(mixing.BLOCK, sizes[source] - block * mixing.BLOCK)
+    summed = Counter()
+    for r in mixing.mix_sources(docs).collect():
+        summed[r["doc_id"]] += r["taken"]
+    assert {k: v for k, v in summed.items() if v} == dict(taken)
+    bodies, parts, out = defaultdict(set), mixing.mixed_documents(docs).collect(), Counter()
+    for key, body, _ in rows:
+        bodies[key].add(body or "")
+    for r in parts:
+        assert any(r["text"] in body for body in bodies[r["doc_id"]]) and r["text"].split()
+        if r["doc_id"] != 7:
+            out.update(r["text"].split())
+    assert out == counts and sum(len(r["text"].split()) for r in parts) == sum(taken.values())
+    # The one long text of its source is neither dropped nor repeated whole.
+    long = sum(len(r["text"].split()) for r in parts if r["doc_id"] == 100)
+    target = water(sizes)["c"]
+    assert abs(long - target) <= 2 * mixing.BLOCK and target % 20_000
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100])
 def test_permutation(spark, n):
     rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("s"), F.lit(3)).alias("p")).collect()
