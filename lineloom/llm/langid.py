@@ -9,14 +9,16 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineloom.llm.common import documents
+from lineloom.llm.common import documents, small_side
+from lineloom.session import materialize
 
-#: The fit takes at most so many labelled rows of a language, chosen by a hash of the key,
-#: and at most so many languages; both bound what reaches the driver.
-FIT_ROWS, MAX_LANGUAGES = 200, 64
+#: The fit takes at most so many labelled rows of a language, chosen by a hash of the key; every language is
+#: learned.  With more languages than the second figure the sample stays in the tasks, which fit the machines.
+FIT_ROWS, DRIVER_LANGUAGES = 200, 64
 #: Buckets of hashed character n-grams (bytes of lower-case words, padded with a space).
 BUCKETS = 4096
 ORDERS = (1, 2, 3)
@@ -76,10 +78,19 @@ def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 30, strength: float =
 def families(means: dict[str, np.ndarray], names: list[str]) -> list[list[str]]:
     """Languages grouped by agglomeration on mean features: the closest groups join until about sqrt(n) are left."""
     groups = [[n] for n in sorted(names)]
+    centre = [np.mean([means[n] for n in g], axis=0) for g in groups]
+    apart = np.full((len(groups), len(groups)), np.inf)
+    for a, b in combinations(range(len(groups)), 2):
+        apart[a, b] = np.linalg.norm(centre[a] - centre[b])
     while len(groups) > max(1, round(len(names) ** 0.5)):
-        centre = [np.mean([means[n] for n in g], axis=0) for g in groups]
-        a, b = min(combinations(range(len(groups)), 2), key=lambda p: (np.linalg.norm(centre[p[0]] - centre[p[1]]), p))
+        a, b = (int(i) for i in np.unravel_index(np.argmin(apart), apart.shape))
         groups[a] += groups.pop(b)
+        centre.pop(b)
+        apart = np.delete(np.delete(apart, b, axis=0), b, axis=1)
+        centre[a] = np.mean([means[n] for n in groups[a]], axis=0)
+        for i in range(len(groups)):
+            if i != a:
+                apart[min(i, a), max(i, a)] = np.linalg.norm(centre[i] - centre[a])
     return [sorted(g) for g in groups]
 
 
@@ -94,15 +105,27 @@ class LanguageModel:
         self.top = self._pairs(x, family, list(range(len(self.families))))
         self.within = [self._pairs(x[np.isin(langs, g)], langs[np.isin(langs, g)], g) for g in self.families]
 
+    @classmethod
+    def of(cls, grouped: list[list[str]], top, within: list) -> LanguageModel:
+        """A model of machines fitted elsewhere."""
+        made = cls.__new__(cls)
+        made.families, made.top, made.within = grouped, top, within
+        return made
+
+    @staticmethod
+    def _fitted(x, labels, a, b) -> tuple[np.ndarray, float]:
+        rows = (labels == a) | (labels == b)
+        return linear_svm(x[rows].astype(np.float64), np.where(labels[rows] == a, 1.0, -1.0))
+
+    @classmethod
+    def _pairs(cls, x, labels, names):
+        return cls._machine([(a, b, *cls._fitted(x, labels, names[a], names[b])) for a, b in combinations(range(len(names)), 2)], len(names))
+
     @staticmethod
-    def _pairs(x, labels, names):
-        fitted = []
-        for a, b in combinations(range(len(names)), 2):
-            rows = (labels == names[a]) | (labels == names[b])
-            fitted.append((a, b, *linear_svm(x[rows].astype(np.float64), np.where(labels[rows] == names[a], 1.0, -1.0))))
+    def _machine(fitted: list, n: int):
         pairs = [(a, b) for a, b, _, _ in fitted]
         w = np.array([f[2] for f in fitted], np.float32).reshape(len(fitted), BUCKETS)
-        return pairs, w, np.array([f[3] for f in fitted], np.float32), len(names)
+        return pairs, w, np.array([f[3] for f in fitted], np.float32), n
 
     @staticmethod
     def _vote(machine, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,24 +154,61 @@ class LanguageModel:
         return langs.tolist(), score
 
 
-def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> LanguageModel | None:
+def _array(raw) -> np.ndarray:
+    return np.array([np.frombuffer(r, np.float16) for r in raw]).astype(np.float32).reshape(-1, BUCKETS)
+
+
+def _fit_in_tasks(sample: DataFrame) -> LanguageModel:
+    """The model of ``sample(lang, pick, x)``: one mean a language and one weight vector a machine reach the driver.
+
+    Each pair of families, and each pair of languages within one, is a group of rows that one task fits; a
+    group has at most the sampled rows of its languages.
+    """
+
+    def centre(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": [part["lang"].iloc[0]], "mean": [_array(part["x"]).mean(axis=0).astype(np.float32).tobytes()]})
+
+    means = sample.groupBy("lang").applyInPandas(centre, "lang string, mean binary").collect()
+    means = {r["lang"]: np.frombuffer(r["mean"], np.float32) for r in means}
+    grouped = families(means, sorted(means))
+    # The machines a language takes part in: (family or -1 for the top, first, second, whether it is the first's).
+    roles = []
+    for i, group in enumerate(grouped):
+        for j, name in enumerate(group):
+            roles += [(name, -1, min(i, k), max(i, k), i < k) for k in range(len(grouped)) if k != i]
+            roles += [(name, i, min(j, k), max(j, k), j < k) for k in range(len(group)) if k != j]
+    parts = sample.sparkSession.createDataFrame(roles, "name string, family int, a int, b int, ahead boolean")
+    dealt = sample.join(small_side(parts, len(roles)), sample["lang"] == parts["name"])
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["lang", "pick", "x"])
+        w, bias = linear_svm(_array(part["x"]).astype(np.float64), np.where(part["ahead"], 1.0, -1.0))
+        one = part.iloc[0]
+        return pd.DataFrame({"family": [one["family"]], "a": [one["a"]], "b": [one["b"]], "w": [w.astype(np.float32).tobytes()], "bias": [float(bias)]})
+
+    kept = dealt.select("family", "a", "b", "ahead", "lang", "pick", "x")
+    fitted: dict[int, list] = {}
+    for r in kept.groupBy("family", "a", "b").applyInPandas(fit, "family int, a int, b int, w binary, bias double").toLocalIterator():
+        fitted.setdefault(r["family"], []).append((r["a"], r["b"], np.frombuffer(r["w"], np.float32), r["bias"]))
+    machine = lambda i, n: LanguageModel._machine(sorted(fitted.get(i, []), key=lambda f: f[:2]), n)
+    return LanguageModel.of(grouped, machine(-1, len(grouped)), [machine(i, len(g)) for i, g in enumerate(grouped)])
+
+
+def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS, driver_languages: int = DRIVER_LANGUAGES) -> LanguageModel | None:
     """Fit on at most ``fit_rows`` rows of each language of ``labelled``; null languages and letterless texts are left out.
 
-    Features are computed by the tasks; the driver gets one vector per sampled row.
+    Every language with a text is learned.  Features are computed by the tasks.  Up to ``driver_languages`` languages the
+    driver gets one vector per sampled row and fits; beyond, the tasks fit and the driver gets the machines.
     None if no row is left.
     """
-    # The languages, as many as the bound allows, most frequent first.
-    counts = labelled.where(F.col(lang).isNotNull()).groupBy(lang).count()
-    known = counts.orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
-    if not known:
+    known = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    known, seen = materialize(known, "lang-counts", n=F.count(F.lit(1)))
+    if not seen["n"]:
         return None
     # A row is drawn by its hash with twice the chance it takes to fill the language, then cut to the bound.
     pick = F.pmod(F.xxhash64(F.lit(11), key, text), F.lit(1 << 40))
-    drawn = None
-    for row in known:
-        bar = min(1.0, (2.0 * fit_rows + 50) / row["count"])
-        one = (F.col(lang) == row[lang]) & (pick < F.lit(int(bar * (1 << 40))))
-        drawn = one if drawn is None else drawn | one
+    bar = (F.least(F.lit(1.0), F.lit(2.0 * fit_rows + 50) / F.col("_n")) * (1 << 40)).cast("long")
+    bars = small_side(known.select("_lang", bar.alias("_bar")), seen["n"])
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("pick", T.LongType()), T.StructField("x", T.BinaryType())])
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,22 +216,27 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", k
             rows = [(n, p, features(t).astype(np.float16).tobytes()) for n, p, t in batch.itertuples(index=False) if has_letter(t)]
             yield pd.DataFrame(rows, columns=["lang", "pick", "x"])
 
-    sample = labelled.where(drawn).select(F.col(lang).alias("lang"), pick.alias("pick"), F.col(text).alias("t"))
-    found = sample.mapInPandas(vectors, schema).collect()
-    rows: list = []
-    for name in sorted({r["lang"] for r in found}):
-        rows += sorted((r for r in found if r["lang"] == name), key=lambda r: (r["pick"], bytes(r["x"])))[:fit_rows]
+    drawn = labelled.join(bars, (F.col(lang) == F.col("_lang")) & (pick < F.col("_bar")))
+    sample = drawn.select(F.col(lang).alias("lang"), pick.alias("pick"), F.col(text).alias("t")).mapInPandas(vectors, schema)
+    if seen["n"] > driver_languages:
+        first = F.row_number().over(W.partitionBy("lang").orderBy("pick", "x"))
+        sample, left = materialize(sample.withColumn("turn", first).where(F.col("turn") <= fit_rows).drop("turn"), "lang-sample", n=F.count(F.lit(1)))
+        return _fit_in_tasks(sample) if left["n"] else None
+    by: dict[str, list] = {}
+    for r in sample.collect():
+        by.setdefault(r["lang"], []).append(r)
+    rows = [r for name in sorted(by) for r in sorted(by[name], key=lambda r: (r["pick"], bytes(r["x"])))[:fit_rows]]
     if not rows:
         return None
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
-    return LanguageModel(x, np.array([r["lang"] for r in rows], dtype=object))
+    return LanguageModel(_array([r["x"] for r in rows]), np.array([r["lang"] for r in rows], dtype=object))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel | None, text: str = "text", key: str = "doc_id", carry: tuple[Column, ...] = ()) -> DataFrame:
     """Key, carried columns, ``lang_pred`` and ``score`` of every row, from its whole text alone.
 
     ``und`` with score 0 where the text is null, empty or without a letter, or where nothing was
-    learned.  Rows keep their repeats.  The model holds at most ``MAX_LANGUAGES`` languages.
+    learned.  Rows keep their repeats.  The model, which goes to every task, has one
+    vector per pair of families and per pair of languages within a family.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -112,6 +112,24 @@ def test_language_id(frame, texts):
     assert langid.predict_languages(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_is_learned(frame):
+    rng, rows = random.Random(3), []
+    for i in range(70):
+        vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(12)]
+        # The last languages are the rarest.
+        rows += [(len(rows), " ".join(rng.choice(vocabulary) for _ in range(60)), "s", f"l{i:02d}") for _ in range(5 if i < 60 else 3)]
+    docs = frame(rows)
+    for model in (langid.fit_languages(docs), langid.fit_languages(docs.where("lang < 'l09'"), driver_languages=2)):
+        names = sorted(x for g in model.families for x in g)
+        few = len(names) < 70
+        assert names == sorted({r[3] for r in rows if not few or r[3] < "l09"})
+        x = np.array([langid.features(r[1]) for r in rows if r[3] in names])
+        assert model.predict(x)[0] == [r[3] for r in rows if r[3] in names]
+    here = langid.fit_languages(docs.where("lang < 'l09'"))
+    assert here.families == model.families
+    assert np.allclose(here.predict(x)[1], model.predict(x)[1], atol=0.05)
+
+
 def test_lm_scores(frame, texts):
     from pyspark.sql import functions as F
 
