@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import plan_of
+from compare import plan_of
 
 from lineloom.operators.parse import LIGHT, parse_scripts, table_refs
 from lineloom.operators import closure
