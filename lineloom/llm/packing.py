@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,48 +23,51 @@ from lineloom.session import materialize
 CAPACITY, END, TOKENIZER = 1024, 2, "byte_bpe_50k.json"
 #: Fixed value: how a byte-level tokenizer of this family splits a text before it merges bytes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Beyond these characters the library does the splitting too, whatever version of Unicode it knows.
+#: Beyond these characters two libraries may know different versions of Unicode.
 PLAIN = r"[\x00-ɏ]*"
-#: Words whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 400_000, 40
 #: Bytes of ids that a task gathers before it hands rows on.
 BATCH_BYTES = 8 << 20
 
 
-class TokenBytes(dict):
-    """Token ids of words as little-endian 32-bit numbers: remembered, or made by the library."""
+def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """Vocabulary strings, in which characters stand for bytes, as the bytes themselves."""
+    # Printable bytes stand for themselves, the others are numbered on from 256.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    return {bytes(byte[c] for c in name): i for name, i in vocabulary.items()}
+
+
+class TokenBytes:
+    """Ids that the tokenizer's library gives for a text, as little-endian 32-bit numbers.
+
+    Plain texts are merged by a faster library with the same vocabulary.  It merges neighbours by the rank of what they
+    make, not by a list of pairs; that is the same where each vocabulary string, encoded alone, is one token (which the
+    tests prove of the default vocabulary): of a token's bytes only one last pair can then ever arise.
+    """
 
     def __init__(self, tokenizer: str):
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(model_path(tokenizer))
         self.library.no_padding()
         self.library.no_truncation()
-        # Only the plain form of byte-level splitting is done here; any other goes to the library.
+        added = {t.content for t in self.library.get_added_tokens_decoder().values()}
         before = repr(self.library.pre_tokenizer)
-        plain = "ByteLevel(" in before and "add_prefix_space=False" in before and "use_regex=True" in before
-        self.split = regex.compile(SPLIT).findall if plain and self.library.normalizer is None else None
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-
-    def of_library(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.of_library(word)
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
+        # Only the plain form of byte-level splitting is known here; any other goes to the library.
+        known = "ByteLevel(" in before and "add_prefix_space=False" in before and "use_regex=True" in before
+        self.fast = None
+        if known and self.library.normalizer is None and tokenizer == TOKENIZER:
+            ranks = byte_ranks({k: v for k, v in self.library.get_vocab(with_added_tokens=False).items() if k not in added})
+            self.fast = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.plain = re.compile(PLAIN).fullmatch
+        self.special = sorted(added)
 
     def of(self, text: str) -> bytes:
-        """The ids that the library gives for the whole text."""
-        if self.split is None or not self.plain(text) or any(s in text for s in self.special):
-            return self.of_library(text)
-        return b"".join(map(self.__getitem__, self.split(text)))
+        if self.fast and self.plain(text) and not any(s in text for s in self.special):
+            return np.asarray(self.fast(text), "<u4").tobytes()
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -136,13 +136,23 @@ def library_ids(text):
 
 def test_splitting_equals_the_library():
     encoder = packing.TokenBytes(packing.TOKENIZER)
-    assert encoder.split is not None
+    assert encoder.fast is not None
     for point in range(0x250):
         c = chr(point)
         for text in (c, f"a{c}b", f" {c} 1{c}{c}  x", f"{c}'s{c}\n{c}"):
             assert np.frombuffer(encoder.of(text), "<u4").tolist() == library_ids(text), hex(point)
 
 
+def test_merging_by_rank_equals_merging_by_rule():
+    """Every vocabulary string, alone, is one token: the proof that ``TokenBytes`` rests on."""
+    model, vocabulary = library().model, library().get_vocab(with_added_tokens=False)
+    assert [t for t, i in vocabulary.items() if t != "<|endoftext|>" and [k.id for k in model.tokenize(t)] != [i]] == []
+    encoder, rng = packing.TokenBytes(packing.TOKENIZER), random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice("aeinrst hl.,'éß0\n") for _ in range(rng.randrange(1, 200)))
+        assert np.frombuffer(encoder.of(text), "<u4").tolist() == library_ids(text), text
+
+
 def check_packing(rows, placed, capacity):
     pieces = defaultdict(list)
     for r in placed:
