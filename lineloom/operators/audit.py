@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.operators.closure import Closure, descendant_count
+from lineloom.operators.condense import Acyclic
 
 # Order of the layers from raw to serving.
 LAYER_RANK = {"bronze": 1, "silver": 2, "gold": 3}
@@ -17,12 +18,12 @@ def audit_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(touched, "id", "left_anti")
 
 
-def audit_cycles(closed: Closure) -> DataFrame:
+def audit_cycles(closed: Closure | Acyclic) -> DataFrame:
     """(id): nodes that reach themselves."""
     return closed.looped()
 
 
-def audit_impact(nodes: DataFrame, closed: Closure) -> DataFrame:
+def audit_impact(nodes: DataFrame, closed: Closure | Acyclic) -> DataFrame:
     """(id, n): distinct nodes that depend on each node, 0 where none does."""
     return descendant_count(nodes, closed)
 

@@ -11,30 +11,14 @@ outnumber the nodes, so the name of a node should not travel with each of them.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.operators.condense import Acyclic, acyclic, fold, ranks, union
 from lineloom.session import discard, materialize
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-#: Every so many rounds the tables of a loop are folded into one, so that deep graphs keep short plans.
-FOLD = 8
-
-
-def _fold(frames: list[DataFrame], turn: int, label: str) -> list[DataFrame]:
-    if turn % FOLD:
-        return frames
-    one, _ = materialize(_union(frames), label)
-    discard(*frames)
-    return [one]
-
-
 @dataclass(frozen=True)
 class Closure:
     """All ancestor pairs of a graph, by key.
@@ -100,7 +84,7 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> Closure:
     known, spent = [found], []
     reach, at_reach = 1, seen["edge_rows"]
     while at_reach and (max_depth is None or reach < max_depth):
-        everything = _union(known)
+        everything = union(known)
         head = known[-1].where(F.col("dist") == reach).select("node", F.col("anc").alias("mid"))
         tail = everything.select(F.col("node").alias("mid"), "anc", (F.col("dist") + reach).alias("dist"))
         if max_depth is not None:
@@ -124,7 +108,7 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> Closure:
         (known if seen["rows"] else spent).append(found)
         at_reach = seen["at_reach"]
     discard(written, *spent)
-    return Closure(keys, _union(known))
+    return Closure(keys, union(known))
 
 
 def ancestor_pairs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -136,12 +120,12 @@ def _per_node(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nested_count(nodes: DataFrame, closed: Closure) -> DataFrame:
+def nested_count(nodes: DataFrame, closed: Closure | Acyclic) -> DataFrame:
     """(id, n): distinct ancestors without the node itself, 0 where there are none."""
     return _per_node(nodes, closed.counts("node"))
 
 
-def descendant_count(nodes: DataFrame, closed: Closure) -> DataFrame:
+def descendant_count(nodes: DataFrame, closed: Closure | Acyclic) -> DataFrame:
     """(id, n): distinct descendants without the node itself, 0 where there are none."""
     return _per_node(nodes, closed.counts("anc"))
 
@@ -173,15 +157,15 @@ def _spread(edges: DataFrame, start: DataFrame, up: bool, down: bool, hops: int)
         for k in range(1, hops + 1):
             at = at.join(steps, ["dir", "id"]).withColumn("id", F.col("nxt")).select(*keys).distinct()
             moves.append(at.withColumn("hop", F.lit(depth + k)))
-        reached = _union(moves).groupBy(*keys).agg(F.min("hop").alias("hop"))
-        fresh = reached.join(_union(known).select(*keys), keys, "left_anti")
+        reached = union(moves).groupBy(*keys).agg(F.min("hop").alias("hop"))
+        fresh = reached.join(union(known).select(*keys), keys, "left_anti")
         depth, turn = depth + hops, turn + 1
         frontier, seen = materialize(fresh, "reach", pending=F.count(F.when(F.col("hop") == depth, 1)))
         pending = seen["pending"]
-        known = _fold([*known, frontier], turn, "reach")
+        known = fold([*known, frontier], turn, "reach")
         frontier = known[-1].where(F.col("hop") == depth)
     discard(steps)
-    return _union(known)
+    return union(known)
 
 
 def _seeded(seeds: DataFrame, up: bool, down: bool, per_seed: bool) -> DataFrame:
@@ -235,64 +219,14 @@ def select_tree(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFra
     )
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """(source, target): the distinct edges on cycles or on walks between cycles.
-
-    Each round drops the edges whose source nothing enters or whose target nothing leaves.
-    """
-    left, seen = materialize(edges.select("source", "target").distinct(), "core", n=F.count(F.lit(1)))
-    count = None
-    while seen["n"] and seen["n"] != count:
-        before, count = left, seen["n"]
-        entered = before.select(F.col("target").alias("source")).distinct()
-        exited = before.select(F.col("source").alias("target")).distinct()
-        trimmed = before.join(entered, "source", "left_semi").join(exited, "target", "left_semi")
-        left, seen = materialize(trimmed.select("source", "target"), "core", n=F.count(F.lit(1)))
-        discard(before)
-    return left
-
-
-def cycle_groups(edges: DataFrame) -> DataFrame:
-    """(id, rep): nodes on a cycle with the smallest node they reach and are reached from.
-
-    Only the cyclic core is closed transitively, which is small where cycles are rare.
-    """
-    core = cyclic_core(edges)
-    pairs = closure(core).named()
-    back = pairs.select(F.col("node").alias("anc"), F.col("anc").alias("node"))
-    return pairs.join(back, ["node", "anc"]).groupBy(F.col("node").alias("id")).agg(F.min("anc").alias("rep"))
-
-
-def topo_rank(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
+def topo_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, rank, cyclic): longest path from a source, over the graph with its cycles condensed.
 
     Nodes that reach each other share one rank and are ``cyclic``; every other node is ranked as if
-    such a group were one node.  The nodes that end a walk of k edges from a source are followed ``hops`` lengths
-    per job; a node's rank is the last k at which it ends one.
+    such a group were one node.  Nodes that no edge touches have rank 0.
     """
-    groups, seen = materialize(cycle_groups(edges), "cycles", n=F.count(F.lit(1)))
-    named = nodes.select("id").distinct().join(groups, "id", "left")
-    named, _ = materialize(named.select("id", F.coalesce("rep", "id").alias("rep"), F.col("rep").isNotNull().alias("cyclic")), "ids")
-    links = edges.select("source", "target").distinct()
-    for end in ("source", "target"):
-        rep = groups.select(F.col("id").alias(end), F.col("rep").alias("_rep"))
-        links = links.join(rep, end, "left").withColumn(end, F.coalesce("_rep", end)).drop("_rep")
-    links, _ = materialize(links.where("source != target").select("source", "target").distinct(), "links")
-    targets = links.select(F.col("target").alias("rep"))
-    sources = named.select("rep").distinct().join(targets, "rep", "left_anti")
-    found, seen = materialize(sources.withColumn("rank", F.lit(0)), "rank", n=F.count(F.lit(1)))
-    ranked, depth, turn = [found], 0, 0
-    frontier = found
-    while seen["n"]:
-        levels, at = [], frontier.select("rep")
-        for k in range(1, hops + 1):
-            at = at.join(links, F.col("rep") == F.col("source")).select(F.col("target").alias("rep")).distinct()
-            levels.append(at.withColumn("rank", F.lit(depth + k)))
-        depth, turn = depth + hops, turn + 1
-        last = _union(levels).groupBy("rep").agg(F.max("rank").alias("rank"))
-        found, seen = materialize(last, "rank", n=F.count(F.when(F.col("rank") == depth, 1)))
-        ranked = _fold([*ranked, found], turn, "rank")
-        frontier = ranked[-1].where(F.col("rank") == depth)
-    ranks = _union(ranked).groupBy("rep").agg(F.max("rank").alias("rank"))
-    discard(links)
-    return named.join(ranks, "rep", "left").select("id", "rank", "cyclic")
+    graph = acyclic(edges)
+    found = graph.members.join(ranks(graph), "rep", "left").join(graph.keys, "key").select("id", "rank", "cyclic")
+    discard(graph.links)
+    ranked = nodes.select("id").distinct().join(found, "id", "left")
+    return ranked.select("id", F.coalesce("rank", F.lit(0)).cast("int").alias("rank"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))

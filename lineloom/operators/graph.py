@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions.naming import last_part
 from lineloom.operators.closure import Closure
+from lineloom.operators.condense import Acyclic
 
 NODE = ("id", "label", "layer", "type", "project", "dataset", "path")
 EDGE = ("edge_id", "source", "target", "kind")
@@ -164,7 +165,7 @@ def direct_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def node_table(nodes: DataFrame, edges: DataFrame, closed: Closure) -> DataFrame:
+def node_table(nodes: DataFrame, edges: DataFrame, closed: Closure | Acyclic) -> DataFrame:
     """Nodes with both counts, each joined straight onto the nodes."""
     direct = edges.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("direct"))
     nested = closed.counts("node").withColumnRenamed("n", "nested")

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.operators import audit, closure, folders, graph, parse, stubs, views
+from lineloom.operators import audit, closure, condense, folders, graph, parse, stubs, views
 from lineloom.operators.medallion import bronze, gold, silver
 from lineloom.plans import lineage as lin
 from lineloom.plans import mart
@@ -258,7 +258,7 @@ def ancestor_pairs(spark, sf):
 @query
 def nested_count(spark, sf):
     nodes, edges = _stored_graph(spark, sf)
-    return closure.nested_count(nodes, closure.closure(edges))
+    return closure.nested_count(nodes, condense.acyclic(edges))
 
 
 @query
@@ -416,13 +416,13 @@ def audit_orphans(spark, sf):
 
 @query
 def audit_cycles(spark, sf):
-    return audit.audit_cycles(closure.closure(_edges(spark, sf)))
+    return audit.audit_cycles(condense.acyclic(_edges(spark, sf)))
 
 
 @query
 def audit_impact(spark, sf):
     nodes, edges = _stored_graph(spark, sf)
-    return audit.audit_impact(nodes, closure.closure(edges))
+    return audit.audit_impact(nodes, condense.acyclic(edges))
 
 
 @query

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from lineloom.operators import closure, graph
+from lineloom.operators import closure, condense, graph
 from lineloom.operators.folders import folder_filter
 from lineloom.operators.parse import LIGHT, last_definition_wins, parse_scripts, table_refs
 from lineloom.session import materialize
@@ -80,10 +80,11 @@ def full_graph(
     root: str = "",
     aliases: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(nodes with direct and nested counts, edges)."""
+    """(nodes with direct and nested counts, edges); with ``max_depth`` only ancestors within it are counted."""
     g = lineage(scripts, folders, dialect, discovery, match, root, aliases)
     edges, _ = materialize(g.edges, "edges")
-    return graph.node_table(g.nodes, edges, closure.closure(edges, max_depth)), edges
+    closed = condense.acyclic(edges) if max_depth is None else closure.closure(edges, max_depth)
+    return graph.node_table(g.nodes, edges, closed), edges
 
 
 def lineage_action(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, action: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from compare import plan_of
 
 from lineloom.operators.parse import LIGHT, parse_scripts, table_refs
-from lineloom.operators import closure
+from lineloom.operators import closure, condense
 from lineloom.plans.catalog import QUERIES
 from lineloom.sources import tables
 
@@ -72,6 +72,7 @@ def jobs(monkeypatch):
         return stored, observed
 
     monkeypatch.setattr(closure, "materialize", watched)
+    monkeypatch.setattr(condense, "materialize", watched)
     return seen
 
 
