@@ -7,6 +7,7 @@ wide, so amounts below a cent count as they are; only the finished sum is turned
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MONEY = "decimal(38,10)"
@@ -44,13 +45,15 @@ def product_performance(orders: DataFrame, items: str = "items", number: str = I
 
     Product ids are texts; cast them afterwards where they are numbers.  ``unreadable`` counts
     a product's items whose quantity or price can't be read as ``number``; a text that
-    is no array of items counts once under a null product.  The array is unpacked next to its own row, so
-    nothing is shuffled before the partial aggregate on the product.
+    is no array of items counts once under a null product.  Each text is parsed once, into a VARIANT whose array is
+    unpacked next to its own row, so nothing is shuffled before the partial aggregate on the product.
     """
-    kind = f"array<struct<product_id:string,quantity:{number},price:{number}>>"
-    rows = orders.where(F.col(items).isNotNull()).select(F.from_json(items, kind).alias("read"))
+    listed = F.try_variant_get(F.try_parse_json(items), "$", "array<variant>")
     # An empty array has no items; a text that can't be read is one bad item.
-    rows = rows.where(F.col("read").isNull() | (F.size("read") > 0)).select(F.inline_outer("read"))
+    every = F.coalesce(listed, F.array(F.lit(None).cast("variant")))
+    rows = orders.where(F.col(items).isNotNull()).select(F.explode(every).alias("item"))
+    read = lambda name, kind: F.try_variant_get("item", f"$.{name}", kind).alias(name)
+    rows = rows.select(read("product_id", "string"), read("quantity", number), read("price", number))
     bad = F.col("quantity").isNull() | F.col("price").isNull()
     return rows.groupBy("product_id").agg(
         F.sum("quantity").cast("double").alias("units_sold"),
@@ -59,38 +62,42 @@ def product_performance(orders: DataFrame, items: str = "items", number: str = I
     )
 
 
-def conversion_funnel(sessions: DataFrame, orders: DataFrame, salts: int = 1) -> DataFrame:
+def converted_orders(sessions: DataFrame, orders: DataFrame, grain: str = "day") -> DataFrame:
+    """(user_id, order_id): orders made during at least one session of their user.
+
+    A sweep instead of a join: a user's session starts and orders are sorted together, and an order is inside a session when the
+    greatest end of all sessions begun so far is not before it.  A user's time is split into slices of ``grain``, each
+    sorted by itself; a slice begins with the greatest end carried over from earlier ones, which is computed from
+    one row per slice.  A session is one row however long it lasts, and a busy user is as many groups as slices.
+    Null users, starts and order times match nothing.
+    """
+    time = sessions.schema["session_start"].dataType
+    opened = sessions.select(
+        "user_id", F.col("session_start").alias("at"), F.lit(0).alias("kind"), F.col("session_end").alias("until"), F.lit(None).cast(orders.schema["order_id"].dataType).alias("order_id")
+    )
+    placed = orders.select("user_id", F.col("order_timestamp").cast(time).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(time).alias("until"), "order_id")
+    marks = opened.unionByName(placed).where("user_id IS NOT NULL AND at IS NOT NULL")
+    marks = marks.withColumn("slice", F.date_trunc(grain, "at").cast(time))
+    earlier = W.partitionBy("user_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = marks.groupBy("user_id", "slice").agg(F.max("until").alias("until"))
+    carried = slices.select(
+        "user_id", F.lit(None).cast(time).alias("at"), F.lit(-1).alias("kind"), F.max("until").over(earlier).alias("until"), F.lit(None).cast(orders.schema["order_id"].dataType).alias("order_id"), "slice"
+    )
+    # The carried end has no time and so sorts first; a session that starts with an order comes before it.
+    sweep = W.partitionBy("user_id", "slice").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    swept = marks.unionByName(carried.where("until IS NOT NULL")).withColumn("covered", F.max("until").over(sweep))
+    return swept.where("kind = 1 AND at <= covered").select("user_id", "order_id")
+
+
+def conversion_funnel(sessions: DataFrame, orders: DataFrame, grain: str = "day") -> DataFrame:
     """Sessions, orders made during a session, and their ratio per user.
 
     ``sessions(user_id, session_id, session_start, session_end)`` and
     ``orders(user_id, order_id, order_timestamp)``.  Counting distinct orders
     over the left interval join equals counting the orders that fall in at
-    least one session, so the join becomes a semi-join that emits no pairs.  It
-    runs on (user, day): a session covers the days from its start to its end.
-    The orders are the outer side, so adaptive execution splits a busy user's
-    day; where that is off, ``salts`` spreads it over as many tasks at the
-    price of as many copies of each session.
+    least one session, so no pairs are made: see ``converted_orders``.
     """
-    days = F.sequence(F.to_date("session_start"), F.to_date("session_end"))
-    windows = (
-        sessions.select("user_id", "session_start", "session_end", F.explode(days).alias("day"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        .alias("s")
-    )
-    placed = orders.select(
-        "user_id",
-        "order_id",
-        "order_timestamp",
-        F.to_date("order_timestamp").alias("day"),
-        F.pmod(F.xxhash64("order_id"), F.lit(salts)).cast("int").alias("salt"),
-    ).alias("o")
-    inside = F.col("o.order_timestamp").between(F.col("s.session_start"), F.col("s.session_end"))
-    same = [F.col(f"o.{c}") == F.col(f"s.{c}") for c in ("user_id", "day", "salt")]
-    converted = (
-        placed.join(windows, [*same, inside], "left_semi")
-        .groupBy("user_id")
-        .agg(F.count_distinct("order_id").alias("n_orders"))
-    )
+    converted = converted_orders(sessions, orders, grain).groupBy("user_id").agg(F.count_distinct("order_id").alias("n_orders"))
     per_user = sessions.groupBy("user_id").agg(F.count_distinct("session_id").alias("total_sessions"))
     total = F.coalesce("n_orders", F.lit(0))
     return per_user.join(converted, "user_id", "left").select(

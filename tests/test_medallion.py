@@ -17,19 +17,22 @@ def _check(df, sql, **frames):
     assert compare.difference(compare.spark_rows(df), compare.duck_rows(con, sql)) is None
 
 
-@pytest.mark.parametrize("salts", [1, 8])
-def test_funnel_with_a_hot_user_and_long_sessions(spark, salts):
+@pytest.mark.parametrize("grain", ["hour", "day", "year"])
+def test_funnel_with_a_hot_user_and_long_sessions(spark, grain):
     t0 = datetime.datetime(2024, 1, 1)
     hours = lambda h: t0 + datetime.timedelta(hours=h)
     sessions = [(1, "a", hours(0), hours(60)), (1, "b", hours(10), hours(12)), (2, "c", hours(5), hours(5)), (3, "d", hours(1), hours(2)), (3, "d", hours(30), hours(31))]
+    # A session of ten years, one inside it, one that ends before it starts, and rows with nulls.
+    sessions += [(5, "e", hours(0), hours(87_600)), (5, "f", hours(50), hours(51)), (6, "g", hours(9), hours(8)), (7, "h", None, hours(3)), (7, "i", hours(1), None), (None, "j", hours(0), hours(9))]
     orders = [(1, i % 150, hours(i / 4)) for i in range(300)]
     orders += [(2, 900, hours(5)), (2, 901, hours(6)), (4, 902, hours(1)), (3, 903, hours(30.5)), (3, 904, hours(20))]
+    orders += [(5, 910, hours(87_600)), (5, 911, hours(87_600.01)), (5, 912, hours(40_000)), (6, 913, hours(8.5)), (7, 914, hours(2)), (None, 915, hours(1)), (3, 916, hours(31))]
     s = pd.DataFrame(sessions, columns=["user_id", "session_id", "session_start", "session_end"])
     o = pd.DataFrame(orders, columns=["user_id", "order_id", "order_timestamp"])
     got = gold.conversion_funnel(
         spark.createDataFrame(sessions, "user_id long, session_id string, session_start timestamp_ntz, session_end timestamp_ntz"),
         spark.createDataFrame(orders, "user_id long, order_id long, order_timestamp timestamp_ntz"),
-        salts,
+        grain,
     )
     sql = """SELECT s.user_id, count(DISTINCT s.session_id) AS total_sessions, count(DISTINCT o.order_id) AS total_orders,
                coalesce(count(DISTINCT o.order_id) / nullif(count(DISTINCT s.session_id), 0), 0) AS conversion_rate
@@ -64,6 +67,25 @@ def test_product_performance_unpacks_arrays_of_any_length(spark):
     assert got == {"P-1": (3.555, 18.05, 0), "P-2": (1.0, 3.0, 1), None: (None, None, 1)}
 
 
+def test_items_are_parsed_once(spark):
+    df = spark.createDataFrame([('[{"product_id":"P","quantity":1,"price":2}]',)], "items string")
+    assert compare.plan_of(gold.product_performance(df)).count("parseJson") == 1
+
+
+def test_odd_items(spark):
+    rows = [("{}",), ("7",), ("null",), ('[7, null, {"product_id": "P", "quantity": null, "price": 1}]',), ('[{"quantity": 2, "price": "3"}]',)]
+    got = {r["product_id"]: (r["units_sold"], r["revenue"], r["unreadable"]) for r in gold.product_performance(spark.createDataFrame(rows, "items string")).collect()}
+    assert got == {None: (2.0, 6.0, 5), "P": (None, None, 1)}
+
+
+def test_a_long_session_is_one_row(spark):
+    """The sweep has no explode: its rows are the sessions, the orders and one carried end per slice."""
+    s = spark.createDataFrame([], "user_id long, session_id string, session_start timestamp_ntz, session_end timestamp_ntz")
+    o = spark.createDataFrame([], "user_id long, order_id long, order_timestamp timestamp_ntz")
+    plan = gold.conversion_funnel(s, o)._jdf.queryExecution().analyzed().toString()
+    assert "Generate" not in plan and "explode" not in plan
+
+
 def test_money_keeps_parts_of_a_cent(spark):
     rows = [(datetime.datetime(2024, 1, 1), 0.004)] * 5 + [(datetime.datetime(2024, 1, 2), 12345678901234567.0)]
     df = spark.createDataFrame(rows, "t timestamp_ntz, a double")
