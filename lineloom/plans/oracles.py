@@ -344,6 +344,11 @@ ORACLES = {
         SELECT CAST(event_id AS VARCHAR) AS log_id, CAST(user_id AS VARCHAR) AS user_id, ts AS log_time,
           CAST(ts AS DATE) AS log_date, value AS amount,
           CAST(json_extract_string(props, '$.k') AS INTEGER) AS props FROM events""",
+    "bronze_rescued_load": """
+        SELECT CAST(event_id AS INT) AS log_id, CASE WHEN event_id % 7 <> 0 THEN event_id END AS code,
+          CASE WHEN event_id % 11 <> 0 THEN CAST(json_extract(props, '$.k') AS INT) END AS k,
+          CASE WHEN event_id % 7 = 0 THEN event_type END AS lost_code,
+          CASE WHEN event_id % 11 = 0 THEN concat('{', event_type) END AS lost_doc FROM events""",
     "bronze_partitioned_write": """
         SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1""",
     "select_all": "SELECT * FROM nation",

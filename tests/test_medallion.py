@@ -107,6 +107,20 @@ def test_typed_load(spark):
     assert [(r["id"], r["day"], r["doc"] is None) for r in df.collect()] == [(7, datetime.date(2024, 1, 2), False), (None, None, True)]
 
 
+def test_rescued_load_keeps_rows_and_names_what_does_not_fit(spark):
+    raw = spark.createDataFrame([("7", "2024-01-02", "{}"), ("x", "2024-13-02", "{"), (None, None, None), ("8", "never", "1")], "a string, b string, c string")
+    declared = {"id": ("a", "int"), "day": ("b", "date"), "doc": ("c", "json")}
+    df = bronze.typed_load(raw, declared, rescued="lost")
+    assert dict(df.dtypes) == {"id": "int", "day": "date", "doc": "variant", "lost": "map<string,string>"}
+    good, bad = bronze.quarantine(df, "lost")
+    assert [(r["id"], r["day"]) for r in good.collect()] == [(7, datetime.date(2024, 1, 2)), (None, None)] and "lost" not in good.columns
+    assert [r["lost"] for r in bad.collect()] == [{"id": "x", "day": "2024-13-02", "doc": "{"}, {"day": "never"}]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        bronze.typed_load(raw, declared).select("id").collect()
+    with pytest.raises(ValueError):
+        bronze.typed_load(raw, declared, rescued="id")
+
+
 def test_user_stats_does_not_count_null_keys(spark):
     df = spark.createDataFrame([("d1", 1), ("d1", None), ("d2", None)], "day string, id int")
     assert {r["day"]: r["total_users"] for r in gold.user_stats(df, "day", "id").collect()} == {"d1": 1, "d2": 0}

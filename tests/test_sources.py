@@ -1,5 +1,8 @@
 """Scanning folders, snapshots, tables."""
 
+import datetime
+
+import compare
 import pytest
 
 from lineloom.operators.parse import parse_scripts
@@ -114,3 +117,29 @@ def test_scratch_lives_in_the_shared_folder_and_can_be_cleared(spark):
     assert path.startswith(session.shared_dir(spark)) and tables.path_exists(spark, path)
     session.clear_scratch(spark)
     assert not tables.path_exists(spark, path)
+
+
+def test_days_are_replaced_all_at_once(spark, tmp_path):
+    path = str(tmp_path / "days")
+    make = lambda rows: spark.createDataFrame(rows, "id long, day date")
+    d = [datetime.date(2024, 1, k) for k in range(1, 5)]
+    first = tables.write_partitioned(make([(1, d[0]), (2, d[1]), (3, None)]), path, "day")
+    look = lambda df: sorted((r["id"], r["day"]) for r in df.collect())
+    key = lambda rows: sorted(rows, key=lambda r: r[0])
+    assert look(first) == [(1, d[0]), (2, d[1]), (3, None)] and first.columns == ["id", "day"]
+    for _ in range(2):
+        second = tables.replace_partitions(make([(20, d[1]), (21, d[1]), (30, d[2])]), path, "day")
+    assert look(second) == key([(1, d[0]), (20, d[1]), (21, d[1]), (30, d[2]), (3, None)])
+    assert look(first) == [(1, d[0]), (2, d[1]), (3, None)], "a reader keeps what it saw"
+    # A write that reads what it replaces, and one that fails.
+    third = tables.replace_partitions(second.where("day = '2024-01-02'").selectExpr("id + 1 id", "day"), path, "day")
+    assert look(third) == key([(1, d[0]), (21, d[1]), (22, d[1]), (30, d[2]), (3, None)])
+    with pytest.raises(Exception):
+        tables.replace_partitions(make([(9, d[0])]).selectExpr("id div 0 id", "day"), path, "day")
+    again = tables.read_partitioned(spark, path, third.schema)
+    assert look(again) == look(third)
+    assert "PartitionFilters: [isnotnull(day" in compare.plan_of(again.where("day = '2024-01-03'"))
+    tables.drop_unused(spark, path)
+    assert look(tables.read_partitioned(spark, path, third.schema)) == look(third)
+    fourth = tables.write_partitioned(make([]), path, "day")
+    assert look(fourth) == [] and look(tables.read_partitioned(spark, str(tmp_path / "none"), third.schema)) == []
