@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lineloom.functions.let import let
 from lineloom.llm.common import documents, text_of, words_of
 from lineloom.session import materialize
 
@@ -17,16 +20,20 @@ _ROOM = 1 << 40
 BUCKETS = 1 << 20
 
 
-def text_lines(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``(key, line, place, words, n, h1, h2)``: every line with a word; ``place`` orders lines by key, then number."""
-    lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(text_of(text), "\n")).alias("line", "body"))
-    lines = lines.select("key", "line", words_of(F.col("body")).alias("words")).where(F.size("words") > 0)
+def text_lines(docs: DataFrame, text: str, key: str, mark: Sequence[Column] = ()) -> DataFrame:
+    """``(key, line, place, words, n, h1, h2)``: every line with a word; ``place`` orders lines by key, then number.
+
+    ``mark`` may add one column ``mark`` computed from ``docs``.
+    """
+    marks = ["mark"] * len(mark)
+    lines = docs.select(F.col(key).alias("key"), *mark, F.posexplode(F.split(text_of(text), "\n")).alias("line", "body"))
+    lines = lines.select("key", "line", *marks, words_of(F.col("body")).alias("words")).where(F.size("words") > 0)
     joined = F.array_join("words", " ")
     # Null keys come first; a line number has 31 bits.
     wide = F.coalesce(F.col("key").cast("decimal(28,0)"), F.lit(-(1 << 63)).cast("decimal(28,0)"))
     place = (wide * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")).cast("decimal(38,0)")
     return lines.select(
-        "key", "line", place.alias("place"), "words", F.size("words").alias("n"),
+        "key", "line", *marks, place.alias("place"), "words", F.size("words").alias("n"),
         F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(7), joined).alias("h2"),
     )
 
@@ -102,7 +109,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, mark: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame]:
     """``(places, classes)``: every line's place and hashes, and the distinct lines that do not stay everywhere.
 
     ``places(key, line, n, place, h1, h2)`` is written in the one pass that hashes all lines;
@@ -115,8 +122,8 @@ def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", min_w
     of a group are never paired with each other, and the edit distance to the earliest is then verified on
     the words themselves.
     """
-    lines = text_lines(docs, text, key)
-    keyed = lines.select("key", "line", "h1", "h2", "place", "n", F.when(F.col("n") >= min_words, half_keys()).alias("halves"))
+    lines, marks = text_lines(docs, text, key, mark), ["mark"] * len(mark)
+    keyed = lines.select("key", "line", *marks, "h1", "h2", "place", "n", F.when(F.col("n") >= min_words, half_keys()).alias("halves"))
     places, _ = materialize(keyed.select("*", *[F.get("halves", F.lit(j)).alias(f"half{j}") for j in range(4)]).drop("halves"), "lines-places")
     halves = [F.min(f"half{j}").alias(f"half{j}") for j in range(4)]
     distinct, _ = materialize(places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"), *halves), "lines-distinct")
@@ -145,19 +152,20 @@ def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", min_w
     checked = near.join(body, "lid").join(other, "near").where(within_one_edit(F.col("words"), F.col("others")))
     checked = checked.select("h1", "h2", F.col("near_place").alias("near"))
     marked = distinct.select("h1", "h2", "first", "rows").join(checked, ["h1", "h2"], "left")
-    return places.select("key", "line", "n", "place", "h1", "h2"), marked.where("rows > 1 OR near IS NOT NULL")
+    return places.select("key", "line", *marks, "n", "place", "h1", "h2"), marked.where("rows > 1 OR near IS NOT NULL")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, mark: Sequence[Column] = ()) -> DataFrame:
     """One row per line with a word: key, ``line`` (from 0), ``n_words``, ``kept``, ``keep_id``, ``keep_line``, ``near``.
 
     Lines are equal when their words are; lines of ``min_words`` words or more also match within one
     edited word (put in, left out or replaced).  A line goes when an earlier line (by key,
     then line number; null keys first) matches it; ``keep_id`` and ``keep_line`` name the
     earliest match, and ``near`` tells that it is not equal.  Rows that repeat key and text
-    stand at the same places and are treated alike.  Null or empty texts and blank lines give no rows.
+    stand at the same places and are treated alike.  Null or empty texts and blank lines give no rows.  ``mark`` may add one
+    column ``mark`` computed from ``docs``.
     """
-    places, classes = line_classes(docs, text, key, min_words)
+    places, classes = line_classes(docs, text, key, min_words, mark)
     classes, _ = materialize(classes, "lines-classes")
     joined = places.join(classes, ["h1", "h2"], "left")
     # A copy of a near duplicate may stand before the near one's match; the earliest of all decides.
@@ -168,7 +176,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_wo
     line = F.pmod(best, span).cast("int")
     keep = ((best - F.pmod(best, span)) / span).cast("decimal(28,0)")
     return joined.select(
-        F.col("key").alias(key), "line", F.col("n").alias("n_words"), kept.alias("kept"),
+        F.col("key").alias(key), "line", *["mark"] * len(mark), F.col("n").alias("n_words"), kept.alias("kept"),
         F.when(kept, F.col("key")).when(keep != F.lit(-(1 << 63)), keep.cast("long")).alias("keep_id"), line.alias("keep_line"),
         (~kept & F.coalesce(best == F.col("near"), F.lit(False))).alias("near"),
     )
@@ -177,16 +185,25 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_wo
 def without_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines cut from the texts; a document that loses every line with a word goes.
 
-    Keys must be unique.  Documents without a word and blank lines stay as they are.
+    Documents without a word and blank lines stay as they are.  Rows are told apart by key and text: of rows that repeat a
+    key with other texts each loses its own lines only; rows that repeat both are treated alike.
     """
-    lines = dedup_lines(docs, text, key, min_words)
-    cut = lines.groupBy(F.col(key).alias("_key")).agg(
+    digest = F.xxhash64(text_of(text))
+    lines = dedup_lines(docs, text, key, min_words, mark=[digest.alias("mark")])
+    cut = lines.groupBy(F.col(key).alias("_key"), F.col("mark").alias("_mark")).agg(
         F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("_cut"), F.max("kept").alias("_any")
     )
     cut = cut.where("size(_cut) > 0")
-    joined = docs.join(cut, docs[key].eqNullSafe(cut["_key"]), "left").where("_any IS NULL OR _any")
-    kept = F.filter(F.split(text_of(text), "\n"), lambda line, i: ~F.array_contains("_cut", i))
-    body = F.when(F.col("_key").isNull() & F.col("_any").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    whole = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    joined = docs.join(cut, docs[key].eqNullSafe(cut["_key"]) & (whole == cut["_mark"]), "left")
+    joined = joined.where(cut["_any"].isNull() | cut["_any"])
+
+    def rest(parts: Column) -> Column:
+        """The lines that stay, by their numbers: one look at each, however many are cut."""
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), cut["_cut"])
+        return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+
+    body = F.when(cut["_any"].isNull(), docs[text]).otherwise(let(F.split(docs[text], "\n"), rest))
     return joined.select(*[body.alias(c) if c == text else docs[c] for c in docs.columns])
 
 

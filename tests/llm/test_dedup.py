@@ -87,6 +87,20 @@ def test_line_dedup(frame):
     assert line_dedup.dedup_lines(frame([])).count() == 0
 
 
+def test_rows_of_one_key_lose_their_own_lines_only(frame):
+    rows = [(7, "head one two\nfoo bar"), (7, "foo bar\nonly here and nowhere else"), (None, "left alone\nfoo bar"), (None, "foo bar"), (9, "foo bar\n\nlast one"), (9, "foo bar\n\nlast one")]
+    docs = frame(rows)
+    for name in ("_key", "_cut", "_any", "_mark", "mark", "line"):
+        docs = docs.withColumn(name, docs["n_chars"])
+    got = line_dedup.without_repeated_lines(docs)
+    assert got.columns == docs.columns
+    # Null keys come first, so their "foo bar" is the earliest; the row that holds nothing else keeps it.
+    assert sorted(((r["doc_id"] is not None, r["doc_id"]), r["text"]) for r in got.collect()) == [
+        ((False, None), "foo bar"), ((False, None), "left alone"), ((True, 7), "head one two"),
+        ((True, 7), "only here and nowhere else"), ((True, 9), "\nlast one"), ((True, 9), "\nlast one"),
+    ]
+
+
 def linked(rows, size, percent):
     """Set sizes and components by brute force."""
     sets = []
