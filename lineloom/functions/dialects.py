@@ -47,9 +47,6 @@ DIALECTS = {
     "tsql": Dialect('"[', "'", nested_comments=True, hash_names=True),
 }
 
-#: Block comments are followed so deep where a dialect nests them.
-NESTED_COMMENTS = 8
-
 _QUOTED_NAME = {
     "`": r"`[^`]*+`",
     '"': r'"(?:[^"]++|"")*+"',
@@ -84,12 +81,21 @@ def part_pattern(d: Dialect) -> str:
     return "|".join([*quoted, *strings, bare])
 
 
-def _block_comment(depth: int) -> str:
-    inner = ""
-    for level in range(depth + 1):
-        end = r"(?:\*/|\z)"
-        inner = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*)" + (f"|{inner}" if level else r"|/(?=\*)") + ")*+" + end
-    return inner
+#: A block comment that holds no other; see ``tokens.flat_comments`` for those that do.
+BLOCK_COMMENT = r"/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"
+
+
+def mark_pattern(d: Dialect) -> str:
+    """Pattern whose matches tile the text into what opens or closes comments, strings and quoted names, and the rest."""
+    marks = [r"/\*", r"\*/", "\n", *d.line_comments]
+    if d.backslash:
+        marks.append(r"\\.")
+    if d.dollar_strings:
+        marks.append(r"\$\w*+\$")
+    quotes = "".join(sorted({*d.name_quotes, *d.string_quotes, *("]" if "[" in d.name_quotes else "")}))
+    quotes = "".join("\\" + q for q in quotes)
+    starts = "".join("\\" + c for c in sorted({c[0] for c in d.line_comments}))
+    return f"(?s){'|'.join(marks)}|[{quotes}]|[^/*\\n\\\\$" + quotes + starts + "]++|."
 
 
 def token_pattern(d: Dialect) -> str:
@@ -101,7 +107,7 @@ def token_pattern(d: Dialect) -> str:
     trailing comment be consumed as a comment.
     """
     comments = [rf"{c}[^\n]*+" for c in d.line_comments]
-    comments.append(_block_comment(NESTED_COMMENTS if d.nested_comments else 0))
+    comments.append(BLOCK_COMMENT)
     trivia = r"(?:[\s\u00a0\ufeff]++|" + "|".join(comments) + ")*+"
 
     quoted = [_QUOTED_NAME[q] for q in d.name_quotes]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lineloom.functions.dialects import Dialect, part_pattern, token_pattern
+from lineloom.functions.dialects import Dialect, mark_pattern, part_pattern, token_pattern
 from lineloom.functions.let import let
 
 # Event codes.
@@ -98,13 +98,54 @@ def _starts_clause(w: Column, nxt: Column, nxt2: Column, lead: Column) -> Column
     )
 
 
+def flat_comments(content: Column, d: Dialect) -> Column:
+    """The text with the comment marks *inside* block comments blanked, where the dialect nests them.
+
+    A pushdown scan: one ``aggregate`` over the marks of a script keeps the depth of open comments, without a limit, and what else is
+    open (a string, a quoted name, a line comment).  Marks in those count for nothing, quotes in a comment neither.
+    Only scripts with two comment openers are scanned.
+    """
+    if not d.nested_comments:
+        return content
+    closer = {q: "]" if q == "[" else q for q in d.name_quotes + d.string_quotes}
+
+    def step(at: Column, t: Column) -> Column:
+        inside, free = at["depth"] > 0, at["open"] == ""
+        tag = t.startswith("$") & (F.length(t) > 1) if d.dollar_strings else F.lit(False)
+        opened = F.when(tag | t.isin(*[q for q, c in closer.items() if q == c]), t)
+        for q, c in closer.items():
+            opened = opened.when(t == q, c) if q != c else opened
+        opened = opened.when(t.isin(*d.line_comments), "\n").otherwise("")
+        depth = (
+            F.when(inside & (t == "/*"), at["depth"] + 1)
+            .when(inside & (t == "*/"), at["depth"] - 1)
+            .when(~inside & free & (t == "/*"), 1)
+            .otherwise(at["depth"])
+        )
+        inner = inside & ((t == "/*") | ((t == "*/") & (at["depth"] > 1)))
+        return F.struct(
+            (at["i"] + 1).alias("i"), depth.cast("int").alias("depth"),
+            F.when(inside, "").when(~free, F.when(t == at["open"], "").otherwise(at["open"])).otherwise(opened).alias("open"),
+            F.when(inner, F.array_append(at["blank"], at["i"])).otherwise(at["blank"]).alias("blank"),
+        )
+
+    def flat(pieces: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<int>").alias("blank"))
+        blank = F.aggregate(pieces, start, step, lambda at: at["blank"])
+        spaced = lambda gone: F.transform(pieces, lambda t, i: F.when(F.array_contains(gone, i), "  ").otherwise(t))
+        return F.array_join(let(blank, spaced), "")
+
+    scanned = let(F.regexp_extract_all(content, F.lit(mark_pattern(d)), F.lit(0)), flat)
+    return F.when(content.rlike(r"(?s)/\*.*/\*"), scanned).otherwise(content)
+
+
 def raw_tokens(content: Column, d: Dialect) -> Column:
-    return F.regexp_extract_all(content, F.lit(token_pattern(d)), F.lit(1))
+    return F.regexp_extract_all(flat_comments(content, d), F.lit(token_pattern(d)), F.lit(1))
 
 
 def covering_tokens(content: Column, d: Dialect) -> Column:
-    """Same tokens with the blanks and comments before them: joined, the whole text."""
-    return F.regexp_extract_all(content, F.lit(token_pattern(d)), F.lit(0))
+    """Same tokens with the blanks and comments before them: joined, the whole text (marks inside nested comments blanked)."""
+    return F.regexp_extract_all(flat_comments(content, d), F.lit(token_pattern(d)), F.lit(0))
 
 
 def name_parts(raw: Column, d: Dialect) -> Column:

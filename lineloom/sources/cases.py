@@ -40,6 +40,8 @@ CASES = (
     Case("tsql", "CREATE TABLE #w{k} AS SELECT 1 FROM s{k}x.t", "s{k}x.t", "table", "#w{k}"),
     Case("postgres", "SELECT 1 /* a /* from b{k} */ from c{k} */ FROM d{k}", "d{k}"),
     Case("postgres", "/* a /* b /* c */ */ x */ SELECT 1 FROM d{k}", "d{k}"),
+    Case("postgres", "SELECT 1 FROM d{k} " + "/* it's from x{k} " * 50 + "*/ " * 50 + ", e{k}", "d{k} e{k}"),
+    Case("tsql", "SELECT '/* /* ' FROM a{k} /* [ /* ' */ from x{k} */ , [b/*{k}]", "a{k} b/*{k}"),
     Case("mysql", "SELECT 1 # from x{k}\nFROM `a{k}`.`t`", "a{k}.t"),
     Case("postgres", "SELECT 1 FROM a{k} CONNECT BY PRIOR x = y", "a{k}"),
     Case("postgres", 'SELECT 1 FROM "h"."s{k}"."t", u{k}', "h.s{k}.t u{k}"),

@@ -179,3 +179,23 @@ def test_bad_arguments(spark):
         with pytest.raises(ValueError):
             parse_scripts(df, **kwargs)
     assert parse_scripts(df).columns == list(RECORD)
+
+
+DEEP = 50
+
+
+@pytest.mark.parametrize(
+    "content, refs",
+    [
+        ("SELECT 1 FROM a " + "/* from x " * DEEP + "*/ " * DEEP + " JOIN b ON true", ["a", "b"]),
+        ("/* it's /* from x */ \"still */ SELECT 1 FROM a /* /*/ */ from y */ , b", ["a", "b"]),
+        ("SELECT '/* /* ' FROM a -- /* from x\n JOIN b ON '*/' = '/*'", ["a", "b"]),
+        ("SELECT $t$ /* $t$, $$/*$$ FROM a /* $t$ /* */ */ JOIN \"q/*\" ON true", ["a", "q/*"]),
+        ("SELECT 1 FROM a /* open /* twice */ from x", ["a"]),
+        ("SELECT 1 FROM a /* one */ JOIN b ON true /* two **/", ["a", "b"]),
+    ],
+)
+def test_nested_comments_of_any_depth(spark, content, refs):
+    df = spark.createDataFrame([("x/f.sql", content)], "path string, content string")
+    got = parse_scripts(df, "postgres", columns=RECORD).first()
+    assert got["error"] is None and got["dependencies"] == refs
