@@ -135,4 +135,4 @@ def test_oracles(spark, small):
     con = compare.connect(small)
     for name, sql in ORACLES.items():
         assert compare.difference(compare.spark_rows(QUERIES[name](spark, small)), compare.duck_rows(con, sql)) is None, name
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
