@@ -129,7 +129,10 @@ class StreamingViterbi:
 
 
 class Codec(dict):
-    """Encodes and decodes whole texts; ids of recent segments are remembered as bytes."""
+    """Encodes and decodes whole texts; ids of recent segments are remembered as bytes.
+
+    A segment enters the search a few longest pieces at a time, so the search holds a short stretch of it however long it is.
+    """
 
     def __init__(self, vocabulary: Pieces):
         super().__init__()
@@ -143,8 +146,12 @@ class Codec(dict):
     def __missing__(self, segment: str) -> bytes:
         ids = self.older.get(segment)
         if ids is None:
-            search = StreamingViterbi(self.v)
-            ids = array("i", search.feed(segment) + search.finish()).tobytes()
+            search, step = StreamingViterbi(self.v), 8 * self.v.longest
+            settled = array("i")
+            for at in range(0, len(segment), step):
+                settled.extend(search.feed(segment[at : at + step]))
+            settled.extend(search.finish())
+            ids = settled.tobytes()
         if len(segment) <= 8 * self.v.longest:
             if len(self) > REMEMBERED:
                 # What is not asked for again before the next turn is forgotten.

@@ -13,7 +13,7 @@ from lineloom.llm.common import documents, text_of
 from lineloom.llm.pieces import DEFAULT_MODEL, MARK, model_path, pieces
 
 LIMIT = 4096
-#: Segments whose counts a worker remembers; all others are merged again, with the same result.
+#: Short segments whose counts a worker remembers; all others are merged again, with the same result.
 REMEMBERED = 200_000
 
 
@@ -41,6 +41,8 @@ class SegmentCounts(dict):
 
     def __missing__(self, segment: str) -> int:
         count = len(self.library.encode(self.lead + segment, num_threads=1)) - 2
+        if len(segment) > 8 * self.vocabulary.longest:
+            return count
         if len(self) > REMEMBERED + len(self.whole):
             self.clear()
             self.update(self.whole)

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -45,6 +46,26 @@ def best_score(text, v):
     return best[-1]
 
 
+def test_texts_without_spaces_take_linear_time():
+    rng = random.Random(6)
+    coder = codec.Codec(pieces.pieces())
+    for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "的一是不了人我在有他这为之大来以个中上们"):
+        text = "".join(rng.choice(alphabet) for _ in range(400_000))
+        start = time.perf_counter()
+        ids = coder.encode(text)
+        assert time.perf_counter() - start < 60
+        assert coder.decode(np.frombuffer(ids, np.int32)) == text.encode()
+    whole = codec.StreamingViterbi(coder.v)
+    assert coder.encode(text[:9000]) == np.array(whole.feed(pieces.MARK + text[:9000]) + whole.finish(), np.int32).tobytes()
+
+
+def test_long_segments_are_not_remembered():
+    counter = token_counts.SegmentCounts(pieces.DEFAULT_MODEL)
+    before = len(counter)
+    assert counter.count("q" * 100_000) > 0 and counter.count("zqxj") > 0
+    assert len(counter) <= before + 1
+
+
 def test_streaming_viterbi_is_exact(texts):
     v, rng = pieces.pieces(), random.Random(4)
     for _, text, *_ in texts[:25]:
