@@ -144,6 +144,47 @@ def test_jaccard_join(frame, size, percent):
     assert jaccard_join.near_duplicates(frame([])).count() == 0
 
 
+def linked_ids(rows, size, percent):
+    """Smallest reachable key per key, by all pairs."""
+    sets = {}
+    for key, text in rows:
+        w = text.lower().split()
+        sets[key] = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
+
+
+def test_edits_of_one_text(frame):
+    """Hardly any of the edits are linked, and all lie at much the same distance from any of them."""
+    rng = random.Random(4)
+    base, other = words(rng, 120, 5000), words(rng, 120, 5000)
+    rows = []
+    for i in range(300):
+        text = list(base if i % 10 else base[:60] + other[60:])
+        for at in rng.sample(range(120), rng.randrange(3, 9)):
+            text[at] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    # Edits of edits, which are linked to one another only.
+    for i in range(40):
+        text = rows[rng.randrange(300)][1].split()
+        text[rng.randrange(120)] = "again"
+        rows.append((300 + i, " ".join(text)))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(frame(rows)).collect()}
+    assert got == linked_ids(rows, 4, 85)
+    assert len(set(got.values())) > 100
+
+
 def test_one_of_each(frame):
     text = "one two three four five six seven eight nine ten"
     rows = [(5, text), (3, text), (3, text), (9, "something else altogether that nobody else has written here"), (7, None)]
