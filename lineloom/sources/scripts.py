@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import os
 import re
+from collections.abc import Iterable, Iterator
+from fnmatch import fnmatchcase
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineloom.session import materialize
+
 
 def plain_path(uri: Column) -> Column:
     """Path without its scheme and authority."""
@@ -20,36 +27,14 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
 
 
-_STATUS = re.compile(r"\{path=(.*?); isDirectory=(?:(true)|false; length=(\d+))")
-#: Hadoop paths that Spark's file readers leave out.
-_HIDDEN = "[_.]*"
-
+#: Names that one batch of a listing holds, and bytes of text that one batch of a read holds.
+LISTED, HELD = 10_000, 8 << 20
+#: Bytes of scripts that one task reads, each file counted with a cost of its own for opening it.
+TASK_BYTES, OPEN_COST = 64 << 20, 16 << 10
+#: Folders that one task lists.
+FOLDERS = 64
 
-def _glob(spark: SparkSession, pattern: str) -> list[tuple[str, bool, int]]:
-    """(path, is folder, bytes) of what matches, in one call to the file system."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
-    text = spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(found) if found is not None else ""
-    return [(p, d == "true", int(n or 0)) for p, d, n in _STATUS.findall(text)]
-
-
-def _left_out(spark: SparkSession, root: str, glob: str) -> tuple[list[str], list[str], list[str]]:
-    """Hidden folders, hidden files and empty files under ``root``, level by level.
-
-    Names only: a listing like the one that Spark's reader makes.
-    """
-    folders, hidden, empty = [], [], []
-    base = re.sub(r"([\\{}\[\]*?])", r"\\\1", root.rstrip("/"))
-    while True:
-        below = _glob(spark, f"{base}/*")
-        inside = [p for p, is_folder, _ in below if is_folder]
-        folders += [p for p in inside if p.rsplit("/", 1)[1][0] in "_."]
-        files = [(p, n) for p, is_folder, n in _glob(spark, f"{base}/{glob}") if not is_folder]
-        empty += [p for p, n in files if n == 0]
-        hidden += [p for p, n in files if n and p.rsplit("/", 1)[1][0] in "_."]
-        if not inside:
-            return folders, hidden, empty
-        base += "/*"
+_LISTING = "path string, folder boolean, bytes bigint"
 
 
 def local_filesystem(uri: str):
@@ -62,46 +47,107 @@ def local_filesystem(uri: str):
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
-def _read_hidden(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Files that no Spark reader opens, read by tasks."""
+def _patterns(glob: str) -> list[str]:
+    """``glob`` without braces: one pattern for each choice."""
+    braces = re.search(r"\{([^{}]*)\}", glob)
+    if not braces:
+        return [glob.replace("[^", "[!")]
+    return [p for part in braces[1].split(",") for p in _patterns(glob[: braces.start()] + part + glob[braces.end() :])]
 
-    def read(batches):
-        for batch in batches:
-            rows = []
-            for uri in batch["path"]:
-                filesystem, path = local_filesystem(uri)
-                with filesystem.open_input_file(path) as f:
-                    rows.append((uri, f.read()))
-            yield pd.DataFrame(rows, columns=["path", "content"])
 
-    names = spark.createDataFrame([(f,) for f in files], "path string")
-    tasks = min(len(files), spark.sparkContext.defaultParallelism)
-    return names.repartition(tasks).mapInPandas(read, "path string, content binary")
+def _entries(filesystem, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(name, is folder, bytes) of what one folder holds; a local folder is streamed, links to folders are not followed."""
+    from pyarrow import fs
+
+    if isinstance(filesystem, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for entry in found:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.name, True, 0
+                elif entry.is_file():
+                    yield entry.name, False, entry.stat().st_size
+        return
+    for info in filesystem.get_file_info(fs.FileSelector(folder)):
+        if info.type != fs.FileType.NotFound:
+            yield info.base_name, info.type == fs.FileType.Directory, info.size or 0
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    """``root`` with its scheme; a root that isn't there is an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        raise FileNotFoundError(f"no folder {root}")
+    return system.makeQualified(where).toString().rstrip("/")
+
+
+def _listing(spark: SparkSession, root: str, glob: str) -> tuple[DataFrame, int]:
+    """``(path, bytes)`` of the files below the qualified ``root``, paths relative, and their cost in bytes.
+
+    One job per level of folders.  Its tasks list a few folders each and write what they find as rows, so the driver knows
+    only how many folders a level has and how many bytes of files.
+    """
+    patterns = _patterns(glob)
+
+    def look(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, base = local_filesystem(root)
+        rows = []
+        for batch in batches:
+            for folder in batch["path"]:
+                for name, is_folder, size in _entries(filesystem, f"{base}/{folder}".rstrip("/") or "/"):
+                    if is_folder or any(fnmatchcase(name, p) for p in patterns):
+                        rows.append((f"{folder}/{name}" if folder else name, is_folder, size))
+                    if len(rows) >= LISTED:
+                        yield pd.DataFrame(rows, columns=["path", "folder", "bytes"])
+                        rows = []
+        yield pd.DataFrame(rows, columns=["path", "folder", "bytes"])
+
+    level, pending, levels, cost = spark.createDataFrame([("",)], "path string"), 1, [], 0
+    while pending:
+        spread = level.repartition(max(1, math.ceil(pending / FOLDERS)), "path")
+        found, seen = materialize(
+            spread.mapInPandas(look, _LISTING), "listing", folders=F.count_if("folder"), cost=F.sum(F.when(~F.col("folder"), F.col("bytes") + OPEN_COST))
+        )
+        levels.append(found.where("NOT folder").select("path", "bytes"))
+        level, pending, cost = found.where("folder").select("path"), seen["folders"] or 0, cost + (seen["cost"] or 0)
+    return functools.reduce(DataFrame.unionByName, levels), cost
+
+
+def script_paths(spark: SparkSession, root: str, glob: str = "*.sql") -> DataFrame:
+    """``(path, bytes)`` of every script under ``root``, without opening any."""
+    found, _ = _listing(spark, where := _qualified(spark, root), glob)
+    base = plain_path(F.lit(where))
+    return found.select(F.concat_ws("/", base, "path").alias("path"), "bytes")
 
 
 def script_scan(spark: SparkSession, root: str, glob: str = "*.sql") -> DataFrame:
     """``(path, content)``: every script under ``root``, one row per file, hidden and empty ones too.
 
-    Files are packed into read tasks by size; the binary reader takes a small
-    file several times faster than the whole-text reader.  It leaves out empty files and names that start
-    with a dot or an underscore, so those are listed apart: hidden folders are read as roots of their own, an
-    empty file is an empty text, and tasks open hidden files themselves.
+    Folders are listed by tasks, level by level, when the scan is made; files are dealt to read tasks by a hash of their path, so
+    that a task gets about ``TASK_BYTES``, and are opened when the result is read.  ``glob`` is matched with the file's name
+    (``*``, ``?``, ``[...]``, ``{a,b}``).  Links to folders are not followed.  The file system must be one that pyarrow knows.
     """
+    where = _qualified(spark, root)
+    found, cost = _listing(spark, where, glob)
 
-    def reader(*folders: str) -> DataFrame:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-        return raw.load(list(folders)).select("path", "content")
-
-    folders, hidden, empty = _left_out(spark, root, glob)
-    raw = reader(root, *folders)
-    if hidden:
-        raw = raw.unionByName(_read_hidden(spark, hidden))
-    if empty:
-        names = spark.createDataFrame([(f,) for f in empty], "path string")
-        raw = raw.unionByName(names.select("path", F.lit("").cast("binary").alias("content")))
+    def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, base = local_filesystem(where)
+        rows, held = [], 0
+        for batch in batches:
+            for path in batch["path"]:
+                with filesystem.open_input_file(f"{base}/{path}") as f:
+                    rows.append((path, f.read()))
+                held += len(rows[-1][1]) + OPEN_COST
+                if held >= HELD:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=["path", "content"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(cost / TASK_BYTES))
+    raw = found.select("path").repartition(tasks, "path").mapInPandas(read, "path string, content binary")
     # Bytes that are not UTF-8 become replacement marks; line ends become \n.
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
-    return raw.select(plain_path(F.col("path")).alias("path"), text.alias("content"))
+    return raw.select(F.concat_ws("/", plain_path(F.lit(where)), "path").alias("path"), text.alias("content"))
 
 
 def export_scripts(scripts: DataFrame, root: str) -> None:

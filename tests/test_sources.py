@@ -1,13 +1,14 @@
 """Scanning folders, snapshots, tables."""
 
 import datetime
+import os
 
 import compare
 import pytest
 
 from lineloom.operators.parse import parse_scripts
 from lineloom.sources import snapshots, tables, versions
-from lineloom.sources.scripts import relative_path, script_scan
+from lineloom.sources.scripts import relative_path, script_paths, script_scan
 
 from pyspark.sql import functions as F
 
@@ -39,6 +40,33 @@ def test_script_scan_reads_every_script(spark, tmp_path):
     assert parsed["x y+z%"]["layer"] == "silver" and parsed["x y+z%"]["dependencies"] == ["b"]
 
 
+def test_names_that_listings_mistake(spark, tmp_path):
+    odd = ["a; isDirectory=true.sql", "{path=x; isDirectory=false; length=0}.sql", "b[1]*?.sql", "c, d.sql", "e%20f#g.sql"]
+    for name in odd:
+        (tmp_path / "x; isDirectory=true" / name).parent.mkdir(exist_ok=True)
+        (tmp_path / "x; isDirectory=true" / name).write_text(f"SELECT 1 FROM t -- {name}")
+    (tmp_path / "folder.sql").mkdir()
+    (tmp_path / "folder.sql" / "inner.ddl").write_text("SELECT 2")
+    (tmp_path / "up").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "linked.sql").symlink_to(tmp_path / "folder.sql" / "inner.ddl")
+    got = {r["path"].rsplit("/", 1)[1]: r["content"] for r in script_scan(spark, str(tmp_path)).collect()}
+    assert got == {n: f"SELECT 1 FROM t -- {n}" for n in odd} | {"linked.sql": "SELECT 2"}
+    paths = script_paths(spark, f"file:{tmp_path}", "*.{ddl,txt}").collect()
+    assert [(r["path"], r["bytes"]) for r in paths] == [(f"{tmp_path}/folder.sql/inner.ddl", 8)]
+    (tmp_path / "none").mkdir()
+    assert script_scan(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        script_scan(spark, str(tmp_path / "absent"))
+
+
+def test_a_folder_of_a_hundred_thousand_files(spark, tmp_path):
+    for k in range(100_000):
+        os.close(os.open(tmp_path / f"f{k}.sql", os.O_CREAT | os.O_WRONLY))
+    (tmp_path / "f5.sql").write_text("SELECT 5")
+    found = script_scan(spark, str(tmp_path))
+    assert found.agg(F.count("path"), F.count_distinct("path"), F.max("content")).first() == (100_000, 100_000, "SELECT 5")
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "json"])
 def test_snapshots(spark, tmp_path, fmt):
     base = str(tmp_path)
