@@ -23,11 +23,8 @@ EDGE = ("edge_id", "source", "target", "kind")
 _NO_MATCH = "\u0000"
 
 
-def name_lookup(parsed: DataFrame) -> DataFrame:
-    """(name, node_id): the names under which each record can be referred to.
-
-    Of several records with one name, the one with the greatest path wins.
-    """
+def record_names(parsed: DataFrame) -> DataFrame:
+    """(id, path, name): every name under which each record can be referred to."""
     label, dataset, project = F.col("label"), F.col("dataset"), F.col("project")
     in_dataset = dataset != "default"
     names = F.array(
@@ -36,11 +33,24 @@ def name_lookup(parsed: DataFrame) -> DataFrame:
         F.when(in_dataset, F.concat_ws(".", dataset, label)),
         F.when(in_dataset & (project != "default"), F.concat_ws(".", project, dataset, label)),
     )
-    return (
-        parsed.select("id", "path", F.explode(F.array_distinct(F.array_compact(names))).alias("name"))
-        .groupBy("name")
-        .agg(F.max_by("id", "path").alias("node_id"))
-    )
+    return parsed.select("id", "path", F.explode(F.array_distinct(F.array_compact(names))).alias("name"))
+
+
+def name_lookup(parsed: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(name, node_id): the names under which each record can be referred to, or those of them in ``wanted(name)``.
+
+    Of several records with one name, the one with the greatest path wins.
+    """
+    names = record_names(parsed)
+    if wanted is not None:
+        names = names.join(wanted, "name", "left_semi")
+    return names.groupBy("name").agg(F.max_by("id", "path").alias("node_id"))
+
+
+def names_looked_up(deps: DataFrame) -> DataFrame:
+    """(id, name): the names that ``resolve`` may look up for each record's dependencies."""
+    short = last_part(F.col("dep"))
+    return deps.where("kind = 'table'").select("id", F.explode(F.array_distinct(F.array("dep", short))).alias("name"))
 
 
 def resolve(deps: DataFrame, lookup: DataFrame) -> DataFrame:

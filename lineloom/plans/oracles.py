@@ -409,3 +409,6 @@ ORACLES = {
         _CLEANED,
     ),
 }
+
+# A refreshed graph is the graph of the scripts as they are.
+ORACLES["graph_refresh"] = ORACLES["node_table"]
