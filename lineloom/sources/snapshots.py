@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lineloom.sources import versions
 
@@ -57,6 +58,26 @@ def snapshot_load(
     return spark.read.schema(schema).format(fmt).load(f"{data}/{part}")
 
 
+def snapshot_list(spark: SparkSession, base: str) -> DataFrame:
+    """(name, version, saved): every graph saved under ``base``, its newest version and when that was finished.
+
+    Read from the version markers alone; a save that never finished is not there.  The driver lists the names.
+    """
+    root = base.rstrip("/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for folder in fs.listStatus(where) if fs.exists(where) else []:
+        name = folder.getPath().getName()
+        found = versions.versions(spark, f"{root}/{name}") if folder.isDirectory() else []
+        if found:
+            number, data = found[-1]
+            marker = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{number:012d}-{data}.version")
+            rows.append((name, number, fs.getFileStatus(marker).getModificationTime()))
+    saved = spark.createDataFrame(rows, "name string, version long, millis long")
+    return saved.select("name", "version", F.timestamp_millis("millis").alias("saved"))
+
+
 def metadata_of(spark: SparkSession, base: str, name: str = DEFAULT_NAME, fmt: str = "parquet") -> dict:
     """The handful of settings saved with a graph."""
     rows = snapshot_load(spark, base, "metadata", METADATA_SCHEMA, name, fmt)

@@ -93,6 +93,19 @@ def test_snapshots(spark, tmp_path, fmt):
         snapshots.snapshot_save(base, nodes, edges, {}, "../up")
 
 
+def test_saved_snapshots_are_listed(spark, tmp_path):
+    base = str(tmp_path / "graphs")
+    look = lambda: {r["name"]: (r["version"], r["recent"]) for r in snapshots.snapshot_list(spark, base).selectExpr("*", "saved > now() - INTERVAL 1 HOUR recent").collect()}
+    assert look() == {}
+    frame = spark.range(1)
+    for name in ("one", "two parts", "one"):
+        snapshots.snapshot_save(base, frame, frame, {}, name)
+    with pytest.raises(Exception, match="stop"):
+        snapshots.snapshot_save(base, frame.select(F.raise_error(F.lit("stop"))), frame, {}, "never")
+    (tmp_path / "graphs" / "stray.txt").write_text("x")
+    assert look() == {"one": (2, True), "two parts": (1, True)}
+
+
 def test_versions(spark, tmp_path):
     path = str(tmp_path / "v")
     assert versions.current(spark, path) is None
