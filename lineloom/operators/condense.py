@@ -7,6 +7,7 @@ jumping, so a chain or a plain cycle of n nodes takes about log2(n) rounds, not
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,10 +16,14 @@ from pyspark.sql import functions as F
 
 from lineloom.session import discard, materialize
 
-#: Levels that one job trims, and hops that one job lets labels, marks, ranks and bitmaps spread.
+#: Levels that one job trims, and hops that one job lets labels, marks and ranks spread.
 TRIMMED, HOPS = 4, 4
 #: Fewer inner nodes of chains than this are left where they are.
 WORTH = 16
+#: A row holds about this many members of a set at most.
+PART = 1_000_000
+#: Nodes that more links enter tell the codes apart before they gather them.
+HUB = 64
 #: Every so many rounds the tables of a loop are folded into one, so that deep graphs keep short plans.
 FOLD = 8
 
@@ -275,15 +280,11 @@ def acyclic(edges: DataFrame) -> Acyclic:
     return Acyclic(keys, members, between)
 
 
-def ranks(graph: Acyclic) -> DataFrame:
-    """(rep, rank): links on the longest walk from a node that nothing enters; reps without links are left out.
+def _farthest(links: DataFrame) -> DataFrame:
+    """(node, rank): the longest walk that ends at each node, over ``links(source, target, length)`` without cycles.
 
-    Chains are contracted first.  On what is left each round lets nodes whose rank has grown offer it to their targets, several hops per
-    job; inner nodes of chains follow from the node that their chain comes from.
+    Each round lets nodes whose rank has grown offer it to their targets, several hops per job.
     """
-    weighted, _ = materialize(graph.links.withColumn("length", F.lit(1).cast("long")), "weighted")
-    small = contract(weighted)
-    links = small.links if small else weighted
     nodes = links.select(F.explode(F.array("source", "target")).alias("node")).distinct()
     known, seen = materialize(nodes.select("node", F.lit(0).cast("long").alias("rank"), F.lit(True).alias("up")), "rank", n=rows())
     while seen["n"]:
@@ -296,6 +297,17 @@ def ranks(graph: Acyclic) -> DataFrame:
         grown = before.join(best, "node", "left").select("node", F.greatest("rank", "offer").alias("rank"), F.coalesce(F.col("offer") > F.col("rank"), F.lit(False)).alias("up"))
         known, seen = materialize(grown, "rank", n=F.count_if("up"))
         discard(before)
+    return known
+
+
+def ranks(graph: Acyclic) -> DataFrame:
+    """(rep, rank): links on the longest walk from a node that nothing enters; reps without links are left out.
+
+    Chains are contracted first; inner nodes of chains follow from the node that their chain comes from.
+    """
+    weighted, _ = materialize(graph.links.withColumn("length", F.lit(1).cast("long")), "weighted")
+    small = contract(weighted)
+    known = _farthest(small.links if small else weighted)
     found = known.select(F.col("node").alias("rep"), "rank")
     if small:
         inner = small.chains.join(known.select(F.col("node").alias("first"), "rank"), "first")
@@ -307,53 +319,126 @@ def ranks(graph: Acyclic) -> DataFrame:
     return found
 
 
+def _walk(links: DataFrame, nodes: DataFrame, weigh: Callable[[str], Column], spare: bool, harvest: Callable[[DataFrame], DataFrame], parts: int, hubs: bool) -> DataFrame:
+    """(node, n): what ``harvest`` makes of every node's set, summed; level by level, each set is made once, from the finished sets of its sources.
+
+    ``nodes(node, level, last, tail, own)`` has the codes a node adds to what it hands on and the greatest level it links to;
+    ``links(source, target, level, last, tail, wide)`` has its target's.  Sets are rows ``(node, part, last, tail, n, codes)``:
+    a part holds the codes of the nodes that hash to it, ``n`` is what ``weigh`` makes of those that came in, and with ``spare`` a
+    node that hands on nothing has no codes.  When tables are folded, sets that no later level reads are dropped.
+    """
+    arrays = lambda c, here: (F.col(c) if here else F.lit(None).cast("array<bigint>")).alias(c)
+    own = nodes.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int"))
+    first = own.where("level = 0").select("node", "part", "last", "tail", F.lit(0).cast("long").alias("n"), F.col("own").alias("codes"))
+    first, _ = materialize(first, "sets")
+    live, recent, sums = [first], [first], []
+    total = lambda found: found.groupBy("node").agg(F.sum("n").alias("n"))
+    last = links.agg(F.max("level")).first()[0] or 0
+    for level in range(1, last + 1):
+        there = union(live).where(F.col("last") >= level).select(F.col("node").alias("source"), "part", "codes")
+        come = links.where(F.col("level") == level).join(there, "source").select(F.col("target").alias("node"), "part", "last", "tail", "codes", "wide")
+        if hubs:
+            # A node that many enter tells its codes apart before it gathers them.
+            key = ["node", "part", "last", "tail"]
+            apart = come.where("wide").select(*key, F.explode("codes").alias("code")).distinct().groupBy(*key).agg(F.collect_list("code").alias("codes"))
+            come = come.where("NOT wide").drop("wide").unionByName(apart)
+        mine = own.where(F.col("level") == level).select("node", "part", "last", "tail", arrays("codes", False), "own")
+        both = come.select("node", "part", "last", "tail", "codes", arrays("own", False)).unionByName(mine)
+        met = both.groupBy("node", "part").agg(
+            F.max("last").alias("last"), F.max("tail").alias("tail"), F.array_distinct(F.flatten(F.collect_list("codes"))).alias("met"), F.flatten(F.collect_list("own")).alias("own")
+        )
+        codes = F.concat("own", "met")
+        made = met.select("node", "part", "last", "tail", weigh("met").alias("n"), (F.when(F.col("last").isNotNull(), codes) if spare else codes).alias("codes"))
+        fresh, _ = materialize(made, "sets")
+        live.append(fresh)
+        recent.append(fresh)
+        if level % FOLD == 0 and level < last:
+            done, _ = materialize(total(harvest(union(recent))), "reach")
+            sums = fold([*sums, done], len(sums) + 1, "reach")
+            still, _ = materialize(union(live).where(F.col("last") > level), "sets")
+            discard(*live)
+            live, recent = [still], []
+    found, _ = materialize(total(union([harvest(union(recent)), *sums])), "reach")
+    discard(*live, *sums)
+    return found
+
+
 def reach_sizes(graph: Acyclic, down: bool = False) -> DataFrame:
     """(key, n): how many other nodes reach each node (or, ``down``, are reached from it).
 
-    Sets are bitmaps in 64-bit words, ``(node, word, bits)``, joined by ``bit_or``: a word is stored only where a bit is set, and up
-    to 64 members share a row.  They exist for the nodes that contraction leaves; an inner node of a chain has what the chain's
-    first node has and the nodes between, and members of a cycle have the cycle's.  Each round sends only the
-    bits that a node has gained along its links.
+    Chains are contracted, and what reaches others through a single node only is no member of any set but a weight of that node:
+    inner nodes of chains, and nodes that nothing enters and one link leaves.  Of the rest ``_walk`` makes each node's set of
+    ancestors once; sizes are summed per set, or, ``down``, per member.  A member is a code: its number times 64, plus the power of two it
+    weighs; one that weighs no power of two has a code for each bit.
     """
-    links = graph.links if not down else graph.links.select(F.col("target").alias("source"), F.col("source").alias("target"))
     sizes, _ = materialize(graph.members.groupBy("rep").agg(rows().alias("size")), "sizes")
     # A link is as long as its source has members, so distances along a chain count the nodes passed.
-    weighted = links.join(sizes.select(F.col("rep").alias("source"), F.col("size").alias("length")), "source").select("source", "target", "length")
+    weighted = graph.links.join(sizes.select(F.col("rep").alias("source"), F.col("size").alias("length")), "source").select("source", "target", "length")
     weighted, _ = materialize(weighted, "weighted")
     small = contract(weighted)
-    short = small.links if small else weighted
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("key", F.lit(64)).cast("int"))
-    bits = graph.members.select("rep", F.shiftright("key", 6).alias("word"), bit.alias("bits"))
-    words, _ = materialize(bits.groupBy("rep", "word").agg(F.bit_or("bits").alias("bits")), "words")
-    near = [short.select(F.col("source").alias("rep"), F.col("target").alias("node"))]
-    if small:
-        near.append(small.chains.select(F.col("node").alias("rep"), F.col("last").alias("node")))
+    short = (small.links if small else weighted).select("source", "target")
+    outs = short.groupBy("source").agg(rows().alias("n"), F.max("target").alias("into")).where("n = 1")
+    folded, _ = materialize(outs.join(short.select(F.col("target").alias("source")), "source", "left_anti").select(F.col("source").alias("rep"), "into"), "folded")
+    kept, seen = materialize(short.join(folded.select(F.col("rep").alias("source")), "source", "left_anti").withColumn("length", F.lit(1).cast("long")), "links", n=rows())
+    levels = _farthest(kept)
 
-    def joined(found: DataFrame) -> DataFrame:
-        return found.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    def added(nodes: DataFrame, to: str) -> DataFrame:
+        return nodes.join(sizes.select(F.col("rep").alias("of"), "size"), "of").groupBy(F.col(to).alias("rep")).agg(F.sum("size").alias("n"))
 
-    first = joined(union(near).join(words, "rep").select("node", "word", "bits"))
-    known, seen = materialize(first.withColumn("gained", F.col("bits")), "bitmaps", n=rows())
-    while seen["n"]:
-        sent, at = [], known.where("gained != 0").select("node", "word", F.col("gained").alias("bits"))
-        for _ in range(HOPS):
-            at = joined(short.join(at.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), "word", "bits"))
-            sent.append(at)
-        before = known
-        have = before.select("node", "word", "bits", F.col("bits").alias("old"))
-        # One aggregate both joins the words and tells what is new.
-        offered = union(sent).withColumn("old", F.lit(0).cast("long"))
-        merged = have.unionByName(offered).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))
-        gained = F.col("bits").bitwiseAND(F.bitwise_not("old"))
-        known, seen = materialize(merged.select("node", "word", "bits", gained.alias("gained")), "bitmaps", n=F.count_if(F.col("gained") != 0))
-        discard(before)
-    counted = known.groupBy("node").agg(F.sum(F.bit_count("bits")).alias("n"))
+    light = [folded.select(F.col("rep").alias("of"), "into")]
     if small:
-        inner = small.chains.join(counted.select(F.col("node").alias("first"), "n"), "first", "left")
-        counted = counted.unionByName(inner.select("node", (F.coalesce("n", F.lit(0)) + F.col("before")).alias("n")))
+        light.append(small.chains.select(F.col("node").alias("of"), F.col("last").alias("into")))
+    before, _ = materialize(added(union(light), "into"), "light")
+    tails = added(small.chains.select(F.col("node").alias("of"), "first"), "first") if small else before.limit(0)
+    tails, _ = materialize(tails, "light")
+    level = levels.select("node", F.col("rank").alias("level"))
+    ends = kept.join(level.select(F.col("node").alias("target"), "level"), "target").groupBy("source").agg(F.max("level").alias("last"))
+    size = sizes.join(before.withColumnRenamed("n", "lighter"), "rep", "left").join(tails.withColumnRenamed("n", "longer"), "rep", "left")
+    size = size.select("rep", "size", (F.col("size") + F.coalesce("lighter", F.lit(0))).alias("weight"), (F.col("size") + F.coalesce("longer", F.lit(0))).alias("tail"))
+    size, _ = materialize(size, "sizes")
+    code = F.call_function("shiftleft", F.col("node"), F.lit(6))
+    if down:
+        own, heavy = F.array(code), F.lit(False)
+    else:
+        set_bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.call_function("getbit", F.col("weight"), b) == 1)
+        own, heavy = F.when(F.col("weight") == 1, F.array(code)).otherwise(F.transform(set_bits, lambda b: code + b)), F.col("weight") > 1
+    nodes = level.join(ends, level["node"] == ends["source"], "left").drop("source").join(size.withColumnRenamed("rep", "node"), "node")
+    hands_on = F.lit(True) if down else F.col("last").isNotNull()
+    nodes = nodes.select("node", "level", "last", "tail", F.when(hands_on, own).otherwise(F.array().cast("array<bigint>")).alias("own"), (hands_on & heavy).alias("heavy"))
+    nodes, known = materialize(nodes, "levels", n=rows(), heavy=F.count_if("heavy"))
+    ins = kept.groupBy("target").agg((rows() > HUB).alias("wide"))
+    into = ins.join(nodes.select(F.col("node").alias("target"), "level", "last", "tail"), "target")
+    into, hubs = materialize(kept.select("source", "target").join(into, "target"), "links", n=F.count_if("wide"))
+
+    def weigh(c: str) -> Column:
+        if not known["heavy"]:
+            return F.size(c).cast("long")
+        return F.aggregate(c, F.lit(0).cast("long"), lambda sum_, x: sum_ + F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+
+    def harvest(sets: DataFrame) -> DataFrame:
+        if down:
+            return sets.select(F.explode("codes").alias("code"), F.col("tail").alias("n")).select(F.shiftright("code", 6).alias("node"), "n")
+        return sets.select("node", "n")
+
+    found = _walk(into, nodes.drop("heavy"), weigh, not down, harvest, -(-max(known["n"], 1) // PART), bool(hubs["n"]))
+    # With the nodes of its own cycle, each; first those that are no inner nodes of chains.
+    plain = size.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    counted = plain.select("rep", "size", (F.coalesce("n", "size") if down else F.coalesce("n", F.lit(0)) + F.col("weight")).alias("n"))
+    others = []
+    if down:
+        ahead = folded.join(counted.select(F.col("rep").alias("into"), "n"), "into").join(size.select("rep", "tail"), "rep")
+        others.append(ahead.select("rep", (F.col("n") + F.col("tail")).alias("n")))
+    if small and down:
+        inner = small.chains.join(counted.select(F.col("rep").alias("last"), "n"), "last")
+        others.append(inner.select(F.col("node").alias("rep"), (F.col("n") + F.col("after")).alias("n")))
+    elif small:
+        inner = small.chains.join(counted.select(F.col("rep").alias("first"), (F.col("n") - F.col("size")).alias("n")), "first").join(sizes.withColumnRenamed("rep", "node"), "node")
+        others.append(inner.select(F.col("node").alias("rep"), (F.col("n") + F.col("before") + F.col("size")).alias("n")))
+    counted = counted.select("rep", "n")
+    if others:
+        counted = counted.join(union(others).select("rep"), "rep", "left_anti").unionByName(union(others))
     counted, _ = materialize(counted, "reach")
-    discard(weighted, words, known)
+    discard(sizes, weighted, folded, kept, levels, before, tails, size, nodes, into, found)
     if small:
         small.discard()
-    own = graph.members.select("key", "rep").join(sizes, "rep").join(counted.withColumnRenamed("node", "rep"), "rep", "left")
-    return own.select("key", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n"))
+    return graph.members.select("key", "rep").join(counted, "rep").select("key", (F.col("n") - 1).alias("n"))

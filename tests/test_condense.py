@@ -148,3 +148,26 @@ def test_loops_leave_only_what_results_read(spark):
     where = spark._jvm.org.apache.hadoop.fs.Path(session.scratch_root(spark))
     left = [s.getPath().getName().split("-")[0] for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
     assert left == ["components"] and found.count() == 66
+
+
+def test_each_set_is_written_once(spark, monkeypatch):
+    # Two tables read by each, one reader of its own each, in small parts, gathered as for hubs.
+    monkeypatch.setattr(condense, "PART", 7)
+    monkeypatch.setattr(condense, "HUB", 1)
+    links = [(k // d, k) for k in range(2, 60) for d in (2, 3)] + [(1000 + k, k) for k in range(60)] + [(500, 501), (501, 500), (500, 5)]
+    tables, made = condense.materialize, []
+
+    def stored(df, label, **metrics):
+        out, seen = tables(df, label, **metrics)
+        if label == "sets":
+            made.extend(r["node"] for r in out.select("node").distinct().collect())
+        return out, seen
+
+    monkeypatch.setattr(condense, "materialize", stored)
+    monkeypatch.setattr(condense, "FOLD", 1000)
+    graph = condense.acyclic(_named(spark, links))
+    behind = _reach([(t, s) for s, t in links])
+    assert {r["id"]: r["n"] for r in graph.counts("node").collect()} == {f"n{n}": len(found - {n}) for n, found in behind.items()}
+    assert made and len(made) == len(set(made)) <= 61
+    ahead = _reach(links)
+    assert {r["id"]: r["n"] for r in graph.counts("anc").collect()} == {f"n{n}": len(found - {n}) for n, found in ahead.items()}
