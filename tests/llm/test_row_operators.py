@@ -233,3 +233,16 @@ def test_license_notices_wrapped_over_lines(frame, columns):
     assert got[200]["labels"] == "" and got[201]["labels"] == ""
     least = [r for r in license_scan.license_blocks(frame([(1, "\n".join(mit[:-1]))])).collect()]
     assert {r["label"] for r in least} == {"mit"} and max(r["overlap"] for r in least) == len({w.strip(",").lower() for w in mit[:-1]})
+
+
+def test_lm_weights_learn_from_all_training_rows(frame, texts, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # Next to nothing is drawn for the start, so a model that learned from it alone knows little of the rest.
+    monkeypatch.setattr(lm_score, "FIT_WINDOWS", 4)
+    monkeypatch.setattr(lm_score, "STEP", 64)
+    rows, held = frame(texts), F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    total = lambda: sum(r["score"] for r in lm_score.lm_scores(rows, held).collect())
+    whole = total()
+    monkeypatch.setattr(lm_score, "_fit", lm_score._start)
+    assert whole > total() + 100
