@@ -246,3 +246,32 @@ def test_lm_weights_learn_from_all_training_rows(frame, texts, monkeypatch):
     whole = total()
     monkeypatch.setattr(lm_score, "_fit", lm_score._start)
     assert whole > total() + 100
+
+
+def test_lm_texts_are_split_for_counts_and_classes_only(frame, texts, monkeypatch):
+    from pyspark.sql import functions as F
+
+    read, fit = [], lm_score._fit
+
+    def watched(train, *more):
+        read.append(train.columns)
+        return fit(train, *more)
+
+    monkeypatch.setattr(lm_score, "_fit", watched)
+    got = lm_score.lm_scores(frame(texts + [(900, None)]), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    assert got.count() == len(texts) + 1
+    assert len(read) == 1 and "text" not in read[0], "training reads stored classes"
+
+
+def test_gradients_of_classes_equal_a_sum_per_occurrence():
+    rng = np.random.default_rng(2)
+    net = lm_score.Attention()
+    x, y = rng.integers(0, 5, (6, lm_score.CONTEXT)), rng.integers(0, lm_score.CLASSES, (6, lm_score.CONTEXT))
+    valid = np.ones(x.shape, np.float32)
+    whole = net.step(x, y, valid)[1]["E"]
+    apart = sum(net.step(x[i : i + 1], y[i : i + 1], valid[i : i + 1])[1]["E"] for i in range(6)) / 6
+    assert np.allclose(whole, apart, atol=1e-5) and not whole[5:].any()
+    m, s = net.means()
+    before = {n: w.copy() for n, w in net.p.items()}
+    net.update(net.step(x, y, valid)[1], m, s, 1, 0.01)
+    assert all((np.abs(net.p[n] - before[n]) < 0.0101).all() for n in before) and (net.p["U"] != before["U"]).any()
