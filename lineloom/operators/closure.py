@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.operators.condense import Acyclic, acyclic, fold, ranks, union
+from lineloom.operators.condense import PART, Acyclic, acyclic, fold, ranks, rows, union
+from lineloom.operators.layers import as_sets, peel, sets_down
 from lineloom.session import discard, materialize
 
 
@@ -116,6 +117,31 @@ def ancestor_pairs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     return closure(edges, max_depth).named()
 
 
+def _members(sets: list[DataFrame]) -> DataFrame:
+    return union(sets).select("node", F.explode("members").alias("member"))
+
+
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, anc): the pairs of ``ancestor_pairs`` without distances.
+
+    Dead ends are peeled off, the pairs of what stays are closed, and each peeled node's set of names is made once, from the
+    finished sets of its sources.  A graph that does not peel is closed as a whole.
+    """
+    known = edges.where("source IS NOT NULL AND target IS NOT NULL")
+    links, seen = materialize(known.select("source", "target").distinct(), "links", n=rows())
+    peeled = peel(links, seen["n"])
+    core = closure(peeled.core).named().select("node", "anc")
+    if not peeled.layers:
+        discard(links)
+        return core
+    core, _ = materialize(core, "pairs")
+    parts = max(1, -(-seen["n"] // PART))
+    known, _ = materialize(as_sets(core.select("node", F.col("anc").alias("member")), parts), "sets")
+    discard(links)
+    _, *peeled_sets = sets_down(peeled, known, parts, True)
+    return core.unionByName(_members(peeled_sets).withColumnRenamed("member", "anc"))
+
+
 def _per_node(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -228,17 +228,17 @@ def strong_components(links: DataFrame) -> DataFrame:
     return grouped
 
 
-def _number(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``keys(id, key)`` and the distinct edges by key."""
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``keys(id, key)``, the distinct edges by key, and how many these are."""
     ends, _ = materialize(edges.select("source", "target").distinct(), "links")
     ids = ends.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     keys, _ = materialize(ids.select("id", F.monotonically_increasing_id().alias("key")), "keys")
     source = keys.select(F.col("id").alias("source"), F.col("key").alias("from"))
     target = keys.select(F.col("id").alias("target"), F.col("key").alias("to"))
     links = ends.join(source, "source").join(target, "target").select(F.col("from").alias("source"), F.col("to").alias("target"))
-    links, _ = materialize(links, "links")
+    links, seen = materialize(links, "links", n=rows())
     discard(ends)
-    return keys, links
+    return keys, links, seen["n"]
 
 
 @dataclass(frozen=True)
@@ -267,7 +267,11 @@ class Acyclic:
 
 def acyclic(edges: DataFrame) -> Acyclic:
     """Number the nodes, find the strong components and link them."""
-    keys, links = _number(edges)
+    return condensed(*numbered(edges)[:2])
+
+
+def condensed(keys: DataFrame, links: DataFrame) -> Acyclic:
+    """``acyclic`` of a graph whose nodes are numbered; ``links`` is a table of its own and discarded."""
     groups = strong_components(links)
     named = keys.select("key").join(groups.select(F.col("node").alias("key"), "rep"), "key", "left")
     members, _ = materialize(named.select("key", F.coalesce("rep", "key").alias("rep"), F.col("rep").isNotNull().alias("cyclic")), "members")

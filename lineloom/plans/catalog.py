@@ -253,7 +253,7 @@ def direct_count(spark, sf):
 
 @query
 def ancestor_pairs(spark, sf):
-    return closure.ancestor_pairs(_edges(spark, sf)).select("node", "anc")
+    return closure.ancestors(_edges(spark, sf))
 
 
 @query
