@@ -221,8 +221,27 @@ def reached(
 
 
 def lineage_of(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, id): each seed with its ancestors and its descendants."""
-    return reachable(edges, seeds).select("seed", "id").distinct()
+    """(seed, id): each seed with its ancestors and its descendants.
+
+    Ancestors follow the seeds' frontier, descendants too within the core that stays when dead ends are peeled off; each
+    peeled node takes the seeds of its sources as one set, so no row of a seed and a node is moved from hop to hop.
+    """
+    links, seen = materialize(edges.select("source", "target").distinct(), "links", n=rows())
+    peeled = peel(links, seen["n"])
+    wanted, given = materialize(seeds.select("id").distinct(), "seeds", n=rows())
+    up = reachable(links, wanted, down=False).select("seed", "id")
+    down, _ = materialize(reachable(peeled.core, wanted, up=False).select(F.col("id").alias("node"), F.col("seed").alias("member")), "pairs")
+    below = down.select(F.col("member").alias("seed"), F.col("node").alias("id"))
+    # A node that a seed reaches both ways is the seed itself or on a cycle, so it stands in the core's pairs.
+    there = below.select(F.col("seed").alias("_seed"), F.col("id").alias("_id"))
+    above = up.join(there, up["seed"].eqNullSafe(there["_seed"]) & up["id"].eqNullSafe(there["_id"]), "left_anti")
+    both = above.unionByName(below)
+    if not peeled.layers:
+        return both
+    parts = max(1, -(-given["n"] // PART))
+    known, _ = materialize(as_sets(down, parts), "sets")
+    _, *peeled_sets = sets_down(peeled, known, parts, False)
+    return both.unionByName(_members(peeled_sets).select(F.col("member").alias("seed"), F.col("node").alias("id")))
 
 
 def upstream_tree(edges: DataFrame, seeds: DataFrame) -> DataFrame:
