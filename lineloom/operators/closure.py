@@ -15,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.operators.condense import PART, Acyclic, acyclic, fold, ranks, rows, union
-from lineloom.operators.layers import as_sets, peel, sets_down
+from lineloom.operators.condense import PART, Acyclic, condensed, fold, numbered, ranks, rows, union
+from lineloom.operators.layers import as_sets, peel, ranked_down, sets_down
 from lineloom.session import discard, materialize
 
 
@@ -270,8 +270,20 @@ def topo_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Nodes that reach each other share one rank and are ``cyclic``; every other node is ranked as if
     such a group were one node.  Nodes that no edge touches have rank 0.
     """
-    graph = acyclic(edges)
-    found = graph.members.join(ranks(graph), "rep", "left").join(graph.keys, "key").select("id", "rank", "cyclic")
-    discard(graph.links)
+    keys, links, n = numbered(edges)
+    peeled = peel(links, n)
+    core, _ = materialize(peeled.core, "core")
+    # ``condensed`` discards the core; without layers every node of an edge is in it.
+    inside = keys
+    if peeled.layers:
+        ends = core.select(F.explode(F.array("source", "target")).alias("key")).distinct()
+        inside, _ = materialize(keys.join(ends, "key", "left_semi").select("id", "key"), "keys")
+    graph = condensed(inside, core)
+    known, _ = materialize(graph.members.join(ranks(graph), "rep", "left").select(F.col("key").alias("node"), F.coalesce("rank", F.lit(0).cast("long")).alias("rank"), "cyclic"), "ranks")
+    _, *outer = ranked_down(peeled, known.select("node", "rank"))
+    found = union([known, *(x.withColumn("cyclic", F.lit(False)) for x in outer)])
+    found = found.join(keys.withColumnRenamed("key", "node"), "node").select("id", "rank", "cyclic")
+    discard(graph.links, links)
+    peeled.discard()
     ranked = nodes.select("id").distinct().join(found, "id", "left")
     return ranked.select("id", F.coalesce("rank", F.lit(0)).cast("int").alias("rank"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))

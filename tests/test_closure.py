@@ -120,3 +120,45 @@ def test_hub_holding_a_third_of_all_edges(spark):
     _, nodes = _nodes(spark, links)
     got = {r["id"]: r["n"] for r in closure.nested_count(nodes, closure.closure(_edges(spark, links))).collect()}
     assert got["hub"] == 300 and got["a7"] == 301 and got["c7"] == 302 and got["lonely"] == 0
+
+
+@pytest.mark.parametrize("name", [*GRAPHS, "fan"])
+def test_peeled_layers_give_what_the_whole_graph_gives(spark, monkeypatch, name):
+    from lineloom.operators import condense, layers
+
+    # Small graphs must take the ways of large ones; ``fan`` peels to a core with a cycle, has roots, hubs and parts.
+    monkeypatch.setattr(layers, "CORE", 4)
+    monkeypatch.setattr(layers, "HUB", 3)
+    monkeypatch.setattr(closure, "PART", 40)
+    fan = [(f"n{k // d}", f"n{k}") for k in range(2, 90) for d in (2, 3)] + [("n7", "n3"), ("n3", "n3"), ("lake", "n40"), ("lake", "n80")]
+    links = sorted(set(fan + [(f"n{k}", "n88") for k in range(30, 60)])) + [("n2", "n4")] if name == "fan" else GRAPHS[name]
+    ids, nodes = _nodes(spark, links)
+    edges = _edges(spark, links)
+    peeled, written = [], []
+    peel, store = closure.peel, layers.materialize
+    monkeypatch.setattr(closure, "peel", lambda *a: peeled.append(peel(*a)) or peeled[-1])
+    monkeypatch.setattr(layers, "materialize", lambda df, label, **m: written.append(label) or store(df, label, **m))
+
+    walks = {n: set(_distances(links, n)) for n in ids}
+    got = [tuple(r) for r in closure.ancestors(edges).collect()]
+    assert sorted(got) == sorted((n, a) for n in ids for a in walks[n])
+
+    back = [(t, s) for s, t in links]
+    seeds = sorted(ids)[:7] + ["nowhere"]
+    got = [tuple(r) for r in closure.lineage_of(edges, spark.createDataFrame([(s,) for s in seeds * 2], "id string")).collect()]
+    want = {(s, n) for s in seeds for n in set(_distances(links, s)) | set(_distances(back, s)) | {s}}
+    assert sorted(got) == sorted(want)
+
+    group = {n: frozenset(m for m in ids if m in walks[n] and n in walks[m]) | {n} for n in ids}
+    memo = {}
+
+    def rank(g):
+        if g not in memo:
+            above = {group[s] for s, t in links if t in g} - {g}
+            memo[g] = 1 + max(map(rank, above)) if above else 0
+        return memo[g]
+
+    got = {r["id"]: (r["rank"], r["cyclic"]) for r in closure.topo_rank(nodes, edges).collect()}
+    assert got == {n: (rank(group[n]), n in walks[n]) for n in ids}
+    if name == "fan":
+        assert all(len(p.layers) >= 4 for p in peeled) and {"rank", "sets", "wide"} <= set(written)
