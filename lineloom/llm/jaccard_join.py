@@ -1,4 +1,4 @@
-"""Jaccard metric-space join on word shingles: pivots, Voronoi regions, triangle windows, recursion."""
+"""Jaccard metric-space join on word shingles: regions, pivots, triangle windows, recursion on differences from the pivots."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineloom.llm.common import components, documents, most_frequent, small_side
@@ -19,12 +18,8 @@ SHINGLE, PERCENT = 4, 85
 #: Shingles in so many windows are ordered by that number behind all others, at most so many of the most common.
 #: The order only decides which regions meet; any order gives the same links.
 COMMON, MAX_COMMON = 3, 400_000
-#: Regions of a set that a sweep compares to find pairs met elsewhere; a pair not found so is met again.
-COMPARED = 64
-#: Pivots that a region takes in its second round; each further round takes so many times more.
-PIVOTS, GROWTH = 4, 8
-
 _SKETCH = "key {key}, n bigint, h1 bigint, h2 bigint, items array<bigint>"
+_SEAT = ("cid", "x", "n", "pos", "early", "home", "root")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -100,7 +95,7 @@ def _nothing(s: np.ndarray) -> np.ndarray:
 
 
 class _Distances:
-    """Jaccard distances of asked pairs, each computed once, exactly, on the whole sets."""
+    """Whether asked pairs are linked, each found once, exactly, on the whole sets."""
 
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
@@ -115,7 +110,7 @@ class _Distances:
         right = self.sets.select(F.col("cid").alias("b"), F.col("items").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         found = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("any"))
-        found = found.select("a", "b", (1 - F.col("both") / F.col("any")).alias("d"), (100 * F.col("both") >= self.percent * F.col("any")).alias("linked"))
+        found = found.select("a", "b", (100 * F.col("both") >= self.percent * F.col("any")).alias("linked"))
         found, _ = materialize(found, "jaccard-distances")
         self.known = found if self.known is None else self.known.unionByName(found)
 
@@ -135,20 +130,19 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
        few first items of either in a common order, so each set enters the regions of
        those items only.  Common items come last in the order, so a shared passage opens
        few regions.  A region of two is one pair; larger ones are split by set size.
-    3. In each region a pivot's distance to all others is computed on the whole sets; d = 1 - J is a metric.
-       Members within the radius r = 1 - percent/100 are linked to it, and so connected.
-    4. A region whose members are all connected is done.  Any other takes more pivots, those not
-       connected with its first one before others, and splits into the Voronoi cells of its
-       pivots, which later rounds sweep.  A member goes to its nearest pivot's cell, and as a boundary document to each cell whose pivot
-       is within 2r of that distance and within the cell's radius plus r: by the triangle
-       inequality no other cell can hold a partner.  A pivot has met its whole region and leaves it.
-       Cells are regions again, until none is open; the number of pivots grows, so that the rounds stay few.
+    3. Each region's pivot meets all others, on the whole sets.  Members linked to it are so connected.
+    4. A region whose members are all connected is done.  In any other, what a member and the pivot do not have in common
+       parts members that lie at the same distance from it: with x and y such differences, two members have
+       x + y less twice the common ones between them, so linked ones that are not both linked to the pivot share a
+       difference, among the first few of both in the order of their frequency.  So members enter new regions by
+       the first of their differences (see ``_differences``).
+    5. Each new region's pivot meets whom it may be linked to, which connects most of what belongs together; then all others
+       that may still be linked meet, as far as they are not connected.
 
     Null texts count as empty; texts without words link with nothing.  Rows with null keys and repeated rows
     are classed by text like any other.  An empty table gives empty results.
     """
     spark = docs.sparkSession
-    radius = 1 - percent / 100 + 1e-9
     sketch, _ = materialize(_sketch(docs, text, key, size, _window(percent, np.zeros(0, np.uint64), np.zeros(0, np.int64))), "jaccard-sketch")
     classes = sketch.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("key").alias("least"))
     classes, _ = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
@@ -196,17 +190,15 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     distances = _Distances(sets, percent)
     distances.ask(two.union(rows.select(F.col("p").alias("a"), F.col("cid").alias("b"))))
-    measured = distances.known.select(F.col("a").alias("p"), F.col("b").alias("cid"), "d")
-    rows = rows.join(measured, ["p", "cid"])
-    take = PIVOTS
-    while True:
+    roots = components(distances.links(), "jaccard")
+    rows, left = _open_regions(rows, roots)
+    if left:
+        seats = _differences(rows, sets, percent)
+        distances.ask(_may_link(seats, _first_seats(seats), percent))
+        seats, left = _open_seats(seats, components(distances.links(), "jaccard"))
+    if left:
+        distances.ask(_may_link(seats, seats.where("early"), percent, F.struct("x", "cid") > F.struct("x2", "cid2")))
         roots = components(distances.links(), "jaccard")
-        rows, left = _open_regions(rows, roots)
-        if not left:
-            break
-        # One split into cells; what it leaves open is swept by more and more pivots.
-        rows = _split(rows, distances, radius, take) if take == PIVOTS else _sweep(rows, distances, radius, take)
-        take *= GROWTH
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         F.col("cid"), F.coalesce("root", "cid").alias("root"), F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2")
     )
@@ -245,59 +237,67 @@ def _size_bands(crowd: DataFrame, percent: int) -> DataFrame:
 
 def _open_regions(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """Rows of regions with members of several components, with their component; and how many there are."""
-    named = roots.select(F.col("node").alias("cid"), "root")
-    plain = rows.select("rid", "cid", "home", "p", "d")
-    now = plain.join(named, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    center = named.select(F.col("cid").alias("p"), F.col("root").alias("center"))
-    now = now.join(center, "p", "left").withColumn("center", F.coalesce("center", "p"))
+    now = rows.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     open_ = now.groupBy("rid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("home").alias("any"))
     now = now.join(open_.where("lo != hi AND any").select("rid"), "rid", "left_semi")
     now, seen = materialize(now, "jaccard-open", n=F.count(F.lit(1)))
     return now, seen["n"] or 0
 
 
-def _split(rows: DataFrame, distances: _Distances, radius: float, take: int) -> DataFrame:
-    """The Voronoi cells of each region: its centre and ``take`` more pivots, with boundary windows."""
-    turn = W.partitionBy("rid").orderBy(F.col("root") == F.col("center"), ~F.col("home"), "cid")
-    pivots = rows.select("rid", "cid", "home", "root", "center").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= take)
-    pivots, _ = materialize(pivots.select("rid", F.col("cid").alias("q")), "jaccard-pivots")
-    met = rows.join(pivots, "rid").where("cid != q")
-    distances.ask(met.select(F.col("q").alias("a"), F.col("cid").alias("b")))
-    used = pivots.select("rid", F.col("q").alias("cid"))
-    rest = rows.join(used, ["rid", "cid"], "left_anti")
-    measured = distances.known.select(F.col("a").alias("q"), F.col("b").alias("cid"), "d")
-    more = rest.select("rid", "cid", "home").join(pivots, "rid").join(measured, ["q", "cid"])
-    seen = rest.select("rid", "cid", "home", F.col("p").alias("q"), "d").unionByName(more.select("rid", "cid", "home", "q", "d"))
-    seen = seen.groupBy("rid", "cid", "q").agg(F.max("home").alias("home"), F.min("d").alias("d"))
-    near = W.partitionBy("rid", "cid")
-    ranked = seen.withColumn("least", F.min("d").over(near))
-    ranked = ranked.withColumn("own", F.min(F.when(F.col("d") == F.col("least"), F.col("q"))).over(near) == F.col("q"))
-    ranked, _ = materialize(ranked.withColumn("home", F.col("home") & F.col("own")), "jaccard-cells")
-    reach = ranked.where("home").groupBy("rid", "q").agg(F.max("d").alias("reach"))
-    window = F.col("own") | ((F.col("d") <= F.col("least") + 2 * radius) & (F.col("d") <= F.col("reach") + radius))
-    cells = ranked.join(reach, ["rid", "q"]).where(window)
-    return cells.select(F.xxhash64("rid", "q").alias("rid"), "cid", "home", F.col("q").alias("p"), "d")
-
-
-def _sweep(rows: DataFrame, distances: _Distances, radius: float, take: int) -> DataFrame:
-    """Each cell's next ``take`` pivots meet whom they may be linked to, and leave the cell.
-
-    A pivot need not meet its own component, and by the triangle inequality nobody whose distance to the cell's
-    centre differs from its own by more than the radius.  Of the cells that two share, one of them at home, only the
-    first needs to let them meet: both stay there until one is its pivot or the cell is connected.
+def _differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(p, item, cid, x, n, pos, early, home, root)``: members by the first of the ``x`` items that only they or only their pivot has.
+
+    Two members with differences x and y from the pivot, c of them common, differ by x + y - 2c items.  Linked sets of a and b items
+    differ by at most (100 - percent) (a + b) / (100 + percent), where b is at most 100 a / percent.  This bounds c from below, and so
+    from above the place ``pos`` of the first common item in either difference: the member with more differences has it
+    within the most that may part it from another set, the one with fewer (``early``) within half of that.  A member linked to
+    the pivot needs a partner that is not.  Differences of one member only come first in the order and open no region.
     """
-    places = rows.groupBy("cid").agg(F.sort_array(F.collect_set("rid")).alias("all"), F.sort_array(F.collect_set(F.when(F.col("home"), F.col("rid")))).alias("own"))
-    places = places.select("cid", F.slice("all", 1, COMPARED).alias("all"), F.slice("own", 1, COMPARED).alias("own"))
-    placed, _ = materialize(rows.join(places, "cid"), "jaccard-placed")
-    turn = W.partitionBy("rid").orderBy(F.col("root") == F.col("center"), ~F.col("home"), "cid")
-    pivots = placed.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= take)
-    pivots = pivots.select("rid", *[F.col(a).alias(b) for a, b in (("cid", "q"), ("d", "qd"), ("root", "qr"), ("home", "qh"), ("all", "qall"), ("own", "qown"))])
-    pivots, _ = materialize(pivots, "jaccard-pivots")
-    first = F.least(F.array_min(F.array_intersect("all", "qown")), F.array_min(F.array_intersect("own", "qall")))
-    met = placed.join(pivots, "rid").where("root != qr AND (home OR qh)").where(F.abs(F.col("d") - F.col("qd")) <= radius)
-    met = met.where(F.coalesce(first, F.col("rid")) >= F.col("rid"))
-    distances.ask(met.select(F.least("q", "cid").alias("a"), F.greatest("q", "cid").alias("b")))
-    return rows.join(pivots.select("rid", F.col("q").alias("cid")), ["rid", "cid"], "left_anti")
+    most, total = 100 - percent, 100 + percent
+    members = rows.groupBy("p", "cid").agg(F.max("home").alias("home"), F.min("root").alias("root"))
+    center = sets.select(F.col("cid").alias("p"), F.col("items").alias("center"))
+    whole = members.join(sets.select("cid", "items"), "cid").join(center, "p")
+    apart = F.concat(F.array_except("items", "center"), F.array_except("center", "items"))
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("items", "n"), ("center", "pn"), ("apart", "x"))]
+    apart, _ = materialize(whole.withColumn("apart", apart).select("p", "cid", "home", "root", *sizes, "apart"), "jaccard-apart")
+    each = apart.select("p", "cid", F.explode("apart").alias("item"))
+    often = each.groupBy("p", "item").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    ranked = each.join(often, ["p", "item"]).groupBy("p", "cid").agg(F.sort_array(F.collect_list(F.struct("m", "item"))).alias("ranked"))
+    plain = apart.drop("apart")
+    seats = plain.join(ranked, ["p", "cid"]).select(*plain.columns, F.size("ranked").alias("shared"), F.posexplode("ranked").alias("at", "seat"))
+    seats = seats.withColumn("pos", F.col("x") - F.col("shared") + F.col("at")).withColumn("early", 2 * percent * F.col("pos") <= most * F.col("n"))
+    linked = total * F.col("x") <= most * (F.col("n") + F.col("pn"))
+    enough = 2 * total * (F.col("x") - F.col("pos")) > total * F.col("x") + most * (F.col("pn") - F.col("n"))
+    seats = seats.where(percent * F.col("pos") <= most * F.col("n")).where(~linked | enough)
+    return materialize(seats.select("p", F.col("seat.item").alias("item"), *_SEAT), "jaccard-differences")[0]
+
+
+def _first_seats(seats: DataFrame) -> DataFrame:
+    """The pivot of each region of differences: the early member with the fewest rarer ones."""
+    pivot = F.min_by(F.struct(*_SEAT), F.struct("pos", "x", "cid"))
+    return seats.where("early").groupBy("p", "item").agg(pivot.alias("pivot")).select("p", "item", "pivot.*")
+
+
+def _open_seats(seats: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """Seats of regions with members of several components, with their component; and how many there are."""
+    named = roots.select(F.col("node").alias("cid"), F.col("root").alias("now"))
+    seats = seats.join(named, "cid", "left").withColumn("root", F.coalesce("now", "cid")).drop("now")
+    open_ = seats.groupBy("p", "item").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    seats, seen = materialize(seats.join(open_.select("p", "item"), ["p", "item"], "left_semi"), "jaccard-open", n=F.count(F.lit(1)))
+    return seats, seen["n"] or 0
+
+
+def _may_link(seats: DataFrame, others: DataFrame, percent: int, which: Column | None = None) -> DataFrame:
+    """``(a, b)``: a seat and one of ``others`` (columns with a 2) of the same region that may be linked, by the bounds of ``_differences``."""
+    most, total = 100 - percent, 100 + percent
+    others = others.select("p", "item", *[F.col(c).alias(f"{c}2") for c in _SEAT])
+    common = F.least(F.col("x") - F.col("pos"), F.col("x2") - F.col("pos2"))
+    may = (F.col("root") != F.col("root2")) & (F.col("home") | F.col("home2"))
+    may &= percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2")
+    may &= 2 * total * common >= total * (F.col("x") + F.col("x2")) - most * (F.col("n") + F.col("n2"))
+    if which is not None:
+        may &= which
+    return seats.join(others, ["p", "item"]).where(may).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -185,6 +185,33 @@ def test_edits_of_one_text(frame):
     assert len(set(got.values())) > 100
 
 
+def test_unlinked_edits_hardly_meet(frame, monkeypatch):
+    """Edits too far from their text and from one another, and few close pairs of them, ask few distances."""
+    rng = random.Random(6)
+    base = words(rng, 120, 5000)
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for at in rng.sample(range(120), rng.randrange(6, 15)):
+            text[at] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    for i in range(20):
+        text = rows[rng.randrange(300)][1].split()
+        text[rng.randrange(120)] = "again"
+        rows.append((300 + i, " ".join(text)))
+    asked, ask = [], jaccard_join._Distances.ask
+
+    def counted(self, pairs):
+        ask(self, pairs)
+        asked.append(self.known.count())
+
+    monkeypatch.setattr(jaccard_join._Distances, "ask", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(frame(rows)).collect()}
+    assert got == linked_ids(rows, 4, 85)
+    assert 250 < len(set(got.values())) < 301
+    assert 10 * asked[-1] < 320 * 319 // 2, asked
+
+
 def test_one_of_each(frame):
     text = "one two three four five six seven eight nine ten"
     rows = [(5, text), (3, text), (3, text), (9, "something else altogether that nobody else has written here"), (7, None)]
