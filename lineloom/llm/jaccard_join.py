@@ -94,6 +94,11 @@ def _nothing(s: np.ndarray) -> np.ndarray:
     return s[:0]
 
 
+def _wanted(sets: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The sets of the ``n`` rows of ``ids``, so that no other set is shuffled."""
+    return sets.join(small_side(ids.toDF("cid").distinct(), n), "cid", "left_semi")
+
+
 class _Distances:
     """Whether asked pairs are linked, each found once, exactly, on the whole sets."""
 
@@ -106,8 +111,9 @@ class _Distances:
         pairs = pairs.select("a", "b").distinct()
         if self.known is not None:
             pairs = pairs.join(self.known.select("a", "b"), ["a", "b"], "left_anti")
-        left = self.sets.select(F.col("cid").alias("a"), F.col("items").alias("x"))
-        right = self.sets.select(F.col("cid").alias("b"), F.col("items").alias("y"))
+        pairs, seen = materialize(pairs, "jaccard-pairs", n=F.count(F.lit(1)))
+        left = _wanted(self.sets, pairs.select("a"), seen["n"]).select(F.col("cid").alias("a"), F.col("items").alias("x"))
+        right = _wanted(self.sets, pairs.select("b"), seen["n"]).select(F.col("cid").alias("b"), F.col("items").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         found = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("any"))
         found = found.select("a", "b", (100 * F.col("both") >= self.percent * F.col("any")).alias("linked"))
@@ -147,13 +153,13 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     classes = sketch.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("key").alias("least"))
     classes, _ = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
 
-    same = lambda a, b: (a["n"] == b["n"]) & (a["h1"] == b["h1"]) & (a["h2"] == b["h2"])
+    #: What a class and one of its rows have in common; as part of a struct, null keys are equal.
+    same_row = ["n", "h1", "h2", "row"]
 
     def of_classes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-        """``(cid, items)``: the items of one row of each wanted class."""
-        c = wanted.select("cid", F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "least")
-        meets = (rows["n"] == c["cn"]) & (rows["h1"] == c["c1"]) & (rows["h2"] == c["c2"]) & rows["key"].eqNullSafe(c["least"])
-        return rows.join(c, meets).select("cid", "items")
+        """``(n, h1, h2, row, items, cid)``: the items of one row of each wanted class; rows that repeat it come again."""
+        c = wanted.select("n", "h1", "h2", F.struct(F.col("least").alias("key")).alias("row"), "cid")
+        return rows.select("n", "h1", "h2", F.struct("key").alias("row"), "items").join(c, same_row)
 
     firsts = of_classes(sketch, classes).select("cid", F.explode("items").alias("item")).distinct()
     often = firsts.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
@@ -165,28 +171,30 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     keyed, _ = materialize(sketch.select("key", "n", "h1", "h2"), "jaccard-keys")
     discard(sketch)
 
-    seats = of_classes(_sketch(docs, text, key, size, choose), classes).join(classes.select("cid", "n"), "cid")
+    seats = of_classes(_sketch(docs, text, key, size, choose), classes)
     seats, _ = materialize(seats.select("cid", "n", F.posexplode("items").alias("pos", "rid")), "jaccard-seats")
     regions = seats.groupBy("rid").agg(
         F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most"),
-        F.min(F.col("n") - F.col("pos")).alias("rest"),
+        F.min(F.col("n") - F.col("pos")).alias("rest"), F.max(_at_home(percent)).alias("any"),
     )
     # Two members of too different sizes, or with too few items from the shared one on, can't be linked there.
     able = (100 * F.col("least") >= percent * F.col("most")) & ((100 + percent) * F.col("rest") >= percent * (F.col("least") + F.col("most")))
-    regions = regions.where("lo != hi").where((F.col("m") > 2) | able)
+    regions = regions.where("lo != hi").where(F.when(F.col("m") > 2, F.col("any")).otherwise(able))
     regions, seen = materialize(regions.select("rid", "lo", "hi", "m"), "jaccard-regions", crowds=F.count_if(F.col("m") > 2))
     two = regions.where("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
     crowd = seats.join(small_side(regions.where("m > 2").select("rid"), seen["crowds"]), "rid", "left_semi")
-    rows, _ = materialize(_size_bands(crowd, percent), "jaccard-crowds")
+    crowd, _ = materialize(crowd, "jaccard-crowd")
     discard(seats)
+    rows, _ = materialize(_size_bands(crowd, percent), "jaccard-crowds")
     met = two.select(F.explode(F.array("a", "b")).alias("cid")).union(rows.select(F.explode(F.array("cid", "p")).alias("cid")))
     asked, seen = materialize(met.distinct(), "jaccard-met", n=F.count(F.lit(1)))
     wanted = classes.join(asked, "cid", "left_semi")
     members = docs.join(
         small_side(wanted.select(F.col("least").alias("_least")).distinct(), seen["n"]), docs[key].eqNullSafe(F.col("_least")), "left_semi"
     )
-    sets = of_classes(_sketch(members, text, key, size, _whole), wanted).dropDuplicates(["cid"])
-    sets, _ = materialize(sets, "jaccard-sets")
+    # By the columns that the join has dealt rows by, which spares a shuffle of whole sets.
+    sets = of_classes(_sketch(members, text, key, size, _whole), wanted).dropDuplicates(same_row)
+    sets, _ = materialize(sets.select("cid", "items"), "jaccard-sets")
 
     distances = _Distances(sets, percent)
     distances.ask(two.union(rows.select(F.col("p").alias("a"), F.col("cid").alias("b"))))
@@ -206,6 +214,11 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     return keyed.select("key", "n", "cid", "root"), distances.links()
 
 
+def _at_home(percent: int) -> Column:
+    """Whether so much of a set follows a seat that it can be the smaller one of a pair that first meets there."""
+    return (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
+
+
 def _size_bands(crowd: DataFrame, percent: int) -> DataFrame:
     """``(rid, cid, home, p)``: regions split by set size, each with its first pivot ``p``.
 
@@ -214,19 +227,19 @@ def _size_bands(crowd: DataFrame, percent: int) -> DataFrame:
     one below.  The smaller set of a pair holds so many of the shared items that at least its share of
     two equal sets follows the first shared one; members with that many are at home.  Any other member
     must have enough for the smallest set at home.  A pair needs a member at home.  The pivot is the member at home
-    with the fewest rarer items, which is the one in the middle where all are edits of one text.
+    with the fewest rarer items, which is the one in the middle where all are edits of one text; among equals
+    the smallest, so that regions share pivots.
     """
     width = -math.log(percent / 100) * (1 + 1e-9)
     band = F.floor(F.log(F.col("n").cast("double")) / width)
     rest = F.col("n") - F.col("pos")
-    small = (100 + percent) * rest >= 2 * percent * F.col("n")
     places = F.array(
-        F.struct(band.alias("band"), small.alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home"))
+        F.struct(band.alias("band"), _at_home(percent).alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home"))
     )
     spread = crowd.select("rid", "cid", "n", "pos", rest.alias("rest"), F.inline(places))
     spread = spread.select(F.xxhash64("rid", "band").alias("rid"), "cid", "n", "pos", "rest", "home")
     first = spread.groupBy("rid").agg(
-        F.min_by("cid", F.when(F.col("home"), F.col("pos"))).alias("p"), F.min(F.when(F.col("home"), F.col("n"))).alias("least"),
+        F.min_by("cid", F.when(F.col("home"), F.struct("pos", "cid"))).alias("p"), F.min(F.when(F.col("home"), F.col("n"))).alias("least"),
         F.min("cid").alias("lo"), F.max("cid").alias("hi"),
     )
     first = first.where("lo != hi AND least IS NOT NULL").select("rid", "p", "least")
@@ -255,8 +268,9 @@ def _differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     most, total = 100 - percent, 100 + percent
     members = rows.groupBy("p", "cid").agg(F.max("home").alias("home"), F.min("root").alias("root"))
-    center = sets.select(F.col("cid").alias("p"), F.col("items").alias("center"))
-    whole = members.join(sets.select("cid", "items"), "cid").join(center, "p")
+    members, seen = materialize(members, "jaccard-pivots", n=F.count(F.lit(1)))
+    center = _wanted(sets, members.select("p"), seen["n"]).select(F.col("cid").alias("p"), F.col("items").alias("center"))
+    whole = members.join(_wanted(sets, members.select("cid"), seen["n"]), "cid").join(center, "p")
     apart = F.concat(F.array_except("items", "center"), F.array_except("center", "items"))
     sizes = [F.size(c).cast("long").alias(n) for c, n in (("items", "n"), ("center", "pn"), ("apart", "x"))]
     apart, _ = materialize(whole.withColumn("apart", apart).select("p", "cid", "home", "root", *sizes, "apart"), "jaccard-apart")
