@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.operators.condense import PART, Acyclic, condensed, fold, numbered, ranks, rows, union
-from lineloom.operators.layers import as_sets, peel, ranked_down, sets_down
+from lineloom.operators.layers import TURNS, as_sets, peel, ranked_down, sets_down
 from lineloom.session import discard, materialize
 
 
@@ -244,19 +244,54 @@ def lineage_of(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return both.unionByName(_members(peeled_sets).select(F.col("member").alias("seed"), F.col("node").alias("id")))
 
 
+def _passed(layers: list[DataFrame], start: list[DataFrame], ahead: str, behind: str) -> list[DataFrame]:
+    """``start`` and, layer by layer, the ids on side ``ahead`` of links whose other side was met."""
+    found = start
+    for at in range(0, len(layers), TURNS):
+        fresh = []
+        for links in layers[at : at + TURNS]:
+            there = union([*found, *fresh]).select(F.col("id").alias(behind))
+            fresh.append(links.join(there, behind, "left_semi").select(F.col(ahead).alias("id")).distinct())
+        found = [*found, materialize(union(fresh), "tree")[0]]
+    return found
+
+
+def _tree(edges: DataFrame, seeds: DataFrame, up: bool, down: bool) -> DataFrame:
+    """(id): nodes reachable from any seed, each once.
+
+    The frontier is followed within the core that stays when dead ends are peeled off.  Layers are passed once each way, from the
+    outermost in on the way up and from the core out on the way down, so their links are joined once and not once a move.
+    """
+    links, seen = materialize(edges.select("source", "target").distinct(), "links", n=rows())
+    peeled = peel(links, seen["n"])
+    start = materialize(seeds.select("id").distinct(), "seeds")[0]
+    above = _passed(peeled.layers, [start], "source", "target") if up else []
+    begin = [(ids, way, side) for ids, way, side, on in ((above, "up", "target", up), ([start], "down", "source", down)) if on]
+    entered = []
+    for ids, way, side in begin:
+        inside = peeled.core.select(F.col(side).alias("id")).distinct()
+        entered.append(union(ids).distinct().join(inside, "id", "left_semi").select("id", F.lit(way).alias("dir"), F.lit(0).alias("hop")))
+    core = _spread(peeled.core, union(entered), up, down, 4)
+    below = _passed(peeled.layers[::-1], [start, core.where("dir = 'down'").select("id")], "target", "source") if down else []
+    found = union([start, *above, core.select("id"), *below]).distinct()
+    discard(links)
+    peeled.discard()
+    return found
+
+
 def upstream_tree(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id): the seeds and everything they are built from."""
-    return reached(edges, seeds, down=False).select("id")
+    return _tree(edges, seeds, True, False)
 
 
 def focus_tree(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id): nodes to hide so that only the seeds' lineage stays."""
-    return nodes.select("id").join(reached(edges, seeds).select("id"), "id", "left_anti")
+    return nodes.select("id").join(_tree(edges, seeds, True, True), "id", "left_anti")
 
 
 def select_tree(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, selected) for every node."""
-    chosen = reached(edges, seeds).select("id").distinct().withColumn("hit", F.lit(True))
+    chosen = _tree(edges, seeds, True, True).withColumn("hit", F.lit(True))
     return (
         nodes.select("id")
         .join(chosen, "id", "left")

@@ -162,3 +162,33 @@ def test_peeled_layers_give_what_the_whole_graph_gives(spark, monkeypatch, name)
     assert got == {n: (rank(group[n]), n in walks[n]) for n in ids}
     if name == "fan":
         assert all(len(p.layers) >= 4 for p in peeled) and {"rank", "sets", "wide"} <= set(written)
+
+
+@pytest.mark.parametrize("name", [*GRAPHS, "fan"])
+def test_trees_walk_the_core_only(spark, monkeypatch, name):
+    from lineloom.operators import layers
+
+    monkeypatch.setattr(layers, "CORE", 4)
+    fan = [(f"n{k // d}", f"n{k}") for k in range(2, 90) for d in (2, 3)] + [("n7", "n3"), ("n3", "n3"), ("lake", "n40"), ("lake", "n80")]
+    links = sorted(set(fan)) if name == "fan" else GRAPHS[name]
+    ids, nodes = _nodes(spark, links)
+    edges = _edges(spark, links)
+    steps, store = [], closure.materialize
+
+    def counted(df, label, **metrics):
+        stored, seen = store(df, label, **metrics)
+        if label == "steps":
+            steps.append(stored.count())
+        return stored, seen
+
+    monkeypatch.setattr(closure, "materialize", counted)
+    back = [(t, s) for s, t in links]
+    for some in (sorted(ids)[:3], sorted(ids)[-3:] + ["nowhere"], []):
+        seeds = spark.createDataFrame([(s,) for s in some * 2], "id string")
+        up = {n for s in some for n in _distances(links, s)} | set(some)
+        both = up | {n for s in some for n in _distances(back, s)}
+        assert sorted(r["id"] for r in closure.upstream_tree(edges, seeds).collect()) == sorted(up)
+        assert sorted(r["id"] for r in closure.focus_tree(nodes, edges, seeds).collect()) == sorted(set(ids) - both)
+        assert {r["id"]: r["selected"] for r in closure.select_tree(nodes, edges, seeds).collect()} == {n: n in both for n in ids}
+    if name == "fan":
+        assert max(steps) < len(links) // 4, steps
