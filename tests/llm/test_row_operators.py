@@ -275,3 +275,20 @@ def test_gradients_of_classes_equal_a_sum_per_occurrence():
     before = {n: w.copy() for n, w in net.p.items()}
     net.update(net.step(x, y, valid)[1], m, s, 1, 0.01)
     assert all((np.abs(net.p[n] - before[n]) < 0.0101).all() for n in before) and (net.p["U"] != before["U"]).any()
+
+
+def test_rare_words_of_one_start_share_a_class(monkeypatch):
+    """The leading piece is looked up once for words that differ behind the start it depends on; products in parts equal whole ones."""
+    heads = {lm_score.head(w) for w in (b"qzxvkkw" + bytes([c]) * 9 for c in b"abcdefgh")}
+    assert len(heads) == 1
+    looked, find = [], lm_score.leading_piece
+    scorer = lm_score.Scorer({}, np.zeros(0), {}, np.zeros(lm_score.CLASSES), 1, lm_score.DEFAULT_MODEL)
+    monkeypatch.setattr(lm_score, "leading_piece", lambda w, m: looked.append(w) or find(w, m))
+    words = [b"qzxvkkw" + bytes([c]) * 9 for c in b"abcdefgh"]
+    assert [scorer.rare_class(w) for w in words] == [scorer.class_of(w) for w in words]
+    assert len(looked) == 1 + len(words)
+    rng = np.random.default_rng(1)
+    for shape in ((1024, 16, 64), (16, 1024, 64), (1024, 64, 1), (3, 16, 48)):
+        a, b = rng.random(shape[:2], np.float32), rng.random(shape[1:], np.float32)
+        b = b[:, 0] if shape[2] == 1 else b
+        assert np.allclose(lm_score._dot(a, b), a @ b, rtol=1e-5)
